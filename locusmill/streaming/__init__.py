@@ -1,0 +1 @@
+"""No streaming operator: the analysis this engine serves is batch only, so none is claimed."""
