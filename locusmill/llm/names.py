@@ -16,22 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusmill.operators.spelling import id_number, near_join, words
+from locusmill.operators.spelling import SYNONYMS, id_number, near_join, words
 from locusmill.session import broadcast_if_small
 
 NO_ENTRY = "NONE"
 
-# Other words for a word of the list.
-SYNONYMS: dict[str, tuple[str, ...]] = {
-    "LUNG": ("PULMONARY", "PULM"), "STOMACH": ("GASTRIC",), "KIDNEY": ("RENAL",), "BREAST": ("MAMMARY",), "LIVER": ("HEPATIC",),
-    "OVARY": ("OVARIAN",), "PANCREAS": ("PANC", "PANCREATIC"), "OESOPHAGUS": ("OESOPH", "ESOPHAGUS", "ESOPHAGEAL"),
-    "SKIN": ("CUTANEOUS", "DERMAL"), "BONE": ("OSSEOUS",), "THYROID": ("THYR",), "PROSTATE": ("PROSTATIC",),
-    "ENDOMETRIUM": ("ENDOMETRIAL", "UTERUS"), "URINARY": ("BLADDER",), "NERVOUS": ("BRAIN", "CNS"),
-    "INTESTINE": ("COLON", "COLORECTAL"), "LARGE": ("LG",), "SOFT": ("SARCOMA",),
-    "HAEMATOPOIETIC": ("HEMATOPOIETIC", "BLOOD", "HAEM"), "LYMPHOID": ("LYMPH",),
-}
-
-
 def _terms(c: Column) -> Column:
     """Words of a typed value, its first two and three words joined, and its id if it is one."""
     w = words(c)

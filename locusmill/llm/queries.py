@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusmill.llm import leaks, names, percentiles, tokens
+from locusmill.llm import leaks, names, percentiles, pii, tokens
 from locusmill.sources.tables import table
 
 
@@ -66,7 +66,18 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("mails"), F.max("words").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p2_percentiles, p2_days, p7_ids, p8_found, p8_places, p8_items)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents")).select("doc_id", "kind", "start_pos")
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return pii.redact(docs, pii.find(docs))
+
+
+QUERIES = {
+    f.__name__: f for f in (p1_found, p1_unmatched, p2_percentiles, p2_days, p7_ids, p8_found, p8_places, p8_items, p9_found, p9_redacted)
+}
 
 _RANKED = """
 WITH v AS (SELECT scored_on, gene, 'pred_structural' AS field, pred_structural AS x FROM dependency_corrected
