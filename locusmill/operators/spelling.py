@@ -17,6 +17,17 @@ LOOKALIKES = "АВЕКМНОРСТУХІЈЅаеорсухкмвнтіјѕΑΒΕ
 LATIN = "ABEKMHOPCTYXIJSaeopcyxkmbhtijsABEZHIKMNOPTYXo"
 
 
+# Other words for a word of the list.
+SYNONYMS: dict[str, tuple[str, ...]] = {
+    "LUNG": ("PULMONARY", "PULM"), "STOMACH": ("GASTRIC",), "KIDNEY": ("RENAL",), "BREAST": ("MAMMARY",), "LIVER": ("HEPATIC",),
+    "OVARY": ("OVARIAN",), "PANCREAS": ("PANC", "PANCREATIC"), "OESOPHAGUS": ("OESOPH", "ESOPHAGUS", "ESOPHAGEAL"),
+    "SKIN": ("CUTANEOUS", "DERMAL"), "BONE": ("OSSEOUS",), "THYROID": ("THYR",), "PROSTATE": ("PROSTATIC",),
+    "ENDOMETRIUM": ("ENDOMETRIAL", "UTERUS"), "URINARY": ("BLADDER",), "NERVOUS": ("BRAIN", "CNS"),
+    "INTESTINE": ("COLON", "COLORECTAL"), "LARGE": ("LG",), "SOFT": ("SARCOMA",),
+    "HAEMATOPOIETIC": ("HEMATOPOIETIC", "BLOOD", "HAEM"), "LYMPHOID": ("LYMPH",),
+}
+
+
 def folded(c: Column) -> Column:
     """Upper case, look-alike letters of other scripts made Latin."""
     return F.upper(F.translate(c, LOOKALIKES, LATIN))
@@ -69,19 +80,18 @@ def resolve(values: DataFrame, value: str, entries: DataFrame, name: str, entry_
     then the first words of the name by at most one edit, the nearest first. Entries whose first word
     is the same are told apart by the rest of the name; where that leaves several, nothing is meant.
     """
-    rest = lambda c: F.array_join(F.slice(words(c), 2, 20), "")
     e = entries.select(F.col(name).alias("__name"), F.col(entry_id).alias("__id")).where(F.col("__id").isNotNull()).distinct()
     v = values.select(F.col(value).alias("__v")).where(F.col("__v").isNotNull()).distinct()
-    by_name = v.join(e.where("__name is not null"), F.col("__v") == F.col("__name")).select("__v", "__id", F.lit(0).alias("cost"))
+    by_name = v.join(e.where("__name is not null"), F.col("__v") == F.col("__name")).select("__v", "__id", F.lit(0.0).alias("cost"))
     as_id = v.withColumn("__n", id_number(F.col("__v")))
-    by_id = as_id.join(e.select("__id").distinct(), F.col("__n") == F.col("__id")).select("__v", "__id", F.lit(1).alias("cost"))
-    heads = e.where("__name is not null").select("__id", F.element_at(words(F.col("__name")), 1).alias("__w"), rest(F.col("__name")).alias("__rest"))
+    by_id = as_id.join(e.select("__id").distinct(), F.col("__n") == F.col("__id")).select("__v", "__id", F.lit(1.0).alias("cost"))
+    heads = e.where("__name is not null").select("__id", F.element_at(words(F.col("__name")), 1).alias("__w"), F.slice(words(F.col("__name")), 2, 20).alias("__rest"))
     spelled = as_id.where("__n is null").select("__v", F.explode(spans(F.col("__v"))).alias("__span"))
     near = near_join(spelled.select("__span").distinct(), "__span", heads.select("__w").distinct(), "__w")
-    tail = F.array_join(words(F.col("__v")), "")
-    by_word = spelled.join(near, "__span").join(heads, "__w").select(
-        "__v", "__id", (2 + 2 * F.col("edits") + F.when(tail.endswith(F.col("__rest")), 0).otherwise(1)).alias("cost")
-    )
+    other = F.create_map(*[F.lit(x) for k, v in SYNONYMS.items() for s in v for x in (s, k)])
+    said = F.transform(words(F.col("__v")), lambda w: F.coalesce(other[w], w))
+    unsaid = F.try_divide(F.size(F.array_except("__rest", said)), F.size("__rest"))
+    by_word = spelled.join(near, "__span").join(heads, "__w").select("__v", "__id", (2 + 2 * F.col("edits") + F.coalesce(unsaid, F.lit(0))).alias("cost"))
     every = reduce(DataFrame.unionByName, [by_name, by_id, by_word])
     best = every.groupBy("__v", "__id").agg(F.min("cost").alias("cost"))
     w = Window.partitionBy("__v").orderBy("cost")
