@@ -1,4 +1,4 @@
 """Queries of the screen analysis over the given tables, with the SQL that states the same results."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from locusmill.plans import join_queries, scalar_queries  # noqa: F401
+from locusmill.plans.registry import QUERIES, SQL  # noqa: F401
