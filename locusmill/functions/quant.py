@@ -8,3 +8,8 @@ def q6(x: Column) -> Column:
     """floor(x * 1e6 + 0.5) / 1e6 as double; null and NaN become null."""
     scaled = x.cast("double") * F.lit(1e6) + F.lit(0.5)
     return F.when(~F.isnan(x.cast("double")), F.floor(scaled).cast("double") / F.lit(1e6))
+
+
+def q20(x: Column) -> Column:
+    """Rounded to multiples of 2 ** -20: for values that are often a half at the sixth decimal."""
+    return F.floor(x * F.lit(1048576.0) + F.lit(0.5)).cast("double") / F.lit(1048576.0)

@@ -25,3 +25,8 @@ def query(sql: str | None = None, name: str | None = None):
 def q(x: str) -> str:
     """The SQL twin of functions.quant.q6."""
     return f"CASE WHEN NOT isnan(CAST({x} AS DOUBLE)) THEN floor(CAST({x} AS DOUBLE) * 1e6 + 0.5) / 1e6 END"
+
+
+def q20(x: str) -> str:
+    """The SQL twin of functions.quant.q20."""
+    return f"floor(({x}) * 1048576.0::DOUBLE + 0.5::DOUBLE) / 1048576.0::DOUBLE"
