@@ -74,11 +74,12 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def orphans(refs: DataFrame, parents: DataFrame, range_rows: int = RANGE_ROWS, salts: int = 8) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, range_rows: int = RANGE_ROWS, salts: int | None = None) -> DataFrame:
     """refs: table_name, row_id, field, space, key, loaded_at. parents: space, key, added_on, removed_on.
 
     ``space`` keeps the keys of different parent tables apart. Returns table_name, row_id, field,
-    period (YYYY-MM of loaded_at), reason. Counts the parents (one job) to choose the ranges.
+    period (YYYY-MM of loaded_at), reason. Counts the parents (one job) to choose the ranges. Without
+    ``salts`` there are about as many range copies as shuffle partitions, so tasks shrink with the cluster.
     """
     key = F.concat_ws("\u0001", "space", "key")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -87,6 +88,8 @@ def orphans(refs: DataFrame, parents: DataFrame, range_rows: int = RANGE_ROWS, s
         .select(key.alias("key"), F.coalesce(micros("added_on"), F.lit(MIN)).alias("t"), F.coalesce(micros("removed_on"), F.lit(MAX)).alias("removed")).distinct()
     )
     ranges = max(1, -(-held.count() // range_rows))
+    if salts is None:
+        salts = max(2, -(-int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // ranges))
     # A key's range is fixed by the hash of its text, cut into equal stretches: the keys of a range
     # are a contiguous stretch of that order on both sides.
     range_of = F.floor((F.xxhash64("key") / F.lit(2.0**64) + 0.5) * ranges).cast("int")
