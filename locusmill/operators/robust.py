@@ -18,7 +18,7 @@ from locusmill.session import cut, small
 
 C = F.col
 GROUPS = 50_000  # most groups whose coefficients are broadcast
-CUT = 5  # passes between two written tables of coefficients
+CUT = 1  # passes between two written tables of coefficients
 
 
 def _weighted_fit(rows: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], w: Column, ridge: Sequence[Column], extra: dict[str, Column]) -> DataFrame:
