@@ -42,8 +42,9 @@ def stretch_counts(values: DataFrame, intervals: DataFrame, *by: str, fanout: in
     held = values.alias("x").join(
         broadcast_if_small(spans).alias("s"), F.col("x.grp").eqNullSafe(F.col("s.grp")) & (F.col("x.col") == F.col("s.col"))
     ).select(*[F.col(f"x.{b}") for b in by], "x.grp", "x.col", "x.v", F.explode(F.filter("s.spans", lambda s: (s["lo"] <= F.col("x.v")) & (F.col("x.v") <= s["hi"]))).alias("span"))
-    half = lambda c: F.col(c) / 2  # noqa: E731  # halves, so that the width can't overflow
-    at = F.floor((half("v") - half("span.lo")) / (half("span.hi") - half("span.lo")) * fanout)
+    width, half = F.col("span.hi") - F.col("span.lo"), lambda c: F.col(c) / 2
+    share = F.when(width <= LARGEST, (F.col("v") - F.col("span.lo")) / width).otherwise((half("v") - half("span.lo")) / (half("span.hi") - half("span.lo")))
+    at = F.floor(share * fanout)
     return held.groupBy(*by, "grp", "col", F.col("span.lo").alias("lo"), F.col("span.hi").alias("hi"), F.least(at, F.lit(fanout - 1)).alias("stretch")).agg(
         F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
     )
