@@ -56,9 +56,10 @@ def rank_entries(values: DataFrame, value: str, entries: DataFrame, name: str, e
     terms = typed.select(F.explode("__terms").alias("term")).distinct()
     words_only = vocabulary.select("word").where(~F.col("word").contains("-"))
     other = F.create_map(*[F.lit(x) for k, v in SYNONYMS.items() for s in v for x in (s, k)])
+    unknown = terms.join(vocabulary.select(F.col("word").alias("term")), "term", "left_anti")  # only these are repaired
     repaired = (
         terms.join(vocabulary.select(F.col("word").alias("term")), "term").select("term", F.col("term").alias("word"), F.lit(1.0).alias("sim"))
-        .unionByName(near_join(terms.where(~F.col("term").contains("-")), "term", words_only, "word").where("edits = 1")
+        .unionByName(near_join(unknown.where(~F.col("term").contains("-")), "term", words_only, "word")
                      .select("term", "word", (1 - F.lit(1.0) / F.length("term")).alias("sim")))
         .unionByName(terms.withColumn("word", other[F.col("term")]).where("word is not null").select("term", "word", F.lit(0.95).alias("sim")))
     )
