@@ -192,7 +192,6 @@ def quartile_bin(s, d):
     return g.join(F.broadcast(t), F.lit(True)).select("gene", q4.alias("quartile"), t3.alias("tertile"))
 
 
-_KEY = "(hash_ * 7919 + 104729) % 1000003"
 
 
 @query(f"""{D}, {_GENE_AGG}, {_EDGES.format(v='a', at='0.0, 0.2, 0.4, 0.6, 0.8, 1.0', t='g')}, eb AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(b, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]), lambda x: floor(x * 1e6 + 0.5) / 1e6))) AS edges FROM g),
@@ -246,7 +245,6 @@ def seeded_sample(s, d):
     return table(s, d, "design").select("design_id").orderBy((C("design_id") * 2654435761 + 97) % 1000003, "design_id").limit(500)
 
 
-_SLOPE = "SELECT gene, count(*) AS n, covar_samp(y, cn) AS sy, covar_samp(cn, cn) AS s FROM obs GROUP BY gene"
 
 
 @query(f"{O} SELECT gene, {q('regr_slope(y, cn)')} AS coef_cn, {q('regr_intercept(y, cn)')} AS intercept, {q('regr_r2(y, cn)')} AS r2 FROM obs GROUP BY gene")
@@ -297,7 +295,7 @@ def vif(s, d):
     return quant(x, "vif_cn", "vif_near", "vif_far")
 
 
-@query(f"{O.replace('l_suppkey AS gene', 'l_linenumber AS gene')}, {_M3}, {_FIT3} SELECT gene AS line, n, {q('b1')} AS coef_cn, {q('b2')} AS coef_near, {q('b3')} AS coef_far FROM f WHERE n >= 100".replace("(1 + l_suppkey % 3)", "(1 + l_suppkey % 3)"))
+@query(f"{O.replace('l_suppkey AS gene', 'l_linenumber AS gene')}, {_M3}, {_FIT3} SELECT gene AS line, n, {q('b1')} AS coef_cn, {q('b2')} AS coef_near, {q('b3')} AS coef_far FROM f WHERE n >= 100")
 def line_ols(s, d):
     x = stats.ols(views.observations(s, d), ["lineage"], "y", ["cn", "near", "far"], least=100)
     return quant(x.select(C("lineage").alias("line"), "n", "coef_cn", "coef_near", "coef_far"), "coef_cn", "coef_near", "coef_far")
