@@ -13,3 +13,9 @@ def q6(x: Column) -> Column:
 def q20(x: Column) -> Column:
     """Rounded to multiples of 2 ** -20: for values that are often a half at the sixth decimal."""
     return F.floor(x * F.lit(1048576.0) + F.lit(0.5)).cast("double") / F.lit(1048576.0)
+
+
+def pow2_parts(x: Column) -> tuple[Column, Column]:
+    """Mantissa (rounded to six decimals) and whole exponent of 2 ** x: relative rounding, so no size of x overflows it."""
+    whole = F.floor(x.cast("double")).cast("double")
+    return q6(F.pow(F.lit(2.0), x.cast("double") - whole)), whole

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from locusmill.functions import scalars as S
-from locusmill.functions.quant import q6
+from locusmill.functions.quant import pow2_parts, q6
 from locusmill.operators import clean
 from locusmill.plans import views
 from locusmill.plans.registry import q, query
@@ -113,6 +113,13 @@ def log2_to_cn(s, d):
     return table(s, d, "cnv").where("CopyNumber < 30").select("seg_id", q6(S.log2_to_copies(C("CopyNumber"))).alias("cn"))
 
 
+@query(f"""SELECT seg_id, {q('pow(2, x - floor(x))')} * pow(2, floor(x) + 1) AS cn, {q('x + 1')} AS log2_cn FROM (SELECT seg_id, CopyNumber::DOUBLE AS x FROM cnv)""")
+def log2_to_cn_all(s, d):
+    """Every row; null stays null. cn is rounded relatively and infinite beyond doubles, where log2_cn still holds it."""
+    mantissa, whole = pow2_parts(C("CopyNumber"))
+    return table(s, d, "cnv").select("seg_id", (mantissa * F.pow(F.lit(2.0), whole + 1)).alias("cn"), q6(C("CopyNumber") + 1).alias("log2_cn"))
+
+
 @query(f"""WITH g AS (SELECT source, quantile_cont(CopyNumber, 0.99) > 20 OR max(CopyNumber) > 50 AS abs FROM cnv WHERE CopyNumber IS NOT NULL GROUP BY source)
 SELECT seg_id, {q('CASE WHEN g.abs THEN CopyNumber ELSE 2 * pow(2, CopyNumber) END')} AS cn FROM cnv JOIN g USING (source) WHERE CopyNumber IS NOT NULL""")
 def abs_cn_guard(s, d):

@@ -40,3 +40,16 @@ def test_windows_and_flags(spark):
     near, far = S.near_far(F.col("d"), 250_000, 2_000_000)
     assert [tuple(r) for r in df.select(near, far).collect()] == [(1, 0), (1, 0), (0, 1), (0, 0)]
     assert [r[0] for r in df.select(S.qc_flags(F.col("cn"), F.col("d"))["confounded"]).collect()] == [1, 1, 0, 0]
+
+
+def test_log2_conversion_keeps_every_row(spark, data, tmp_path):
+    from locusmill.plans.scalar_queries import log2_to_cn_all
+
+    values = [None, -50.0, 0.0, 1.0, 29.5, 30.0, 35.25, 200.0, 3269.8202]
+    spark.createDataFrame(list(enumerate(values)), "seg_id long, CopyNumber double").write.parquet(str(tmp_path / "cnv.parquet"))
+    got = {r["seg_id"]: r for r in log2_to_cn_all(spark, str(tmp_path)).collect()}
+    assert len(got) == len(values) and got[0]["cn"] is None and got[0]["log2_cn"] is None
+    for i, x in enumerate(values[1:-1], 1):
+        assert abs(got[i]["cn"] / 2 ** (x + 1) - 1) < 1e-6 and got[i]["log2_cn"] == x + 1
+    assert got[8]["cn"] == float("inf") and abs(got[8]["log2_cn"] - 3270.8202) < 1e-6
+    assert log2_to_cn_all(spark, data).count() == spark.read.parquet(f"{data}/cnv.parquet").count()
