@@ -87,22 +87,11 @@ _DODGE = re.compile(
     r"([A-Za-z0-9-]+(?:(?:\.|[ \n]*[(\[{<] ?dot ?[)\]}>][ \n]*|[ \n]dot[ \n])[A-Za-z][A-Za-z0-9-]*)+)", re.I
 )
 _ID_LOCAL = re.compile(r"[0-9a-f]{6,}\.\w+(?:\.\w+)*")
-_AT = (" at ", "\nat ", " at\n", "(at)", "[at]", "{at}", "( at )", "[ at ]", "＠", "(@)", "[@]", " AT ", "(AT)", "[AT]")
-
-
-def _dodges(t: str) -> Iterator[re.Match[str]]:
-    """Spelled-out at signs with a domain behind, in order; plain search finds the few places to look at."""
-    places = []
-    for sign in _AT:
-        i = t.find(sign)
-        while i >= 0:
-            places.append(i)
-            i = t.find(sign, i + 1)
-    for i in sorted(places):
-        if m := _DODGE.match(t, i):
-            yield m
-
-
+_AT = (  # every way that _DODGE can begin, in lower case
+    *(a + x + "at" + y + b for a in "([{<" for b in ")]}>" for x in ("", " ") for y in ("", " ")),
+    *(a + "at" + b for a in " \n" for b in " \n"), "＠", *(a + "@" + b for a in "([{<" for b in ")]}>"),
+)
+ID_HEADERS = ("message-id:", "in-reply-to:", "references:", "content-id:")
 _LOCAL_BACK = re.compile(r"[ \n]*([\w.+-]+)")
 _ID_HEADER = re.compile(r"^[>| \t]*(?:message-id|in-reply-to|references|content-id|x-message-id|resent-message-id):(?:[^\n]|\n[ \t])*", re.I | re.M)
 
@@ -170,7 +159,7 @@ class Scanner:
                 for form in {w.lower(), folded(w)}:
                     if len(form) > 1:
                         words[form] = words.get(form, 0) | flag
-        for group, flag in ((STREETS.split("|"), 4), (RUES, 8), (CALLES, 16), (SUFFIXES, 32)):
+        for group, flag in ((STREETS.split("|"), 4), (RUES, 8), (CALLES, 16), (SUFFIXES, 32), (_AT, 64), (ID_HEADERS, 128)):
             for w in group:
                 words[w] = words.get(w, 0) | flag
         for w, flag in words.items():
@@ -180,17 +169,23 @@ class Scanner:
     def spans(self, stored: str) -> list[tuple[str, int, int, str]]:
         f = Flat(stored)
         t = f.text
-        emails = self._emails(f, t, stored)
         low = t.lower()
         if len(low) != len(t):  # a few letters change length in lower case
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
         hits = [(e - n + 1, e + 1, flag) for e, (n, flag) in self.a.iter(low)]
+        emails = self._emails(f, t, stored, hits)
         out = emails + self._numbers(t) + self._streets(t, hits)
         locals_ = "\n".join(t[s:e].partition("@")[0].lower() for _, s, e, _ in emails)
         out += self._names(t, hits, [(s, e) for _, s, e, _ in out], locals_)
         return [(k, f.at(s), f.end(e), v) for k, s, e, v in out]
 
-    def _emails(self, f: Flat, t: str, stored: str) -> list[tuple[str, int, int, str]]:
+    @staticmethod
+    def _ids(f: Flat, stored: str, hits: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """Places of the headers that hold ids, in the stored text; looked for where the name of one stands."""
+        starts = sorted({stored.rfind("\n", 0, f.at(s)) + 1 for s, _, flag in hits if flag & 128})
+        return [m.span() for k in starts if (m := _ID_HEADER.match(stored, k))]
+
+    def _emails(self, f: Flat, t: str, stored: str, hits: list[tuple[int, int, int]]) -> list[tuple[str, int, int, str]]:
         out = []
         ids: list[tuple[int, int]] | None = None
         i = t.find("@")
@@ -203,20 +198,20 @@ class Scanner:
                 while t[s] in ".'`=/?&|{}*!#$%^~-" and s < i - 1:
                     s += 1
                 local = t[s:i]
-                if hexed := bool(_ID_LOCAL.fullmatch(local)):
-                    if ids is None:
-                        ids = [m.span() for m in _ID_HEADER.finditer(stored)]
+                hexed = bool(_ID_LOCAL.fullmatch(local))
+                if ids is None:
+                    ids = self._ids(f, stored, hits)
+                inside = False
+                if ids:
                     place = f.at(s)
                     k = bisect_right(ids, (place, len(stored))) - 1
                     inside = k >= 0 and place < ids[k][1]
-                else:
-                    inside = False
                 tld = t[i:e].rpartition(".")[2]
-                v = "@" + _vote(tld.lower() in TLDS, not tld.isalpha()) + _vote(False, inside) + _vote(not inside and t[s - 1 : s] in "<(:\n ") + _vote(False, hexed)
+                v = "@" + _vote(tld.lower() in TLDS, not tld.isalpha()) + _vote(False, inside) + _vote(not inside and t[s - 1 : s] in "<(:\n ") + _vote(False, hexed or inside)
                 out.append(("email", s, e, v))
             i = t.find("@", i + 1)
-        if "at" in t:
-            for m in _dodges(t):
+        for k in sorted({s for s, _, flag in hits if flag & 64}):
+            if m := _DODGE.match(t, k):
                 back = _LOCAL_BACK.match(t[max(0, m.start() - 70) : m.start()][::-1].replace("\r", ""))
                 if not back:
                     continue

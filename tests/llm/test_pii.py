@@ -46,6 +46,18 @@ def test_ids_of_mails_are_voted_down(scanner):
     assert len(votes) == 4 and all(("-" in v) == ("ana" not in x) for x, v in votes.items())
 
 
+@pytest.mark.parametrize("sign", ["<at>", "< at >", "{@}", "<@>", " At ", "(At)", "[At]", "{AT}", "( AT )", "{ at }", "(at )", "( at)", "\nAT ", " aT\n", "[at)", " at ", "＠"])
+def test_every_spelling_of_the_at_sign(scanner, sign):
+    t = f"write to ana_b{sign}kest.example now"
+    assert ("email", f"ana_b{sign}kest.example") in spans(scanner, t)
+
+
+def test_ids_that_are_no_hex_numbers_are_voted_down_alike(scanner):
+    t = "Message-ID: <CAFx_kq=1@mail.example.org>\nReferences: <eff183d303.0.131@mail.example.org>\n <ana.b@kest.example>\n> In-Reply-To: <q.1@ox.example>\nFrom: <ana.b@kest.example>\n\n"
+    votes = [v for k, _, _, v in scanner.spans(t) if k == "email"]
+    assert votes[0] == votes[1] == votes[2] == votes[3] == "@+-0-" and "-" not in votes[4]
+
+
 def test_flat_places():
     for t in ("a\n> > b =C3=9F c", "x=\r\ny\r\nz", "<p>hi &lt;you&gt;</p>", "Ã¶l ä\n\n", "=?UTF-8?B?w7Y=?= end", "A" * 80 + "\nok", ""):
         f = Flat(t)
