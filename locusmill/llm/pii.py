@@ -24,7 +24,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -55,6 +55,7 @@ ORGANISATION = frozenset(
     "instruments systems group partners street st road rd avenue ave blvd lane close court square park plaza weg strasse straße building hall centre "
     "center station protocol method test score index buffer medium plan scale reagent mixer kit assay sons bros brothers consulting solutions services".split()
 )
+_NO_GIVEN = NO_FAMILY | ORGANISATION | frozenset("dr prof mr ms mrs miss mx sir herr frau hr fr mme mlle sr sra srta senor senora dra doctor professor dipl".split())
 TLDS = frozenset(
     "com org net edu gov int mil info biz io ai dev app eu uk de fr es it nl be ch at se no dk fi pl cz pt ie ca us au jp cn in br example invalid test local".split()
 )
@@ -70,6 +71,9 @@ _BEFORE = re.compile(rf"({_FAMILY}),{_S}\Z", re.I)
 _BEFORE_PLAIN = re.compile(rf"(?:^|(?<=[\s(\"'>:;,]))({_FAMILY}){_S}\Z", re.I)
 _WORD_BACK = re.compile(r"[^\W\d_]+")
 _FIRST_BACK = re.compile(r"[ \n]{1,2}(?:(\.[A-Za-z]\b)|([^\W\d_]+))")
+_PARTS = frozenset("van von de der den del della di da dos du la le el al bin ten ter zu".split())
+_GIVEN_BACK = re.compile(rf"(?:[ \n]{{1,2}}(\.[A-Za-z]))?[ \n]{{1,2}}({_L}+(?:['’\-]{_L}+)*)(?![\w'’@.])")
+_GIVEN_NEXT = re.compile(rf"(,?){_S}({_L}+(?:['’\-]{_L}+)*)(?![\w'’@])")
 _INITIAL = re.compile(rf"[A-Z]\.{_S}?(?:[A-Z]\.{_S}?)?({_FAMILY})")
 _INITIAL_BEFORE = re.compile(rf"(?<![\w.])[A-Za-z]\.{_S}?(?:[A-Za-z]\.{_S}?)?(?:{_PART})*\Z")
 _INITIAL_AFTER = re.compile(rf",{_S}[A-Z]\.(?![A-Za-z])")
@@ -150,11 +154,13 @@ def _vote(yes: object, no: object = False) -> str:
 class Scanner:
     """Candidate spans of one text with their vote patterns; built once per task from the gazetteer."""
 
-    def __init__(self, given: list[str], family: list[str]):
+    def __init__(self, given: list[str], family: list[str], pairs: Iterable[str] = ()):
+        """pairs: 'Given Family' of header names whose given name isn't in ``given``."""
         self.given, self.family = {folded(w) for w in given}, {folded(w) for w in family}
+        self.pairs = {tuple(folded(w) for w in x.split(" ")) for x in pairs}
         self.a = ahocorasick.Automaton()
         words: dict[str, int] = {}
-        for names, flag in ((given, 1), (family, 2)):
+        for names, flag in ((given, 1), (family, 2), ({x.split(" ")[1] for x in pairs}, 2)):
             for w in names:
                 for form in {w.lower(), folded(w)}:
                     if len(form) > 1:
@@ -306,6 +312,34 @@ class Scanner:
                 last = e
         return out
 
+    def _beside(self, t: str, s: int, e: int, offer: Callable[[int, int, str, str, str, str], None]) -> None:
+        """Offers what stands before the known family name at s, and behind it after a comma or as a header has the two.
+
+        A given name in the gazetteer makes its own offer."""
+        k, g, first, initial = s, "", s, None  # first: where the family name begins with its particles
+        for _ in range(4):
+            m = _GIVEN_BACK.match(t[max(0, k - 45) : k][::-1])
+            if not m:
+                break
+            k, g, initial = k - m.end(), m[2][::-1], m[1]
+            if folded(g) not in _PARTS:
+                break
+            first = k
+        front = folded(g)
+        if front in self.given:
+            return
+        fam = folded(t[s:e])
+        word = len(front) > 1 and front not in _NO_GIVEN and front not in _PARTS
+        if word and (fam in self.family and not initial or (front, fam) in self.pairs) and (m := _AFTER.match(t, k + len(g))) and m.end() >= e:
+            offer(k, m.end(), "f", g, m[2], m[0])
+        m = _GIVEN_NEXT.match(t, e)
+        if not m or (back := folded(m[2])) in self.given or len(back) < 2 or back in _NO_GIVEN:
+            return
+        if (back, fam) in self.pairs:
+            offer(first, m.end(), "F", m[2], t[first:e], t[first : m.end()])
+        elif m[1] and fam in self.family and not (word and g[0].isupper()) and m[2][0].isupper() and t[s].isupper():
+            offer(first, m.end(), "F", m[2], t[first:e], t[first : m.end()])
+
     def _names(self, t: str, hits: list[tuple[int, int, int]], taken: list[tuple[int, int]], locals_: str) -> list[tuple[str, int, int, str]]:
         mask = sorted(taken)
         found: list[tuple[int, int, int, str]] = []  # start, end, score, votes, in order of start
@@ -321,16 +355,22 @@ class Scanner:
             if last in NO_FAMILY or last in ORGANISATION or len(last) < 3 or not free(s, e):
                 return
             bare = last.rpartition("'")[2]
-            known = fw.replace("\n", " ") in self.family or last in self.family or fw.replace("'", "") in self.family
-            known_given = folded(g) in self.given
+            whole = fw.replace("\n", " ").rpartition(" ")[2]
+            paired = bool(self.pairs) and (folded(g), whole) in self.pairs
+            known = paired or fw.replace("\n", " ") in self.family or last in self.family or fw.replace("'", "") in self.family
+            known_given = paired or folded(g) in self.given
             gc, wc = g[:1].isupper(), w[-len(last) :][:1].isupper()
             caps = (gc and wc) if not (g.isupper() ^ w.isupper()) or len(g) < 3 else False
             org = t[e : e + 1] in (" ", "\n") and bool((nxt := _WORDAFTER.match(t, e)) and folded(nxt[1]) in ORGANISATION)
+            if org and shape in "fF" and not known_given:
+                return  # a company
             before = t[max(0, s - 30) : s]
             cue = s == 0 or t[s - 1] in "\n\"(" or bool(_FOLLOW.match(t, e) or _TITLE.search(before) or _CUE.search(before))
             article = before[-4:].lower().replace("\n", " ") in ("the ", "die ", "der ", "das ") or before[-3:].lower().replace("\n", " ") in ("la ", "le ", "el ")
             mailed = len(bare) > 3 and bare in locals_
-            v = shape + _vote(known_given) + _vote(known) + _vote(caps, not caps and not known) + _vote(False, org or article)
+            # an unknown word beside a known family name speaks against itself if it's written small, here or elsewhere in the text
+            common = shape in "fF" and not known_given and (not gc or f" {g.lower()} " in t)
+            v = shape + _vote(known_given, common) + _vote(known) + _vote(caps, not caps and (not known or shape in "fF" and gc != wc)) + _vote(False, org or article)
             v += _vote(cue) + _vote(mailed) + _vote(False, "\n" in joint and not known)
             score = v.count("+") - v.count("-")
             k = bisect_left(found, (s, 0))
@@ -368,6 +408,7 @@ class Scanner:
                     offer(k, e, "i", t[k], t[s:e], m[0])
                 if t[e : e + 1] == "," and (m := _INITIAL_AFTER.match(t, e)):
                     offer(s, m.end(), "I", t[m.end() - 2], t[s:e], m[0])
+                self._beside(t, s, e, offer)
         for m in _INITIAL.finditer(t):
             before = t[m.start() - 1 : m.start()]
             if before.isalnum() or before in ("_", "."):
@@ -382,9 +423,10 @@ _LETTERS = re.compile(r"[^\W\d_](?:[^\W\d_]|['’-])*")
 
 
 def gazetteer(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
-    """word, role (given or family), n: from the display names of mail headers.
+    """word, role (given, family or pair), n: from the display names of mail headers.
 
     A given name stands with at least ``least`` different family names and more often first than last.
+    Names whose first word isn't such a given name stay whole: role pair, word 'Given Family'.
     """
     head = F.substring_index(F.substring_index(text, "\n\n", 1), "\r\n\r\n", 1)
 
@@ -405,15 +447,17 @@ def gazetteer(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
     last = pairs.groupBy(F.col("f").alias("word")).agg(F.sum("n").alias("last"))
     both = first.join(last, "word", "full").na.fill(0)
     is_given = (F.col("partners") >= least) & (F.col("first") > F.col("last"))
-    return both.select("word", F.when(is_given, "given").otherwise("family").alias("role"), F.greatest("first", "last").alias("n")).where(
+    words = both.select("word", F.when(is_given, "given").otherwise("family").alias("role"), F.greatest("first", "last").alias("n")).where(
         is_given | (F.col("last") > 0)
     )
+    whole = pairs.join(both.where(is_given).select(F.col("word").alias("g")), "g", "left_anti")
+    return words.unionByName(whole.select(F.concat_ws(" ", "g", "f").alias("word"), F.lit("pair").alias("role"), "n"))
 
 
 def candidates(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", limit: int = GAZETTEER) -> DataFrame:
     """doc_id, kind, start_pos, end_pos, votes: every candidate span of every whole text."""
     kept = names.orderBy(F.desc("n"), "word").limit(limit).collect()
-    lists = docs.sparkSession.sparkContext.broadcast(([r["word"] for r in kept if r["role"] == "given"], [r["word"] for r in kept if r["role"] == "family"]))
+    lists = docs.sparkSession.sparkContext.broadcast([[r["word"] for r in kept if r["role"] == role] for role in ("given", "family", "pair")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(*lists.value)

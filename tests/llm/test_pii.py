@@ -58,6 +58,21 @@ def test_ids_that_are_no_hex_numbers_are_voted_down_alike(scanner):
     assert votes[0] == votes[1] == votes[2] == votes[3] == "@+-0-" and "-" not in votes[4]
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Participant Unka Belros, signed", {("name", "Unka Belros")}), ("unka belros wrote", {("name", "unka belros")}), ("ask UNKA\n> VAN DORN please", {("name", "UNKA\n> VAN DORN")}), ("van Dorn, Unka wrote", {("name", "van Dorn, Unka")}),
+    ("Kontakt Q. Kelmik", {("name", "Q. Kelmik")}), ("Unka Belros Ltd sent", set()), ("Dr Belros", set()), ("with Belros, please", set()),
+])
+def test_unknown_word_beside_a_known_family_name(scanner, text, want):
+    assert spans(scanner, text) == want
+
+
+def test_header_pair_in_any_order():
+    one = pii.Scanner([], [], ["Unka Sollan"])
+    for name in ("Unka Sollan", "unka sollan", "Sollan Unka", "Sollan, Unka", "SOLLAN, UNKA", "Unka Q. Sollan"):
+        assert spans(one, f"Present: {name} and") == {("name", name)}
+    assert spans(one, "Present: Other Sollan and") == set()
+
+
 def test_flat_places():
     for t in ("a\n> > b =C3=9F c", "x=\r\ny\r\nz", "<p>hi &lt;you&gt;</p>", "Ã¶l ä\n\n", "=?UTF-8?B?w7Y=?= end", "A" * 80 + "\nok", ""):
         f = Flat(t)
@@ -112,3 +127,12 @@ def test_pipeline_and_redaction(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(docs).count() == 0 and pii.redact(docs, pii.find(docs)).count() == 0
+
+
+def test_rare_given_name_of_a_header_is_found_everywhere(spark):
+    mail = "From: Unka Zweig <uz@kest.example>\n\nHello,\n\nask Zweig, Unka or me.\n\nunka zweig wrote:\n> Thanks,\n> Unka Zweig\n"
+    docs = spark.createDataFrame([*MAILS, (300, mail)], "doc_id long, text string")
+    roles = {(r["word"], r["role"]) for r in pii.gazetteer(docs).collect()}
+    assert {("Unka Zweig", "pair"), ("Zweig", "family"), ("Ana", "given")} <= roles and not any(w.startswith("Ana ") for w, _ in roles)
+    found = {mail[r["start_pos"] : r["end_pos"]] for r in pii.find(docs).where("doc_id = 300 and kind = 'name'").collect()}
+    assert found == {"Unka Zweig", "Zweig, Unka", "unka zweig"}
