@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusmill.llm.flat import Flat
-from locusmill.session import cut
+from locusmill.session import cut, small
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-GAZETTEER = 200_000  # most names kept, by number of headers; a documented bound of the broadcast
+GAZETTEER = 200_000  # most names that are broadcast; with more, each mail gets the names that its words can make
+SLICE = 500  # mails that share a scanner then
 
 # Words that never end a name, beside a given name at the start of a sentence or line.
 NO_FAMILY = frozenset(
@@ -443,6 +444,7 @@ def gazetteer(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(f, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["g", "f", "n"])
 
     pairs = docs.where(F.col(text).isNotNull()).select(head).mapInArrow(shown, "g string, f string, n long").groupBy("g", "f").agg(F.sum("n").alias("n"))
+    pairs = cut(pairs)  # read several times below
     first = pairs.groupBy(F.col("g").alias("word")).agg(F.countDistinct("f").alias("partners"), F.sum("n").alias("first"))
     last = pairs.groupBy(F.col("f").alias("word")).agg(F.sum("n").alias("last"))
     both = first.join(last, "word", "full").na.fill(0)
@@ -454,21 +456,60 @@ def gazetteer(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
     return words.unionByName(whole.select(F.concat_ws(" ", "g", "f").alias("word"), F.lit("pair").alias("role"), "n"))
 
 
+_RUN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+
+
+def _pieces(t: str) -> list[str]:
+    """Words by which a name can be looked up in a text: each run of letters small and folded, and runs with apostrophes joined."""
+    out = []
+    for run in _RUN.findall(t.lower()):
+        parts = [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+        if len(parts) > 1:  # a name that holds no apostrophe can stand for one that does
+            parts += ["".join(parts[i:]) for i in range(len(parts) - 1)]
+        for p in parts:
+            out += [p] if p.isascii() else [p, *("".join(c if c.isalpha() else " " for c in folded(p)).split())]
+    return list(dict.fromkeys(out))
+
+
 def candidates(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", limit: int = GAZETTEER) -> DataFrame:
     """doc_id, kind, start_pos, end_pos, votes: every candidate span of every whole text."""
-    kept = names.orderBy(F.desc("n"), "word").limit(limit).collect()
-    lists = docs.sparkSession.sparkContext.broadcast([[r["word"] for r in kept if r["role"] == role] for role in ("given", "family", "pair")])
+    roles, columns = ("given", "family", "pair"), ["d", "k", "s", "e", "v"]
+    out = "doc_id long, kind string, start_pos long, end_pos long, votes string"
+    docs = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(*lists.value)
+    def found(scanner: Scanner, keys: list, texts: list) -> pa.RecordBatch:
+        rows = [(k, *span) for k, t in zip(keys, texts) if t for span in scanner.spans(t)]
+        d, kind, s, e, v = zip(*rows) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(kind, pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(v, pa.string())], names=columns)
+
+    if small(names, limit):
+        kept = names.collect()
+        lists = docs.sparkSession.sparkContext.broadcast([[r["word"] for r in kept if r["role"] == role] for role in roles])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = Scanner(*lists.value)
+            for batch in batches:
+                yield found(scanner, *(c.to_pylist() for c in batch.columns))
+
+        return docs.mapInArrow(run, out)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (k, *span) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for span in scanner.spans(t)
-            ]
-            d, kind, s, e, v = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(kind, pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(v, pa.string())], names=["d", "k", "s", "e", "v"])
+            for k, t in zip(*(c.to_pylist() for c in batch.columns)):
+                words = sorted(_pieces(Flat(t).text)) if t else []
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.int64()), pa.array(words, pa.string())], names=["k", "w"])
 
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id long, kind string, start_pos long, end_pos long, votes string")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                keys, texts, own = (c.to_pylist() for c in batch.slice(i, SLICE).columns)
+                mine = {x for n in own for x in n or ()}
+                yield found(Scanner(*[[x[1:] for x in mine if x[0] == role[0]] for role in roles]), keys, texts)
+
+    first = F.udf(lambda name: sorted({p for w in name.split(" ") for form in (w.lower(), folded(w)) for p in _pieces(form)[:1]}), "array<string>")
+    by_word = names.select(F.explode(first("word")).alias("w"), F.concat(F.substring("role", 1, 1), "word").alias("name"))
+    own = docs.mapInArrow(tokens, "k long, w string").join(by_word, "w").groupBy("k").agg(F.collect_set("name").alias("names"))
+    return docs.join(own, F.col("__key").eqNullSafe(F.col("k")), "left").select("__key", "__text", "names").mapInArrow(scan, out)
 
 
 def _em(votes: np.ndarray, n: np.ndarray, rounds: int = 50, strength: float = 0.05) -> np.ndarray:

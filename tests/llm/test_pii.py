@@ -136,3 +136,13 @@ def test_rare_given_name_of_a_header_is_found_everywhere(spark):
     assert {("Unka Zweig", "pair"), ("Zweig", "family"), ("Ana", "given")} <= roles and not any(w.startswith("Ana ") for w, _ in roles)
     found = {mail[r["start_pos"] : r["end_pos"]] for r in pii.find(docs).where("doc_id = 300 and kind = 'name'").collect()}
     assert found == {"Unka Zweig", "Zweig, Unka", "unka zweig"}
+
+
+def test_names_beyond_the_broadcast_are_not_lost(spark):
+    texts = [t for _, t in MAILS] + [f"ask {x} now" for x in ("S=C3=B8ren War=C3=B6", "Renée O'Larin", "VIKTOR OLARIN", "Ann-Mary van\n> Dorn", "Waro, Soren", "D’Elm, Zed", "Unka O'Begin-Larin", "=?utf-8?Q?S=C3=B8ren_War=C3=B6?=")] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [(w, "given", 9) for w in ("Ana", "Ivo", "Søren", "Renée", "Viktor", "Ann-Mary")] + [(w, "family", 9) for w in ("Belros", "Dorn", "Warö", "Kelmik", "O'Larin", "Olarin", "Begin")]
+    names = spark.createDataFrame([*words, ("Zed D'Elm", "pair", 1)], "word string, role string, n long")
+    rows = lambda limit: sorted(map(tuple, pii.candidates(docs, names, limit=limit).collect()))
+    whole = rows(100)
+    assert sum(r[1] == "name" for r in whole) >= 16 and rows(3) == whole
