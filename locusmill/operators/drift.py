@@ -1,31 +1,39 @@
 """Delivered text files whose fields drift: one table per target, and a list of every change.
 
-Each file of a feed gets a schema fingerprint (its header names with their types); equal neighbours
-share a version. Between two files the migration steps are explicit: rename, add (default null),
-remove, cast. A rename is settled by the records that both files hold: they are aligned by tokens that
-are unique in a shared field of both, and a vanished and a new field are the same quantity if their
-values agree on the aligned records; names decide only where there are too few of those. Every file is
-then routed through the chain of its feed's renames to the canonical fields and cast.
-
-The rows stay in Spark joins and groupings throughout. Only the log of schemas (a row per file and
-field) is chained in Python, feed by feed.
+1. Each file gets a schema: the names of its header with the types of their values. The schema's
+   fingerprint doesn't depend on the order of the fields.
+2. The files of a feed are ordered by time; a file whose fingerprint differs from its predecessor's
+   begins a new version. Equal fingerprints need no further look.
+3. At the border of two versions the migration steps are stated: rename, add (default null), remove and
+   cast. A rename is settled by the records that both files hold: they are aligned by values that are
+   unique in both, and a vanished and a new field are the same quantity if their values agree on
+   the aligned records; names decide only where there are too few of those.
+4. The steps' renames are chained from version to version (by doubling pointers, so a feed of any length
+   takes a logarithmic number of joins), and every file is routed by its version: each canonical
+   field has a place in the file's records, everything else goes as text into ``extra``.
+
+A record stays one row with an array of cells from the first step to the last. Only where a border has
+both vanished and new fields are its records keyed for the alignment.
 
 Defined results: null, blank and comment lines and repeated lines hold no record, a line that repeats
-the header neither; a file without any line but comments doesn't exist; a record with too few cells has
-nulls for the rest, surplus cells are dropped; empty cells and NA are null; a field without a value has
-no type and is never retyped; equal delivery times are ordered by file name; an empty table has no
+the header neither; a file without any line but comments doesn't exist, nor one without feed or name; a
+record with too few cells has nulls for the rest, surplus cells are dropped; empty cells and NA are null;
+a field without a value has no type and is never retyped; equal delivery times are ordered by file name;
+of a name that stands twice in a header the first column counts, the other goes to ``extra``; of two fields
+that lead to one canonical field the one that bears its name, else the better known, else the first wins, and the
+other goes to ``extra`` under its own name; a cell that can't be cast goes there too; an empty table has no
 change; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusmill.session import cut
+from locusmill.session import broadcast_if_small, cut
 
 SEPARATORS = (",", ";", "\t", "|")
 MISSING = ("", "na")
@@ -42,6 +50,8 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     "dependency": ("dependency", "depscore", "geneeffect", "score", "effect", "effectv2", "dependencyscore", "chronos", "ceres"),
 }
 CANON = {"cnv": ("ModelID", "Chromosome", "Start", "End", "CopyNumber"), "dependency": ("gene", "cell_line", "dependency")}
+FIELDS = (*CANON["cnv"], *CANON["dependency"])
+FILE = ("feed", "file_name")
 
 
 def _squeezed(c: Column) -> Column:
@@ -57,6 +67,15 @@ def _family(target: Column, name: Column) -> Column:
     return out
 
 
+def _known(canonical: Column, name: Column) -> Column:
+    """0 for the canonical name itself, then the rank of the name in its family; a large number for others."""
+    out = F.lit(1000)
+    for f, names in FAMILIES.items():
+        rank = F.array_position(F.array(*[F.lit(n) for n in names]), _squeezed(name)).cast("int")
+        out = F.when((canonical == f) & (rank > 0), rank).otherwise(out)
+    return F.when(canonical == name, 0).otherwise(out)
+
+
 def _stems(name: Column) -> Column:
     """Telling words of a name: split at case and signs, without plural s and without filler words."""
     parts = F.split(F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")), " ")
@@ -65,48 +84,53 @@ def _stems(name: Column) -> Column:
 
 
 def _cells(line: Column, sep: Column) -> Column:
-    """The cells of a line, unquoted and trimmed. The separator is put in front so that each match takes one."""
-    out = F.array(F.trim(line))
+    """The cells of a line, unquoted and trimmed. In a line with quotes the separator is put in front, so that each match takes one."""
+    out = F.array(line)
     for s in SEPARATORS:
         q = "\\" + s if s in "|" else s
-        found = F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(f'{q}([ ]*"(?:[^"]|"")*"[ ]*|[^{q}]*)'), F.lit(1))
-        out = F.when(sep == s, found).otherwise(out)
-    return F.transform(out, lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')))
+        quoted = F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(f'{q}([ ]*"(?:[^"]|"")*"[ ]*|[^{q}]*)'), F.lit(1))
+        out = F.when(sep == s, F.when(line.contains('"'), quoted).otherwise(F.split(line, q, -1))).otherwise(out)
+    bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"'))
+    return F.transform(out, lambda c: F.when(c.contains('"'), bare(c)).otherwise(F.trim(c)))
 
 
 def records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct records (feed, file_name, target, delivered_at, line_no, header, cells), and files with their header."""
+    """Distinct records (feed, file_name, line_no, cells) and files (feed, file_name, target, delivered_at, header).
+
+    Writes the files. Missing cells are null.
+    """
     text = F.regexp_replace(F.col("line"), "^﻿|[\r\n]+$", "")
     lines = (
-        raw.select("feed", "file_name", "target", "delivered_at", F.col("line_no").cast("int").alias("line_no"), text.alias("line"))
+        raw.where(F.col("feed").isNotNull() & F.col("file_name").isNotNull())
+        .select(*FILE, "target", "delivered_at", F.col("line_no").cast("int").alias("line_no"), text.alias("line"))
         .where((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
     )
-    key = ["feed", "file_name"]
+    heads = lines.groupBy(*FILE).agg(F.min("line_no").alias("head_no"), F.min("delivered_at").alias("delivered"))
     bare = F.regexp_replace("h", '"[^"]*"', "")
-    counts = [F.struct(F.length(F.regexp_replace(bare, "[^\\" + s + "]" if s != "\t" else "[^\t]", "")).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(SEPARATORS)]
-    heads = (
-        lines.groupBy(*key).agg(
-            F.min_by("line", "line_no").alias("h"), F.min("line_no").alias("head_no"),
-            F.min("delivered_at").alias("delivered"), F.min("target").alias("target_"),
-        )
+    counts = [F.struct((F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(SEPARATORS)]
+    first = lines.select(*FILE, "target", F.col("line").alias("h"), F.col("line_no").alias("head_no"))
+    files = cut(
+        first.join(broadcast_if_small(heads), [*FILE, "head_no"])
+        .groupBy(*FILE, "head_no", "delivered").agg(F.min(F.struct("h", "target")).alias("x")).select(*FILE, "head_no", "delivered", "x.*")
         .withColumn("best", F.array_max(F.array(*counts)))
         .withColumn("sep", F.when(F.col("best.n") > 0, F.col("best.s")))
-        .select(*key, "head_no", "delivered", "target_", "sep", _cells(F.col("h"), F.col("sep")).alias("header"))
+        .select(*FILE, "head_no", F.col("delivered").alias("delivered_at"), "target", "sep", _cells(F.col("h"), F.col("sep")).alias("header"))
     )
-    body = lines.groupBy(*key, "line").agg(F.min("line_no").alias("line_no"))
-    return (
-        body.join(heads, key)
-        .withColumn("cells", _cells(F.col("line"), F.col("sep")))
-        .where((F.col("line_no") != F.col("head_no")) & (F.col("cells") != F.col("header")))
-        .select(*key, F.col("target_").alias("target"), F.col("delivered").alias("delivered_at"), "line_no", "header", "cells"),
-        heads.select(*key, F.col("target_").alias("target"), F.col("delivered").alias("delivered_at"), "header"),
+    body = lines.groupBy(*FILE, "line").agg(F.min("line_no").alias("line_no"))
+    parsed = (
+        body.join(broadcast_if_small(files.select(*FILE, "head_no", "sep", "header")), [*FILE])
+        .where(F.col("line_no") != F.col("head_no"))
+        .select(*FILE, "line_no", _cells(F.col("line"), F.col("sep")).alias("cells"), "header")
+        .where(F.col("cells") != F.col("header"))
+        .select(*FILE, "line_no", F.transform(F.slice("cells", 1, F.size("header")), lambda v: F.when(~F.lower(v).isin(*MISSING), v)).alias("cells"))
     )
+    return parsed, files
 
 
 def _kind(v: Column) -> Column:
     """0 integer, 1 decimal, 2 text; null for a missing value."""
     return (
-        F.when(F.lower(v).isin(*MISSING), F.lit(None).cast("int"))
+        F.when(v.isNull(), F.lit(None).cast("int"))
         .when(v.rlike("^[-+]?[0-9]+$"), 0)
         .when(v.rlike("^[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?$"), 1)
         .otherwise(2)
@@ -124,132 +148,157 @@ def _leading_number(c: str) -> Column:
     return F.expr(f"try_cast(nullif(regexp_extract({c}, '^[<>=~ ]*([-+]?[0-9]*[.]?[0-9]+([eE][-+]?[0-9]+)?)', 1), '') as double)")
 
 
+def _names(fields: Column) -> Column:
+    return F.transform(fields, lambda x: x["field"])
+
+
 class Drift:
-    """The pieces of one run over raw lines. The files and the parsed cells, which every later step
-    reads, are written to the shared checkpoint folder at once; the rest is lazy."""
+    """The pieces of one run over raw lines. The files, the parsed records and the schemas, which several
+    steps read, are written to the shared folder at once; the rest is lazy."""
 
     def __init__(self, raw: DataFrame):
-        rows, heads = records(raw)
-        files = heads.withColumn(
-            "k", F.row_number().over(Window.partitionBy("feed").orderBy("delivered_at", "file_name"))
-        )
-        self.files = files = cut(files)
-        self.cells = cut(
-            rows.join(files.select("feed", "file_name", "k"), ["feed", "file_name"])
-            .select("feed", "file_name", "target", "k", "line_no", F.posexplode(F.slice("cells", 1, F.size("header"))).alias("pos", "v"), "header")
-            .withColumn("field", F.element_at("header", F.col("pos") + 1))
-            .drop("header")
-        )
+        parsed, files = records(raw)
+        order = Window.partitionBy("feed").orderBy("delivered_at", "file_name")
+        numbered = files.select(*FILE, "target", "header", F.row_number().over(order).alias("k"))
+        self.records = cut(parsed)
+        self.schemas = cut(self._versions(numbered), after=files)
 
-    def schemas(self) -> DataFrame:
-        """One row per file and field with its type."""
-        kinds = self.cells.groupBy("feed", "k", "field").agg(F.max(_kind(F.col("v"))).alias("kind"))
-        fields = self.files.select("feed", "file_name", "target", "k", F.posexplode("header").alias("pos", "field"))
-        return fields.join(kinds, ["feed", "k", "field"], "left")
+    def _versions(self, files: DataFrame) -> DataFrame:
+        """One row per file: feed, file_name, target, k, header, fields, fingerprint, version, before, and the steps that names alone show.
 
-    def _aligned(self) -> DataFrame:
-        """Records that two neighbouring files both hold: feed, k (of the later file), rec0, rec1."""
-        value = F.regexp_replace("v", "^([-+]?[0-9]+)\\.0+$", "$1")
-        tokens = (
-            self.cells.where(~F.lower("v").isin(*MISSING))
-            .groupBy("feed", "k", "field", value.alias("token"))
-            .agg(F.count("*").alias("n"), F.min("line_no").alias("rec")).where("n = 1").drop("n")
+        ``fields``: the distinct names with their types in order of name; ``before``: the same of the file before, of which ``added``,
+        ``gone`` and ``recast`` are names.
+        """
+        kinds = (
+            self.records.select(*FILE, F.posexplode(F.transform("cells", _kind)).alias("pos", "kind")).where("kind is not null")
+            .groupBy(*FILE, "pos").agg(F.max("kind").alias("kind"))
+            .groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("pos", "kind"))).alias("kinds"))
         )
-        later = tokens.withColumnRenamed("rec", "rec1")
-        before = tokens.select("feed", (F.col("k") + 1).alias("k"), "field", "token", F.col("rec").alias("rec0"))
-        hits = later.join(before, ["feed", "k", "field", "token"]).groupBy("feed", "k", "rec0", "rec1").agg(F.count("*").alias("n"))
-        best = hits.groupBy("feed", "k", "rec1").agg(F.max_by("rec0", F.struct("n", -F.col("rec0"))).alias("rec0"), F.max("n").alias("n"))
-        return best.groupBy("feed", "k", "rec0").agg(F.max_by("rec1", F.struct("n", -F.col("rec1"))).alias("rec1"))
-
-    def steps(self, schemas: DataFrame) -> DataFrame:
-        """Migration steps: feed, file_name, k, change_kind, field, old_field."""
-        s = schemas.select("feed", "target", "k", "file_name", "field", "kind")
-        before = s.select("feed", (F.col("k") + 1).alias("k"), F.col("field").alias("field"), F.col("kind").alias("kind0"))
-        later_file = self.files.select("feed", "k", "file_name", "target")
-        both = s.where("k > 1").select("feed", "k", "field", "kind", F.lit(1).alias("now")).join(
-            before.withColumn("was", F.lit(1)), ["feed", "k", "field"], "full"
+        first = F.filter(F.transform("header", lambda h, i: F.struct(h.alias("field"), F.try_element_at("kinds", i).alias("kind"), i.alias("pos"))), lambda x: F.array_position("header", x["field"]) == x["pos"] + 1)
+        fields = F.array_sort(F.transform(first, lambda x: F.struct(x["field"].alias("field"), x["kind"].alias("kind"))))
+        said = F.transform(F.col("fields"), lambda x: F.concat_ws(":", x["field"], F.coalesce(x["kind"].cast("string"), F.lit("-"))))
+        print_ = F.substring(F.sha2(F.concat_ws("\u0001", said), 256), 1, 16)
+        order = Window.partitionBy("feed").orderBy("k")
+        fresh = F.coalesce(F.col("fingerprint") != F.lag("fingerprint").over(order), F.lit(True))
+        s = files.join(kinds, [*FILE], "left").withColumn("fields", fields).drop("kinds").withColumn("fingerprint", print_)
+        s = s.withColumn("fresh", fresh).withColumn("before", F.lag("fields").over(order)).withColumn("version", F.sum(F.col("fresh").cast("int")).over(order))
+        border = F.col("fresh") & F.col("before").isNotNull()
+        now, was = _names(F.col("fields")), _names(F.col("before"))
+        typed = lambda c: F.filter(c, lambda x: x["kind"].isNotNull())
+        other = _names(F.array_except(typed("fields"), typed("before")))
+        return s.withColumns({
+            "added": F.when(border, F.array_except(now, was)), "gone": F.when(border, F.array_except(was, now)),
+            "recast": F.when(border, F.array_intersect(other, _names(typed("before")))),
+        }).drop("fresh")
+
+    def _aligned(self) -> DataFrame:
+        """Values of vanished and new fields on records that both files of a border hold: feed, k, rec, old, new.
+
+        A record is keyed by every two neighbouring shared fields (by single ones if only two are shared);
+        a key that is unique in both files aligns the two records.
+        """
+        border = self.schemas.where((F.size("added") > 0) & (F.size("gone") > 0)).select(
+            "feed", "file_name", "k", "header", "added", "gone", F.array_intersect(_names(F.col("fields")), _names(F.col("before"))).alias("shared")
         )
-        added = both.where("was is null").select("feed", "k", F.col("field").alias("a"), F.col("kind").alias("kind1"))
-        gone = both.where("now is null").join(later_file.select("feed", "k", "target"), ["feed", "k"]).select("feed", "k", "target", F.col("field").alias("r"), "kind0")
-        pairs = gone.join(added, ["feed", "k"])
-
-        aligned = self._aligned()
-        old = (
-            self.cells.select("feed", (F.col("k") + 1).alias("k"), F.col("line_no").alias("rec0"), F.col("field").alias("r"), F.col("v").alias("u"))
-            .join(gone.select("feed", "k", "r"), ["feed", "k", "r"], "left_semi").join(aligned, ["feed", "k", "rec0"])
+        before = self.schemas.select("feed", (F.col("k") + 1).alias("k"), F.col("file_name").alias("old_file"), F.col("header").alias("old_header"))
+        pairs = border.join(before, ["feed", "k"])
+        side = lambda file, header, mine, flag: pairs.select("feed", F.col(file).alias("file_name"), "k", F.lit(flag).alias("late"), F.col(header).alias("header"), F.col(mine).alias("own"), "shared")
+        sides = side("file_name", "header", "added", 1).unionByName(side("old_file", "old_header", "gone", 0))
+        at = lambda names: F.transform(names, lambda n: F.array_position("header", n).cast("int") - 1)
+        sides = sides.select(*FILE, "k", "late", at(F.col("own")).alias("own"), at(F.col("shared")).alias("shared"))
+        value = lambda i: F.get("cells", i)
+        plain = lambda i: F.regexp_replace(value(i), "^([-+]?[0-9]+)\\.0+$", "$1")
+        n = F.size("shared")
+        both = lambda i, j: F.when(value(i).isNotNull() & value(j).isNotNull(), F.xxhash64(j, plain(i), plain(j)))
+        # the number of a key is its place among the shared names, which both files have in one order
+        keys = F.transform("shared", lambda i, m: F.when(n > 2, both(i, F.element_at("shared", F.pmod(m + 1, n) + 1))).otherwise(F.when(value(i).isNotNull(), F.xxhash64(plain(i)))))
+        keyed = (
+            self.records.join(broadcast_if_small(sides), [*FILE])
+            .select("feed", "k", "late", "line_no", F.transform("own", value).alias("vals"), F.posexplode(keys).alias("m", "key")).where("key is not null")
         )
-        new = (
-            self.cells.select("feed", "k", F.col("line_no").alias("rec1"), F.col("field").alias("a"), F.col("v").alias("w"))
-            .join(added.select("feed", "k", "a"), ["feed", "k", "a"], "left_semi")
+        mine = lambda flag, c: F.max(F.when(F.col("late") == flag, F.col(c)))
+        many = lambda flag: F.sum(F.when(F.col("late") == flag, 1).otherwise(0))
+        return (
+            keyed.groupBy("feed", "k", "m", "key").agg(many(0).alias("n0"), many(1).alias("n1"), mine(1, "line_no").alias("rec"), mine(0, "vals").alias("old"), mine(1, "vals").alias("new"))
+            .where("n0 = 1 and n1 = 1").select("feed", "k", "rec", "old", "new")
         )
+
+    def _moves(self) -> DataFrame:
+        """feed, k, moves: the renames of each border as structs of field and old_field."""
+        border = self.schemas.where((F.size("added") > 0) & (F.size("gone") > 0)).select("feed", "k", "target", "added", "gone")
         x, y = _leading_number("u"), _leading_number("w")
-        near = F.lit(False)
-        for z in (1.0, 0.01, 100.0):
-            near = near | (F.abs(x - y * z) <= 0.06 * F.greatest(F.abs(x), F.lit(0.5)))
+        near = reduce(Column.__or__, [F.abs(x - y * z) <= 0.06 * F.greatest(F.abs(x), F.lit(0.5)) for z in (1.0, 0.01, 100.0)])
         votes = (
-            old.join(new, ["feed", "k", "rec1"]).where(~F.lower("u").isin(*MISSING) & ~F.lower("w").isin(*MISSING))
-            .groupBy("feed", "k", "r", "a").agg(
-                F.count("*").alias("n"), F.countDistinct("u").alias("values"),
+            self._aligned().select("feed", "k", "rec", "new", F.posexplode("old").alias("i", "u")).where("u is not null")
+            .select("feed", "k", "rec", "i", "u", F.posexplode("new").alias("j", "w")).where("w is not null")
+            .groupBy("feed", "k", "i", "j").agg(
+                F.approx_count_distinct("rec").alias("n"), F.approx_count_distinct("u").alias("values"),
                 F.avg(F.when((F.col("u") == F.col("w")) | F.coalesce(near, F.lit(False)), 1.0).otherwise(0.0)).alias("agree"),
             )
         )
+        pairs = border.select("feed", "k", "target", "added", F.posexplode("gone").alias("i", "r")).select("feed", "k", "target", "i", "r", F.posexplode("added").alias("j", "a"))
         alike = (
             (_family(F.col("target"), F.col("r")) == _family(F.col("target"), F.col("a")))
             | (_squeezed(F.col("r")) == _squeezed(F.col("a"))) | F.arrays_overlap(_stems(F.col("r")), _stems(F.col("a")))
         )
         judged = (
-            pairs.join(votes, ["feed", "k", "r", "a"], "left")
+            pairs.join(votes, ["feed", "k", "i", "j"], "left")
             .withColumn("alike", F.coalesce(alike, F.lit(False))).na.fill({"n": 0, "values": 0, "agree": 0.0})
             .where(F.when(F.col("alike"), (F.col("n") < 3) | (F.col("agree") >= 0.2)).otherwise((F.col("n") >= 3) & (F.col("values") >= 3) & (F.col("agree") >= 0.6)))
             .withColumn("score", F.col("alike").cast("double") + 2 * F.col("agree"))
         )
         rank = lambda side, other: F.row_number().over(Window.partitionBy("feed", "k", side).orderBy(F.desc("score"), other))
-        renamed = judged.withColumn("i", rank("r", "a")).withColumn("j", rank("a", "r")).where("i = 1 and j = 1")
-        moves = renamed.select("feed", "k", F.col("a").alias("field"), F.col("r").alias("old_field"), "kind0", "kind1")
-
-        said = lambda df, kind, field, old: df.select("feed", "k", F.lit(kind).alias("change_kind"), F.col(field).alias("field"), (F.col(old) if old else F.lit("")).alias("old_field"))
-        plain_added = added.join(moves.select("feed", "k", F.col("field").alias("a")), ["feed", "k", "a"], "left_anti")
-        plain_gone = gone.join(moves.select("feed", "k", F.col("old_field").alias("r")), ["feed", "k", "r"], "left_anti")
-        recast = both.where("kind != kind0").select("feed", "k", "field")
-        recast_moved = moves.where("kind1 != kind0").select("feed", "k", "field")
-        return (
-            said(plain_added, "added", "a", None).unionByName(said(plain_gone, "removed", "r", None))
-            .unionByName(said(moves, "renamed", "field", "old_field"))
-            .unionByName(said(recast.unionByName(recast_moved), "retyped", "field", None))
-            .join(later_file.select("feed", "k", "file_name"), ["feed", "k"])
+        best = judged.withColumn("x", rank("r", "a")).withColumn("y", rank("a", "r")).where("x = 1 and y = 1")
+        return best.groupBy("feed", "k").agg(F.collect_list(F.struct(F.col("a").alias("field"), F.col("r").alias("old_field"))).alias("moves"))
+
+    def steps(self) -> DataFrame:
+        """Migration steps at the borders of versions: feed, file_name, k, version, change_kind, field, old_field."""
+        b = self.schemas.where((F.size("added") > 0) | (F.size("gone") > 0) | (F.size("recast") > 0)).join(self._moves(), ["feed", "k"], "left")
+        moves = F.coalesce("moves", F.array().cast("array<struct<field:string,old_field:string>>"))
+        kind_of = lambda fields, name: F.element_at(F.filter(fields, lambda x: x["field"] == name), 1)["kind"]
+        moved_cast = F.filter("moves", lambda m: kind_of("fields", m["field"]) != kind_of("before", m["old_field"]))
+        step = lambda kind, x, old=None: F.struct(F.lit(kind).alias("change_kind"), x.alias("field"), (F.lit("") if old is None else old).alias("old_field"))
+        every = F.concat(
+            F.transform(F.array_except("added", _names(F.col("moves"))), lambda x: step("added", x)),
+            F.transform(F.array_except("gone", F.transform("moves", lambda m: m["old_field"])), lambda x: step("removed", x)),
+            F.transform("moves", lambda m: step("renamed", m["field"], m["old_field"])),
+            F.transform("recast", lambda x: step("retyped", x)), F.transform(moved_cast, lambda m: step("retyped", m["field"])),
         )
+        return b.withColumn("moves", moves).select(*FILE, "k", "version", F.explode(every).alias("s")).select(*FILE, "k", "version", "s.*")
 
-    def routes(self, schemas: DataFrame, steps: DataFrame) -> DataFrame:
-        """Where each field of each file goes: feed, file_name, field, version, fingerprint, canonical.
+    def routes(self, steps: DataFrame) -> DataFrame:
+        """Where each field of each file goes: feed, file_name, version, fingerprint, pos, field, canonical, placed (its own column, or ``extra``).
 
-        The chain of renames is followed from a feed's first file on; a root name goes to the canonical
-        field it is known for, or keeps its own name.
+        The chain of renames leads from each version back to the first; a root name goes to the canonical
+        field it is known for, or keeps its own name. Every round doubles the length of the chains.
         """
-        renames = steps.where("change_kind = 'renamed'").select("feed", "k", "field", "old_field")
-        log = schemas.join(renames, ["feed", "k", "field"], "left").withColumn("family", _family(F.col("target"), F.col("field")))
-
-        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-            out, roots, last, version = [], {}, None, 0
-            for _, f in pdf.sort_values(["k", "pos"]).groupby("k", sort=True):
-                print_ = hashlib.sha256("|".join(f"{a}:{b}" for a, b in zip(f["field"], f["kind"])).encode()).hexdigest()[:16]
-                version += print_ != last
-                last = print_
-                before, roots = roots, {}
-                for row in f.itertuples():
-                    old = row.old_field if isinstance(row.old_field, str) else row.field
-                    roots[row.field] = before.get(old, row.family if isinstance(row.family, str) else row.field)
-                    out.append((row.feed, row.file_name, row.field, version, print_, roots[row.field]))
-            return pd.DataFrame(out, columns=["feed", "file_name", "field", "version", "fingerprint", "canonical"])
-
-        return log.groupBy("feed").applyInPandas(chain, "feed string, file_name string, field string, version int, fingerprint string, canonical string")
+        heads = self.schemas.groupBy("feed", "version").agg(F.min_by(F.struct("target", _names(F.col("fields")).alias("names"), _names(F.col("before")).alias("before")), "k").alias("x"))
+        renamed = steps.where("change_kind = 'renamed'").select("feed", "version", "field", "old_field")
+        at = heads.select("feed", "version", "x.target", "x.before", F.explode("x.names").alias("field")).join(renamed, ["feed", "version", "field"], "left")
+        old = F.coalesce("old_field", "field")
+        chained = (F.col("version") > 1) & F.array_contains("before", old)
+        nodes = cut(at.select("feed", "version", "target", "field", F.when(chained, F.col("version") - 1).otherwise(F.col("version")).alias("up"), F.when(chained, old).otherwise(F.col("field")).alias("root")))
+        longest = nodes.agg(F.max("version").alias("v")).first()["v"] or 1
+        for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
+            above = nodes.select("feed", F.col("version").alias("up"), F.col("field").alias("root"), F.col("up").alias("__up"), F.col("root").alias("__root"))
+            nodes = cut(nodes.join(above, ["feed", "up", "root"]).select("feed", "version", "target", "field", F.col("__up").alias("up"), F.col("__root").alias("root")), after=nodes)
+        lead = nodes.select("feed", "version", "field", F.coalesce(_family(F.col("target"), F.col("root")), "root").alias("canonical"))
+        columns = self.schemas.select(*FILE, "version", "fingerprint", F.posexplode("header").alias("pos", "field"))
+        w = Window.partitionBy(*FILE, "canonical").orderBy(_known(F.col("canonical"), F.col("field")), "pos")
+        own = F.col("canonical").isin(*FIELDS) & (F.row_number().over(w) == 1)
+        return columns.join(lead, ["feed", "version", "field"]).withColumn("placed", F.when(own, F.col("canonical")).otherwise("extra"))
 
     def table(self, routes: DataFrame) -> DataFrame:
-        """All records of both targets under the canonical fields; other fields go as text into ``extra``."""
-        routed = self.cells.join(routes, ["feed", "file_name", "field"]).withColumn("__v", F.when(~F.lower("v").isin(*MISSING), F.col("v")))
-        pick = lambda f, v: F.max(F.when(F.col("canonical") == f, v)).alias(f)
-        text, whole = F.col("__v"), F.expr("try_cast(try_cast(__v as double) as bigint)")
-        return routed.groupBy("target", "feed", "file_name", "line_no", "version").agg(
-            pick("ModelID", text), pick("Chromosome", text), pick("Start", whole), pick("End", whole), pick("CopyNumber", number_in("__v")),
-            pick("gene", text), pick("cell_line", text), pick("dependency", number_in("__v")),
-            F.array_join(F.array_sort(F.collect_list(F.when(~F.col("canonical").isin(*CANON["cnv"], *CANON["dependency"]) & F.col("__v").isNotNull(), F.concat_ws("=", "canonical", "__v")))), ";").alias("extra"),
-        )
+        """All records of both targets under the canonical fields; what has no place of its own goes as text into ``extra``."""
+        place = [F.max(F.when(F.col("placed") == f, F.col("pos"))).alias(f"at_{f}") for f in FIELDS]
+        name = F.when(F.col("canonical").isin(*FIELDS), F.col("field")).otherwise(F.col("canonical"))
+        others = F.collect_list(F.when(F.col("placed") == "extra", F.struct(name.alias("name"), "pos"))).alias("others")
+        files = routes.groupBy(*FILE, "version").agg(*place, others).join(self.schemas.select(*FILE, "target"), [*FILE])
+        r = self.records.join(broadcast_if_small(files), [*FILE]).withColumns({f"raw_{f}": F.get("cells", F.col(f"at_{f}")) for f in FIELDS})
+        whole = lambda f: F.expr(f"try_cast(try_cast(raw_{f} as double) as bigint)")
+        cast = {f: whole(f) if f in ("Start", "End") else number_in(f"raw_{f}") if f in ("CopyNumber", "dependency") else F.col(f"raw_{f}") for f in FIELDS}
+        r = r.withColumns(cast)
+        lost = [F.when(F.col(f"raw_{f}").isNotNull() & F.col(f).isNull(), F.concat(F.lit(f + "="), f"raw_{f}")) for f in FIELDS]
+        more = F.transform("others", lambda x: F.concat(x["name"], F.lit("="), F.get("cells", x["pos"])))
+        extra = F.array_join(F.array_sort(F.filter(F.concat(more, F.array(*lost)), lambda x: x.isNotNull())), ";")
+        return r.select("target", *FILE, "line_no", "version", *FIELDS, extra.alias("extra"))

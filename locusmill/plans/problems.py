@@ -41,20 +41,17 @@ def _drift(spark: SparkSession, d: str) -> drift.Drift:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    run = _drift(spark, d)
-    return run.steps(cut(run.schemas())).select("feed", "file_name", "change_kind", "field", "old_field")
+    return _drift(spark, d).steps().select("feed", "file_name", "change_kind", "field", "old_field")
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
     run = _drift(spark, d)
-    schemas = cut(run.schemas())
-    return run.table(run.routes(schemas, run.steps(schemas)))
+    return run.table(run.routes(cut(run.steps())))
 
 
 def p4_versions(spark: SparkSession, d: str) -> DataFrame:
     run = _drift(spark, d)
-    schemas = run.schemas()
-    return run.routes(schemas, run.steps(schemas))
+    return run.routes(cut(run.steps()))
 
 
 ENTITY = ("run_id", "model_id", "chrom")

@@ -1,14 +1,19 @@
-"""Session helpers: builder for tests and bench, shared checkpoint folder, size-checked broadcast."""
+"""Session helpers: builder for tests and bench, tables written to the shared folder, size-checked broadcast."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_BYTES = 8 << 20  # largest table file size that is broadcast
+BROADCAST_ROWS = 500_000
+
 
 def get_spark(cores: str = "*", partitions: int = 8) -> SparkSession:
+    """Session on one machine, so its folder for written tables may lie there too."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("locusmill")
@@ -18,21 +23,50 @@ def get_spark(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written to the shared folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Only a session whose tasks run in
+    the driver's own process may do without; it gets a scratch folder."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def cut(df: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """The rows written as a table to the shared folder, and read from there: lineage ends, lost executors
+    cost nothing, and later steps read only the columns they need. Runs a job.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Where that is unset, as
-    in tests on one machine, a scratch folder is set once for the session.
+    ``after``: a table of an earlier call that nothing needs any more; it is removed.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    if after is not None:
+        remove(after)
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes the table behind a result of ``cut``; anything else is left alone."""
+    if path := df.__dict__.get("written"):
+        files, p = _path(df.sparkSession, path)
+        files.delete(p, True)
 
 
 def small(df: DataFrame, max_rows: int) -> bool:
@@ -40,6 +74,13 @@ def small(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast hint only behind a counted size; otherwise the shuffle join stays. Runs a job."""
-    return F.broadcast(df) if small(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only behind a checked size in bytes and rows; otherwise the join stays to the adaptive planner.
+
+    The table is written first (unless it already is), so what leads to it runs once.
+    """
+    kept = df if df.__dict__.get("written") else cut(df)
+    files, p = _path(kept.sparkSession, kept.written)
+    if files.getContentSummary(p).getLength() > max_bytes or kept.count() > max_rows:
+        return kept
+    return F.broadcast(kept)
