@@ -26,7 +26,7 @@ def test_reasons(spark):
     ])]
     want = [("t", 0, "gene", "2024-03", "late"), ("t", 2, "gene", "2024-03", "deleted"), ("t", 4, "gene", "2024-03", "deleted"), ("t", 5, "gene", "2024-03", "missing"), ("t", 7, "gene", "2024-03", "missing"), ("t", 9, "gene", "2024-03", "deleted"), ("t", 12, "gene", None, "missing"), ("t", 13, "gene", "2024-03", "missing")]
     assert run(spark, refs, parents) == want
-    assert run(spark, refs, parents, range_rows=1, salts=3) == want
+    assert run(spark, refs, parents, range_rows=1, tasks=3) == want
 
 
 def test_empty(spark):
@@ -39,6 +39,8 @@ def test_hot_key_is_spread(spark):
     parents = spark.createDataFrame([("g", "HOT", t(2), None, "s")], PARENTS)
     out = orphans.orphans(refs, parents)
     assert out.count() == 20_000
+    tasks = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 8_000
     assert orphans.report(out).collect()[0]["n"] == 20_000
 
 
@@ -51,3 +53,20 @@ def test_resolve(spark):
         "xzyw77": "ACH-041848", "хyzw77": "ACH-041848", "ABC123_SKIN": "ACH-000002", "ACH-OOOOO4.0": "ACH-000004",
     }
     assert spelling.resolve(spark.createDataFrame([("a",)], "v string"), "v", entries.limit(0), "n", "i").count() == 0
+
+
+def test_only_hot_keys_are_salted_and_no_task_gets_more_than_its_share(spark):
+    """One key holds a tenth of the references, 200 ranges of parents hold the rest."""
+    n = 40_000
+    key = F.when(F.col("id") % 10 == 0, "HOT").otherwise(F.concat(F.lit("k"), F.pmod(F.col("id") * 7919, F.lit(5_000)).cast("string")))
+    refs = spark.range(n).select(F.lit("t").alias("table_name"), F.col("id").alias("row_id"), F.lit("f").alias("field"), F.lit("g").alias("space"), key.alias("key"), F.lit(t(1)).alias("loaded_at"))
+    parents = spark.range(5_000).select(F.lit("g").alias("space"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit(t(2)).alias("added_on"), F.lit(None).cast("timestamp").alias("removed_on"))
+    assert [k for k, _ in orphans.hot_keys(refs.select("key"), 200)] == ["HOT"]
+    out = orphans.orphans(refs, parents, range_rows=25)
+    assert {(r["reason"], r["count"]) for r in out.groupBy("reason").count().collect()} == {("missing", n // 10), ("late", n - n // 10)}
+    assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 4 * n / 200
+
+
+def test_a_very_long_key_among_short_ones(spark):
+    refs = [("t", i, "f", "g", k, t(3)) for i, k in enumerate(["x" * 50_000, *["a", "b"] * 3_000])]
+    assert run(spark, refs, [("g", "x" * 50_000, t(1), None), ("g", "a", t(1), None)]) == sorted(("t", i, "f", "2024-03", "missing") for i in range(2, 6_001, 2))
