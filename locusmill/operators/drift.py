@@ -12,8 +12,8 @@
    takes a logarithmic number of joins), and every file is routed by its version: each canonical
    field has a place in the file's records, everything else goes as text into ``extra``.
 
-A record stays one row with an array of cells from the first step to the last. Only where a border has
-both vanished and new fields are its records keyed for the alignment.
+A record stays one row with an array of cells from the first step to the last, and isn't shuffled to find the
+changes. Only where a border has both vanished and new fields are its records keyed for the alignment.
 
 Defined results: null, blank and comment lines and repeated lines hold no record, a line that repeats
 the header neither; a file without any line but comments doesn't exist, nor one without feed or name; a
@@ -52,6 +52,7 @@ FAMILIES: dict[str, tuple[str, ...]] = {
 CANON = {"cnv": ("ModelID", "Chromosome", "Start", "End", "CopyNumber"), "dependency": ("gene", "cell_line", "dependency")}
 FIELDS = (*CANON["cnv"], *CANON["dependency"])
 FILE = ("feed", "file_name")
+PACK = 20  # cells whose kinds share a number
 
 
 def _squeezed(c: Column) -> Column:
@@ -95,9 +96,9 @@ def _cells(line: Column, sep: Column) -> Column:
 
 
 def records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct records (feed, file_name, line_no, cells) and files (feed, file_name, target, delivered_at, header).
+    """Records (feed, file_name, line_no, mark, cells, kinds) and files (feed, file_name, target, delivered_at, header).
 
-    Writes the files. Missing cells are null.
+    Writes the files. Missing cells are null. Repeated lines bear the same ``mark``, the hash of their text.
     """
     text = F.regexp_replace(F.col("line"), "^﻿|[\r\n]+$", "")
     lines = (
@@ -116,15 +117,14 @@ def records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("sep", F.when(F.col("best.n") > 0, F.col("best.s")))
         .select(*FILE, "head_no", F.col("delivered").alias("delivered_at"), "target", "sep", _cells(F.col("h"), F.col("sep")).alias("header"))
     )
-    body = lines.groupBy(*FILE, "line").agg(F.min("line_no").alias("line_no"))
     parsed = (
-        body.join(broadcast_if_small(files.select(*FILE, "head_no", "sep", "header")), [*FILE])
+        lines.select(*FILE, "line_no", "line").join(broadcast_if_small(files.select(*FILE, "head_no", "sep", "header")), [*FILE])
         .where(F.col("line_no") != F.col("head_no"))
-        .select(*FILE, "line_no", _cells(F.col("line"), F.col("sep")).alias("cells"), "header")
+        .select(*FILE, "line_no", F.xxhash64("line").alias("mark"), _cells(F.col("line"), F.col("sep")).alias("cells"), "header")
         .where(F.col("cells") != F.col("header"))
-        .select(*FILE, "line_no", F.transform(F.slice("cells", 1, F.size("header")), lambda v: F.when(~F.lower(v).isin(*MISSING), v)).alias("cells"))
+        .select(*FILE, "line_no", "mark", F.transform(F.slice("cells", 1, F.size("header")), lambda v: F.when(~F.lower(v).isin(*MISSING), v)).alias("cells"))
     )
-    return parsed, files
+    return parsed.withColumn("kinds", _packed_kinds(F.col("cells"))), files
 
 
 def _kind(v: Column) -> Column:
@@ -137,6 +137,19 @@ def _kind(v: Column) -> Column:
     )
 
 
+def _packed_kinds(cells: Column) -> Column:
+    """Kinds of a record's cells as one bit of three each, ``PACK`` cells to a number: the records of a file are joined by bitwise or."""
+    bit = lambda v: F.coalesce(F.get(F.array(F.lit(1), F.lit(2), F.lit(4)), _kind(v)), F.lit(0)).cast("long")
+    one = lambda c: F.aggregate(F.reverse(F.slice(cells, c * PACK + 1, PACK)), F.lit(0).cast("long"), lambda acc, v: acc * 8 + bit(v))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / PACK).cast("int")), one)
+
+
+def _kind_at(packed: Column, pos: Column) -> Column:
+    """The widest kind that a file's records show at a place; null if they hold no value."""
+    bits = F.call_function("shiftright", F.get(packed, F.floor(pos / PACK).cast("int"))["bits"], (pos % PACK) * 3).bitwiseAND(F.lit(7).cast("long"))
+    return F.when(bits >= 4, 2).when(bits >= 2, 1).when(bits == 1, 0)
+
+
 def number_in(c: str) -> Column:
     """Cast rule of a measured value: the number in the cell, a hundredth of it before a % sign."""
     n = F.expr(f"try_cast(nullif(regexp_extract({c}, '[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?', 0), '') as double)")
@@ -170,11 +183,10 @@ class Drift:
         ``gone`` and ``recast`` are names.
         """
         kinds = (
-            self.records.select(*FILE, F.posexplode(F.transform("cells", _kind)).alias("pos", "kind")).where("kind is not null")
-            .groupBy(*FILE, "pos").agg(F.max("kind").alias("kind"))
-            .groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("pos", "kind"))).alias("kinds"))
+            self.records.select(*FILE, F.posexplode("kinds").alias("part", "bits")).groupBy(*FILE, "part").agg(F.bit_or("bits").alias("bits"))
+            .groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("part", "bits"))).alias("kinds"))
         )
-        first = F.filter(F.transform("header", lambda h, i: F.struct(h.alias("field"), F.try_element_at("kinds", i).alias("kind"), i.alias("pos"))), lambda x: F.array_position("header", x["field"]) == x["pos"] + 1)
+        first = F.filter(F.transform("header", lambda h, i: F.struct(h.alias("field"), _kind_at(F.col("kinds"), i).alias("kind"), i.alias("pos"))), lambda x: F.array_position("header", x["field"]) == x["pos"] + 1)
         fields = F.array_sort(F.transform(first, lambda x: F.struct(x["field"].alias("field"), x["kind"].alias("kind"))))
         said = F.transform(F.col("fields"), lambda x: F.concat_ws(":", x["field"], F.coalesce(x["kind"].cast("string"), F.lit("-"))))
         print_ = F.substring(F.sha2(F.concat_ws("\u0001", said), 256), 1, 16)
@@ -191,58 +203,58 @@ class Drift:
             "recast": F.when(border, F.array_intersect(other, _names(typed("before")))),
         }).drop("fresh")
 
-    def _aligned(self) -> DataFrame:
-        """Values of vanished and new fields on records that both files of a border hold: feed, k, rec, old, new.
+    def _votes(self) -> DataFrame:
+        """How far vanished and new fields agree on records that both files of a border hold: feed, k, i (of the vanished), j (of the new), n, values, agree.
 
-        A record is keyed by every two neighbouring shared fields (by single ones if only two are shared);
-        a key that is unique in both files aligns the two records.
+        A record is keyed by pairs of neighbouring shared fields, so that every field stands in a key (by single fields if
+        only two are shared); a key that one record alone bears in either file aligns the two. Of the values only a hash and
+        the leading number travel.
         """
         border = self.schemas.where((F.size("added") > 0) & (F.size("gone") > 0)).select(
             "feed", "file_name", "k", "header", "added", "gone", F.array_intersect(_names(F.col("fields")), _names(F.col("before"))).alias("shared")
         )
         before = self.schemas.select("feed", (F.col("k") + 1).alias("k"), F.col("file_name").alias("old_file"), F.col("header").alias("old_header"))
         pairs = border.join(before, ["feed", "k"])
-        side = lambda file, header, mine, flag: pairs.select("feed", F.col(file).alias("file_name"), "k", F.lit(flag).alias("late"), F.col(header).alias("header"), F.col(mine).alias("own"), "shared")
-        sides = side("file_name", "header", "added", 1).unionByName(side("old_file", "old_header", "gone", 0))
+        side = lambda file, header, mine, other, flag: pairs.select("feed", F.col(file).alias("file_name"), "k", F.lit(flag).alias("late"), F.col(header).alias("header"), F.col(mine).alias("own"), F.size(other).alias("others"), "shared")
+        sides = side("file_name", "header", "added", "gone", 1).unionByName(side("old_file", "old_header", "gone", "added", 0))
         at = lambda names: F.transform(names, lambda n: F.array_position("header", n).cast("int") - 1)
-        sides = sides.select(*FILE, "k", "late", at(F.col("own")).alias("own"), at(F.col("shared")).alias("shared"))
+        sides = sides.select(*FILE, "k", "late", "others", at(F.col("own")).alias("own"), at(F.col("shared")).alias("shared"))
         value = lambda i: F.get("cells", i)
         plain = lambda i: F.regexp_replace(value(i), "^([-+]?[0-9]+)\\.0+$", "$1")
         n = F.size("shared")
         both = lambda i, j: F.when(value(i).isNotNull() & value(j).isNotNull(), F.xxhash64(j, plain(i), plain(j)))
         # the number of a key is its place among the shared names, which both files have in one order
-        keys = F.transform("shared", lambda i, m: F.when(n > 2, both(i, F.element_at("shared", F.pmod(m + 1, n) + 1))).otherwise(F.when(value(i).isNotNull(), F.xxhash64(plain(i)))))
+        paired = F.transform(F.sequence(F.lit(0), n - 1, F.lit(2)), lambda m: both(F.get("shared", m), F.get("shared", F.pmod(m + 1, n))))
+        single = F.transform("shared", lambda i: F.when(value(i).isNotNull(), F.xxhash64(plain(i))))
+        keys = F.when(n == 0, F.array().cast("array<bigint>")).when(n > 2, paired).otherwise(single)
         keyed = (
-            self.records.join(broadcast_if_small(sides), [*FILE])
-            .select("feed", "k", "late", "line_no", F.transform("own", value).alias("vals"), F.posexplode(keys).alias("m", "key")).where("key is not null")
+            self.records.select(*FILE, "mark", "cells").join(broadcast_if_small(sides), [*FILE])
+            .select("feed", "k", "late", "mark", "others", F.transform("own", value).alias("vals"), F.posexplode(keys).alias("m", "key")).where("key is not null")
+            .select("feed", "k", "late", "mark", "m", "key", "others", F.posexplode("vals").alias("own", "v")).where("v is not null")
+            .select("feed", "k", "late", "mark", "m", "key", "own", F.xxhash64("v").alias("h"), _leading_number("v").alias("x"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
         )
-        mine = lambda flag, c: F.max(F.when(F.col("late") == flag, F.col(c)))
-        many = lambda flag: F.sum(F.when(F.col("late") == flag, 1).otherwise(0))
-        return (
-            keyed.groupBy("feed", "k", "m", "key").agg(many(0).alias("n0"), many(1).alias("n1"), mine(1, "line_no").alias("rec"), mine(0, "vals").alias("old"), mine(1, "vals").alias("new"))
-            .where("n0 = 1 and n1 = 1").select("feed", "k", "rec", "old", "new")
+        late = F.col("late") == 1
+        sided = lambda f, c, flag: f(F.when(late if flag else ~late, F.col(c)))
+        both_hold = (
+            keyed.groupBy("feed", "k", "m", "key", F.when(late, F.col("other")).otherwise(F.col("own")).alias("i"), F.when(late, F.col("own")).otherwise(F.col("other")).alias("j"))
+            .agg(*[sided(f, c, flag).alias(f"{name}{flag}") for flag in (0, 1) for name, f, c in (("a", F.min, "mark"), ("b", F.max, "mark"), ("h", F.max, "h"), ("x", F.max, "x"))])
+            .where("a0 = b0 and a1 = b1")
         )
+        x, y = F.col("x0"), F.col("x1")
+        near = reduce(Column.__or__, [F.abs(x - y * z) <= 0.06 * F.greatest(F.abs(x), F.lit(0.5)) for z in (1.0, 0.01, 100.0)])
+        agree = F.avg(F.when((F.col("h0") == F.col("h1")) | F.coalesce(near, F.lit(False)), 1.0).otherwise(0.0))
+        return both_hold.groupBy("feed", "k", "i", "j").agg(F.approx_count_distinct("a1").alias("n"), F.approx_count_distinct("h0").alias("values"), agree.alias("agree"))
 
     def _moves(self) -> DataFrame:
         """feed, k, moves: the renames of each border as structs of field and old_field."""
         border = self.schemas.where((F.size("added") > 0) & (F.size("gone") > 0)).select("feed", "k", "target", "added", "gone")
-        x, y = _leading_number("u"), _leading_number("w")
-        near = reduce(Column.__or__, [F.abs(x - y * z) <= 0.06 * F.greatest(F.abs(x), F.lit(0.5)) for z in (1.0, 0.01, 100.0)])
-        votes = (
-            self._aligned().select("feed", "k", "rec", "new", F.posexplode("old").alias("i", "u")).where("u is not null")
-            .select("feed", "k", "rec", "i", "u", F.posexplode("new").alias("j", "w")).where("w is not null")
-            .groupBy("feed", "k", "i", "j").agg(
-                F.approx_count_distinct("rec").alias("n"), F.approx_count_distinct("u").alias("values"),
-                F.avg(F.when((F.col("u") == F.col("w")) | F.coalesce(near, F.lit(False)), 1.0).otherwise(0.0)).alias("agree"),
-            )
-        )
         pairs = border.select("feed", "k", "target", "added", F.posexplode("gone").alias("i", "r")).select("feed", "k", "target", "i", "r", F.posexplode("added").alias("j", "a"))
         alike = (
             (_family(F.col("target"), F.col("r")) == _family(F.col("target"), F.col("a")))
             | (_squeezed(F.col("r")) == _squeezed(F.col("a"))) | F.arrays_overlap(_stems(F.col("r")), _stems(F.col("a")))
         )
         judged = (
-            pairs.join(votes, ["feed", "k", "i", "j"], "left")
+            pairs.join(self._votes(), ["feed", "k", "i", "j"], "left")
             .withColumn("alike", F.coalesce(alike, F.lit(False))).na.fill({"n": 0, "values": 0, "agree": 0.0})
             .where(F.when(F.col("alike"), (F.col("n") < 3) | (F.col("agree") >= 0.2)).otherwise((F.col("n") >= 3) & (F.col("values") >= 3) & (F.col("agree") >= 0.6)))
             .withColumn("score", F.col("alike").cast("double") + 2 * F.col("agree"))
@@ -294,7 +306,8 @@ class Drift:
         name = F.when(F.col("canonical").isin(*FIELDS), F.col("field")).otherwise(F.col("canonical"))
         others = F.collect_list(F.when(F.col("placed") == "extra", F.struct(name.alias("name"), "pos"))).alias("others")
         files = routes.groupBy(*FILE, "version").agg(*place, others).join(self.schemas.select(*FILE, "target"), [*FILE])
-        r = self.records.join(broadcast_if_small(files), [*FILE]).withColumns({f"raw_{f}": F.get("cells", F.col(f"at_{f}")) for f in FIELDS})
+        once = self.records.groupBy(*FILE, "mark", "cells").agg(F.min("line_no").alias("line_no"))
+        r = once.join(broadcast_if_small(files), [*FILE]).withColumns({f"raw_{f}": F.get("cells", F.col(f"at_{f}")) for f in FIELDS})
         whole = lambda f: F.expr(f"try_cast(try_cast(raw_{f} as double) as bigint)")
         cast = {f: whole(f) if f in ("Start", "End") else number_in(f"raw_{f}") if f in ("CopyNumber", "dependency") else F.col(f"raw_{f}") for f in FIELDS}
         r = r.withColumns(cast)
