@@ -4,16 +4,18 @@
    count in Spark).
 2. One scan of every whole text proposes candidate spans and lets the labelers of the kind vote on each:
    shapes (regular expressions), the gazetteer, and the words and signs around the span. Votes are +, 0
-   (abstains) and -. The scan ends in rows of place, kind and vote pattern.
+   (abstains) and -. Beside the votes the scan notes how the span itself looks: the shape of its letters, the
+   words and signs beside it, header or body. The scan ends in a row per mail with its spans.
 3. Vote patterns are counted over the whole corpus. EM on these counts (a few hundred rows at any corpus
    size: at most 3 ** labelers per kind and shape) estimates how each labeler votes on true and false
-   spans. Its soft labels train a logistic classifier for each kind on votes and shape.
-4. The classifier's probability per pattern is joined back to the candidates.
+   spans.
+4. EM's soft labels train a logistic span classifier for each kind on the looks of a bounded sample of spans (``SAMPLE``). It judges
+   every span together with its votes, so what a span looks like may overrule its labelers.
 
 ``start_pos`` counts code points of the stored text; ``flat`` maps escapes, quote marks and line ends.
 
 Defined results: null and empty texts have no spans, their redacted text is the text itself; each
-repetition is a span; ids in Message-ID, In-Reply-To and References are no mail addresses; base64 is
+repetition is a span; names, addresses and numbers may be of any length; ids in Message-ID, In-Reply-To and References are no mail addresses; base64 is
 not decoded; spans that overlap are replaced by one placeholder, the one that begins first.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -39,6 +42,9 @@ from locusmill.session import cut, small
 KINDS = ("email", "phone", "id_number", "address", "name")
 GAZETTEER = 200_000  # most names that are broadcast; with more, each mail gets the names that its words can make
 SLICE = 500  # mails that share a scanner then
+SAMPLE = 100_000  # most labelled spans that the classifier is fitted on
+LOOKS = 4096  # numbers that a span's looks are hashed to
+CERTAIN = 0.001  # least doubt that votes leave
 
 # Words that never end a name, beside a given name at the start of a sentence or line.
 NO_FAMILY = frozenset(
@@ -148,6 +154,40 @@ def folded(word: str) -> str:
     return w if w.isascii() else "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c))
 
 
+def _left(t: str, s: int, width: int, words: int) -> str:
+    """What stands before s: ``width`` characters, and more until it holds ``words`` words or the text begins."""
+    a = max(0, s - width)
+    while a and len((x := t[a:s]).split()) <= words + (not x[:1].isspace()):
+        a = max(0, a - 4 * (s - a))
+    return t[a:s]
+
+
+def _look(t: str, s: int, e: int, head: int) -> list[str]:
+    """How a span looks: shape of its characters, the words and signs beside it, header or body."""
+    shape = _RUNS.sub(r"\1", t[s:e].translate(_SHAPES))
+    before, after = _left(t, s, 24, 1), t[e : e + 24]
+    word, follow = _LAST_WORD.search(before), _NEXT_WORD.match(after)
+    return [shape, "<" + (word[1].lower() if word else ""), ">" + (follow[1].lower() if follow else ""), "[" + before[-1:], "]" + after[:1], "h" if s < head else "b", "#" + str((e - s).bit_length())]
+
+
+class _Shapes(dict):
+    def __missing__(self, c: int) -> int:
+        x = chr(c)
+        self[c] = ord("9" if x.isdigit() else "A" if x.isupper() else "a" if x.isalpha() else " " if x.isspace() else x)
+        return self[c]
+
+
+_SHAPES = _Shapes()
+_RUNS = re.compile(r"(.)\1+")
+_LAST_WORD = re.compile(r"([^\W_]+)[\W_]*\Z")
+_NEXT_WORD = re.compile(r"[\W_]*([^\W_]+)")
+
+
+@functools.lru_cache(maxsize=200_000)
+def _hashed(kind: str, look: str) -> int:
+    return zlib.crc32(f"{kind}{look}".encode("utf-8", "surrogatepass")) % LOOKS
+
+
 def _vote(yes: object, no: object = False) -> str:
     return "+" if yes else "-" if no else "0"
 
@@ -173,7 +213,8 @@ class Scanner:
             self.a.add_word(w, (len(w), flag))
         self.a.make_automaton()
 
-    def spans(self, stored: str) -> list[tuple[str, int, int, str]]:
+    def spans(self, stored: str) -> list[tuple[str, int, int, str, list[int]]]:
+        """Kind, place in the stored text, votes and hashed looks of each candidate."""
         f = Flat(stored)
         t = f.text
         low = t.lower()
@@ -184,7 +225,8 @@ class Scanner:
         out = emails + self._numbers(t) + self._streets(t, hits)
         locals_ = "\n".join(t[s:e].partition("@")[0].lower() for _, s, e, _ in emails)
         out += self._names(t, hits, [(s, e) for _, s, e, _ in out], locals_)
-        return [(k, f.at(s), f.end(e), v) for k, s, e, v in out]
+        head = t.find("\n\n")
+        return [(k, f.at(s), f.end(e), v, [_hashed(k, x) for x in _look(t, s, e, head)]) for k, s, e, v in out]
 
     @staticmethod
     def _ids(f: Flat, stored: str, hits: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -197,8 +239,10 @@ class Scanner:
         ids: list[tuple[int, int]] | None = None
         i = t.find("@")
         while i >= 0:
-            cut_ = _NOT_LOCAL.search(t[max(0, i - 70) : i][::-1])
-            s = i - cut_.start() if cut_ else max(0, i - 70)
+            width = 70
+            while not (cut_ := _NOT_LOCAL.search(t[max(0, i - width) : i][::-1])) and width < i:
+                width *= 4
+            s = i - cut_.start() if cut_ else 0
             right = _DOMAIN.match(t, i + 1)
             if s < i and right:
                 e = right.end()
@@ -219,7 +263,9 @@ class Scanner:
             i = t.find("@", i + 1)
         for k in sorted({s for s, _, flag in hits if flag & 64}):
             if m := _DODGE.match(t, k):
-                back = _LOCAL_BACK.match(t[max(0, m.start() - 70) : m.start()][::-1].replace("\r", ""))
+                width = 70
+                while (back := _LOCAL_BACK.match(t[max(0, m.start() - width) : m.start()][::-1].replace("\r", ""))) and back.end() >= width and width < m.start():
+                    width *= 4
                 if not back:
                     continue
                 s, local = m.start() - back.end(), back[1][::-1]
@@ -291,7 +337,7 @@ class Scanner:
             if not flag & 60 or t[e : e + 1].isalpha():
                 continue
             if flag & 32 and t[e : e + 1] in (" ", "\n", "."):
-                k = s - _WORD_START.match(t[max(0, s - 40) : s][::-1]).end()
+                k = s - _WORD_START.match(_left(t, s, 40, 1)[::-1]).end()
                 if m := _STREET_D.match(t, k):
                     found.add((k, m.end(), "D"))
             if s and (t[s - 1].isalpha() or t[s - 1] in "_-"):
@@ -299,7 +345,7 @@ class Scanner:
             if flag & 16 and (m := _STREET_C.match(t, s)):
                 found.add((s, m.end(), "C"))
             if flag & 12:
-                for run in _DIGITS.finditer(t, max(0, s - 80), s):
+                for run in _DIGITS.finditer(t, s - len(_left(t, s, 80, 5)), s):  # the number, a letter and three words at most
                     k = run.start()
                     if run.end() - k <= 5 and t[k - 1 : k] in ("", " ", "\n", "(", ">", '"', "'"):
                         for code, rx in (("A", _STREET_A), ("B", _STREET_B)):
@@ -319,7 +365,7 @@ class Scanner:
         A given name in the gazetteer makes its own offer."""
         k, g, first, initial = s, "", s, None  # first: where the family name begins with its particles
         for _ in range(4):
-            m = _GIVEN_BACK.match(t[max(0, k - 45) : k][::-1])
+            m = _GIVEN_BACK.match(_left(t, k, 45, 3)[::-1])
             if not m:
                 break
             k, g, initial = k - m.end(), m[2][::-1], m[1]
@@ -394,16 +440,16 @@ class Scanner:
                 if s > 2 and t[s - 1] in " \n":
                     gap = 2 if t[s - 2] in " \n" else 1
                     comma = t[s - gap - 1] == ","
-                    word = _WORD_BACK.match(t[max(0, s - 40) : s - gap - comma][::-1])
+                    word = _WORD_BACK.match(_left(t, s - gap - comma, 40, 1)[::-1])
                     if word and (comma or folded(word[0][::-1]) in self.family):
-                        left = t[max(0, s - 45) : s]
+                        left = _left(t, s, 45, 6)
                         m = (_BEFORE if comma else _BEFORE_PLAIN).search(left)
                         if m and comma and (x := _FIRST_BACK.match(left[: m.start(1)][::-1])) and (x[1] or folded(x[2][::-1]) in self.given):
                             m = None  # the family name belongs to the given name before it
                         if m:
                             offer(s - len(left) + m.start(1), e, "," if comma else "w", g, m[1], m[0])
             if flag & 2:
-                left = t[max(0, s - 20) : s]
+                left = _left(t, s, 20, 5) if "." in t[max(0, s - 40) : s] else ""
                 if "." in left and (m := _INITIAL_BEFORE.search(left)):
                     k = s - len(left) + m.start()
                     offer(k, e, "i", t[k], t[s:e], m[0])
@@ -438,7 +484,7 @@ def gazetteer(docs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
                 for line in _ADDRESSES.findall(h):
                     for last, first, plain, after in _SHOWN.findall(line):
                         w = (f"{first} {last}" if last else plain or after).split()
-                        if 2 <= len(w) <= 5 and _LETTERS.fullmatch("".join(w)):
+                        if 2 <= len(w) and _LETTERS.fullmatch("".join(w)):
                             seen[w[0], w[-1]] += 1
             g, f = zip(*seen) if seen else [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.string()), pa.array(f, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["g", "f", "n"])
@@ -471,16 +517,23 @@ def _pieces(t: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def candidates(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", limit: int = GAZETTEER) -> DataFrame:
-    """doc_id, kind, start_pos, end_pos, votes: every candidate span of every whole text."""
-    roles, columns = ("given", "family", "pair"), ["d", "k", "s", "e", "v"]
-    out = "doc_id long, kind string, start_pos long, end_pos long, votes string"
+SPANS = "array<struct<kind: string, start_pos: long, end_pos: long, votes: string, looks: array<int>>>"
+_KINDS = pa.struct([("kind", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("votes", pa.string()), ("looks", pa.list_(pa.int32()))])
+
+
+def candidates(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", limit: int = GAZETTEER, keep_text: bool = False) -> DataFrame:
+    """doc_id, spans (and text): every candidate span of every whole text, a row per mail."""
+    roles = ("given", "family", "pair")
+    out = "doc_id long, " + "text string, " * keep_text + "spans " + SPANS
     docs = docs.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
 
     def found(scanner: Scanner, keys: list, texts: list) -> pa.RecordBatch:
-        rows = [(k, *span) for k, t in zip(keys, texts) if t for span in scanner.spans(t)]
-        d, kind, s, e, v = zip(*rows) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(kind, pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(v, pa.string())], names=columns)
+        spans = [scanner.spans(t) if t else [] for t in texts]
+        flat = [s for own in spans for s in own]
+        columns = [pa.array(c, kind.type) for c, kind in zip(zip(*flat) if flat else [[]] * 5, _KINDS)]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, spans)]), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(_KINDS)))
+        kept = [pa.array(texts, pa.string())] * keep_text
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *kept, lists], names=["d", *["t"] * keep_text, "s"])
 
     if small(names, limit):
         kept = names.collect()
@@ -534,61 +587,114 @@ def _em(votes: np.ndarray, n: np.ndarray, rounds: int = 50, strength: float = 0.
     return p
 
 
-def _logistic(x: np.ndarray, p: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Probability from a logistic classifier trained on soft labels with counts as weights (Newton steps)."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    scale = n / n.mean()
-    for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (scale * q * (1 - q))[:, None]).T @ x + ridge * np.eye(len(w)) * 0.01
-        w += np.linalg.solve(h, x.T @ (scale * (p - q)) - ridge * 0.01 * w)
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+class Judge:
+    """Span classifier of one kind. A logistic model of the looks alone learns EM's labels, so it sees the spans from another
+    side than the labelers; its log odds over the share of true spans are added to those of the votes."""
+
+    def __init__(self, patterns: dict[str, float]):
+        """patterns: probability of each vote pattern by EM."""
+        odds = {v: min(max(p, CERTAIN), 1 - CERTAIN) for v, p in patterns.items()}
+        self.votes = {v: float(np.log(p / (1 - p))) for v, p in odds.items()}
+        self.looks, self.base, self.prior = np.zeros(LOOKS), 0.0, 0.0
+
+    def looked(self, looks: np.ndarray) -> np.ndarray:
+        return self.base + self.looks[looks].sum(axis=1)
+
+    def score(self, votes: pd.Series, looks: np.ndarray) -> np.ndarray:
+        """Log odds that the span is true."""
+        return votes.map(self.votes).fillna(0.0).to_numpy(dtype=float) + self.looked(looks) - self.prior
+
+    def fit(self, looks: np.ndarray, p: np.ndarray, rounds: int = 150, ridge: float = 2.0) -> None:
+        """Steps of Adagrad on all labelled spans at once; ``ridge`` draws every weight to 0, so rare looks say little."""
+        share = float(np.clip(p.mean(), CERTAIN, 1 - CERTAIN))
+        self.base = self.prior = float(np.log(share / (1 - share)))
+        seen, last = np.full(LOOKS, 1e-3), 1e-3
+        for _ in range(rounds):
+            miss = 1 / (1 + np.exp(-np.clip(self.looked(looks), -30, 30))) - p
+            step, all_ = np.bincount(looks.ravel(), np.repeat(miss, looks.shape[1]), LOOKS) + ridge * self.looks, float(miss.sum())
+            seen, last = seen + step * step, last + all_ * all_
+            self.looks -= 0.5 * step / np.sqrt(seen)
+            self.base -= 0.5 * all_ / last**0.5
 
 
-def train(counts: pd.DataFrame) -> pd.DataFrame:
-    """kind, votes, p from kind, votes, n: EM for the labelers, then the classifier, kind by kind."""
+def soft_labels(counts: pd.DataFrame) -> pd.DataFrame:
+    """kind, votes, p from kind, votes, n: what EM makes of the labelers' votes, kind by kind."""
     out = []
     for kind, c in counts.groupby("kind"):
         votes = np.array([["-0+".index(ch) for ch in v[1:]] for v in c["votes"]])
-        n = c["n"].to_numpy(dtype=float)
-        soft = _em(votes, n)
-        shapes = pd.get_dummies(c["votes"].str[0]).to_numpy(dtype=float)
-        x = np.hstack([np.eye(3)[votes].reshape(len(votes), -1), shapes])
-        out.append(pd.DataFrame({"kind": kind, "votes": c["votes"].to_numpy(), "n": n, "soft": soft, "p": _logistic(x, soft, n)}))
-    return pd.concat(out) if out else pd.DataFrame({"kind": [], "votes": [], "n": [], "soft": [], "p": []})
+        out.append(pd.DataFrame({"kind": kind, "votes": c["votes"].to_numpy(), "p": _em(votes, c["n"].to_numpy(dtype=float))}))
+    return pd.concat(out) if out else pd.DataFrame({"kind": [], "votes": [], "p": []})
+
+
+def train(labels: pd.DataFrame, sample: pd.DataFrame) -> dict[str, Judge]:
+    """A classifier for each kind. labels: kind, votes, p; sample: spans with kind, votes, looks."""
+    out = {k: Judge(dict(zip(c["votes"], c["p"]))) for k, c in labels.groupby("kind")}
+    for kind, c in sample.merge(labels, on=["kind", "votes"]).groupby("kind"):
+        out[kind].fit(np.stack(c["looks"].to_numpy()), c["p"].to_numpy(dtype=float))
+    return out
+
+
+def _judged(judges: dict[str, Judge], kinds: pd.Series, votes: pd.Series, looks: np.ndarray) -> np.ndarray:
+    """Probability of each span."""
+    p = np.zeros(len(kinds))
+    for kind, judge in judges.items():
+        own = np.flatnonzero(kinds.to_numpy() == kind)
+        if len(own):
+            p[own] = 1 / (1 + np.exp(-np.clip(judge.score(votes.iloc[own].reset_index(drop=True), looks[own]), -30, 30)))
+    return p
+
+
+def _flat(spans: DataFrame) -> DataFrame:
+    return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+
+def fit(spans: DataFrame, sample: int = SAMPLE) -> dict[str, Judge]:
+    """The classifiers for a written table of candidates. The driver gets the counts of vote patterns and at most about ``sample`` spans."""
+    flat = _flat(spans)
+    counts = flat.groupBy("kind", "votes").agg(F.count("*").alias("n")).toPandas()
+    kinds = counts.groupby("kind")["n"].sum()
+    share = max(1, len(kinds))
+    every = F.create_map(*[F.lit(x) for k, n in kinds.items() for x in (k, max(1, -(-int(n) * share // sample)))]) if len(kinds) else F.create_map(F.lit(""), F.lit(1))
+    rows = flat.where(F.pmod(F.xxhash64("doc_id", "start_pos"), every[F.col("kind")]) == 0).select("kind", "votes", "looks").toPandas()
+    return train(soft_labels(counts), rows) if len(rows) else {}
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, kind, start_pos, end_pos, p of every personal span. Writes the candidates to the shared
-    folder and brings only the counts of vote patterns to the driver."""
+    """doc_id, kind, start_pos, end_pos, p of every personal span. Writes the candidates to the shared folder."""
     spans = cut(candidates(docs, gazetteer(docs, text), key, text))
-    model = train(spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).toPandas())
-    table = docs.sparkSession.createDataFrame(
-        [(str(k), str(v), float(p)) for k, v, p in zip(model["kind"], model["votes"], model["p"])], "kind string, votes string, p double"
-    )
-    return spans.join(F.broadcast(table), ["kind", "votes"]).where("p >= 0.5").select("doc_id", "kind", "start_pos", "end_pos", "p")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(spans))
 
+    @F.pandas_udf("double")
+    def judged(kind: pd.Series, votes: pd.Series, looks: pd.Series) -> pd.Series:
+        return pd.Series(_judged(shared.value, kind, votes, np.stack(looks.to_numpy())) if len(kind) else [], dtype=float)
 
-def redact(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and text with ``[KIND]`` in place of every span."""
+    return _flat(spans).withColumn("p", judged("kind", "votes", "looks")).where("p >= 0.5").select("doc_id", "kind", "start_pos", "end_pos", "p")
 
-    @F.pandas_udf("string")
-    def replaced(texts: pd.Series, marks: pd.Series) -> pd.Series:
-        out = []
-        for t, found in zip(texts, marks):
-            if t is None or found is None:
-                out.append(t)
-                continue
-            parts, at = [], 0
-            for m in sorted(found, key=lambda m: (m["start_pos"], -m["end_pos"])):
-                if m["start_pos"] >= at:
-                    parts += [t[at : m["start_pos"]], f"[{m['kind'].upper()}]"]
-                at = max(at, m["end_pos"])
-            out.append("".join(parts) + t[at:])
-        return pd.Series(out, dtype=object)
-
-    marks = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_pos", "end_pos", "kind")).alias("__marks"))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(marks, "doc_id", "left").select(
-        "doc_id", replaced("text", "__marks").alias("text")
-    )
+
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and text with ``[KIND]`` in place of every span. The texts are written beside their candidates, so no text is shuffled."""
+    spans = cut(candidates(docs, gazetteer(docs, text), key, text, keep_text=True))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(spans))
+
+    def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            kind, start, stop, votes = (flat.field(i).to_pandas() for i in range(4))
+            looks = flat.field(4).flatten().to_numpy().reshape(len(kind), -1) if len(kind) else np.zeros((0, 1), int)
+            true = _judged(shared.value, kind, votes, looks) >= 0.5
+            out = []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                own = [j for j in range(ends[i], ends[i + 1]) if true[j]]
+                if t is None or not own:
+                    out.append(t)
+                    continue
+                parts, at = [], 0
+                for j in sorted(own, key=lambda j: (start[j], -stop[j])):
+                    if start[j] >= at:
+                        parts += [t[at : start[j]], f"[{kind[j].upper()}]"]
+                    at = max(at, stop[j])
+                out.append("".join(parts) + t[at:])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["d", "t"])
+
+    return spans.select("doc_id", "text", "spans").mapInArrow(replaced, "doc_id long, text string")

@@ -50,11 +50,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.places(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).select("doc_id", "item_id")
+    return leaks.find(_leaks(spark, d)).select("doc_id", "item_id")
 
 
 def p8_places(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +62,8 @@ def p8_places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """Leaked items with the number of their mails and their longest run."""
-    return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("mails"), F.max("words").alias("longest"))
+    """Leaked passages and questions with the number of their mails and their longest run."""
+    return _leaks(spark, d).groupBy("item_id", "field").agg(F.countDistinct("doc_id").alias("mails"), F.max("words").alias("longest"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +71,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return pii.redact(docs, pii.find(docs))
+    return pii.redact(table(spark, d, "documents"))
 
 
 QUERIES = {
