@@ -43,7 +43,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 GAZETTEER = 200_000  # most names that are broadcast; with more, each mail gets the names that its words can make
 SLICE = 500  # mails that share a scanner then
 SAMPLE = 100_000  # most labelled spans that the classifier is fitted on
-LOOKS = 4096  # numbers that a span's looks are hashed to
+LOOKS, LOOKS_EACH = 4096, 4  # numbers that a span's looks are hashed to, and how many it has
 CERTAIN = 0.001  # least doubt that votes leave
 
 # Words that never end a name, beside a given name at the start of a sentence or line.
@@ -156,18 +156,28 @@ def folded(word: str) -> str:
 
 def _left(t: str, s: int, width: int, words: int) -> str:
     """What stands before s: ``width`` characters, and more until it holds ``words`` words or the text begins."""
-    a = max(0, s - width)
+    a = s - width
+    if a <= 0:
+        return t[:s]
     while a and len((x := t[a:s]).split()) <= words + (not x[:1].isspace()):
         a = max(0, a - 4 * (s - a))
     return t[a:s]
 
 
-def _look(t: str, s: int, e: int, head: int) -> list[str]:
-    """How a span looks: shape of its characters, the words and signs beside it, header or body."""
-    shape = _RUNS.sub(r"\1", t[s:e].translate(_SHAPES))
-    before, after = _left(t, s, 24, 1), t[e : e + 24]
-    word, follow = _LAST_WORD.search(before), _NEXT_WORD.match(after)
-    return [shape, "<" + (word[1].lower() if word else ""), ">" + (follow[1].lower() if follow else ""), "[" + before[-1:], "]" + after[:1], "h" if s < head else "b", "#" + str((e - s).bit_length())]
+def _look(kind: str, t: str, s: int, e: int, head: int) -> int:
+    """How a span looks, as ``LOOKS_EACH`` numbers of 12 bits: the shape of its characters, the words before and behind it, and the signs beside it
+    with its being in the header or the body. (The words are looked for within 24 characters: they are features, no limits to what is found.)"""
+    before, after = t[max(0, s - 24) : s][::-1], t[e : e + 24]  # read away from the span
+    word, follow = _NEXT_WORD.match(before), _NEXT_WORD.match(after)
+    return (
+        _hashed(kind, _RUNS.sub(r"\1", t[s:e].translate(_SHAPES))) | _hashed(kind, "<" + word[1].lower() if word else "<") << 12
+        | _hashed(kind, ">" + follow[1].lower() if follow else ">") << 24 | _hashed(kind, f"[{before[:1]}{after[:1]}{s < head}") << 36
+    )
+
+
+def unpacked(looks: np.ndarray) -> np.ndarray:
+    """The numbers of each look, a row per span."""
+    return (looks.astype(np.int64)[:, None] >> (12 * np.arange(LOOKS_EACH))) & (LOOKS - 1)
 
 
 class _Shapes(dict):
@@ -179,7 +189,6 @@ class _Shapes(dict):
 
 _SHAPES = _Shapes()
 _RUNS = re.compile(r"(.)\1+")
-_LAST_WORD = re.compile(r"([^\W_]+)[\W_]*\Z")
 _NEXT_WORD = re.compile(r"[\W_]*([^\W_]+)")
 
 
@@ -213,7 +222,7 @@ class Scanner:
             self.a.add_word(w, (len(w), flag))
         self.a.make_automaton()
 
-    def spans(self, stored: str) -> list[tuple[str, int, int, str, list[int]]]:
+    def spans(self, stored: str) -> list[tuple[str, int, int, str, int]]:
         """Kind, place in the stored text, votes and hashed looks of each candidate."""
         f = Flat(stored)
         t = f.text
@@ -226,7 +235,7 @@ class Scanner:
         locals_ = "\n".join(t[s:e].partition("@")[0].lower() for _, s, e, _ in emails)
         out += self._names(t, hits, [(s, e) for _, s, e, _ in out], locals_)
         head = t.find("\n\n")
-        return [(k, f.at(s), f.end(e), v, [_hashed(k, x) for x in _look(t, s, e, head)]) for k, s, e, v in out]
+        return [(k, f.at(s), f.end(e), v, _look(k, t, s, e, head)) for k, s, e, v in out]
 
     @staticmethod
     def _ids(f: Flat, stored: str, hits: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -517,8 +526,8 @@ def _pieces(t: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-SPANS = "array<struct<kind: string, start_pos: long, end_pos: long, votes: string, looks: array<int>>>"
-_KINDS = pa.struct([("kind", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("votes", pa.string()), ("looks", pa.list_(pa.int32()))])
+SPANS = "array<struct<kind: string, start_pos: long, end_pos: long, votes: string, looks: long>>"
+_KINDS = pa.struct([("kind", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("votes", pa.string()), ("looks", pa.int64())])
 
 
 def candidates(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", limit: int = GAZETTEER, keep_text: bool = False) -> DataFrame:
@@ -630,7 +639,7 @@ def train(labels: pd.DataFrame, sample: pd.DataFrame) -> dict[str, Judge]:
     """A classifier for each kind. labels: kind, votes, p; sample: spans with kind, votes, looks."""
     out = {k: Judge(dict(zip(c["votes"], c["p"]))) for k, c in labels.groupby("kind")}
     for kind, c in sample.merge(labels, on=["kind", "votes"]).groupby("kind"):
-        out[kind].fit(np.stack(c["looks"].to_numpy()), c["p"].to_numpy(dtype=float))
+        out[kind].fit(unpacked(c["looks"].to_numpy()), c["p"].to_numpy(dtype=float))
     return out
 
 
@@ -640,7 +649,7 @@ def _judged(judges: dict[str, Judge], kinds: pd.Series, votes: pd.Series, looks:
     for kind, judge in judges.items():
         own = np.flatnonzero(kinds.to_numpy() == kind)
         if len(own):
-            p[own] = 1 / (1 + np.exp(-np.clip(judge.score(votes.iloc[own].reset_index(drop=True), looks[own]), -30, 30)))
+            p[own] = 1 / (1 + np.exp(-np.clip(judge.score(votes.iloc[own], unpacked(looks[own])), -30, 30)))
     return p
 
 
@@ -666,7 +675,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     @F.pandas_udf("double")
     def judged(kind: pd.Series, votes: pd.Series, looks: pd.Series) -> pd.Series:
-        return pd.Series(_judged(shared.value, kind, votes, np.stack(looks.to_numpy())) if len(kind) else [], dtype=float)
+        return pd.Series(_judged(shared.value, kind, votes, looks.to_numpy()))
 
     return _flat(spans).withColumn("p", judged("kind", "votes", "looks")).where("p >= 0.5").select("doc_id", "kind", "start_pos", "end_pos", "p")
 
@@ -681,7 +690,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             lists = batch.column(2)
             flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             kind, start, stop, votes = (flat.field(i).to_pandas() for i in range(4))
-            looks = flat.field(4).flatten().to_numpy().reshape(len(kind), -1) if len(kind) else np.zeros((0, 1), int)
+            looks = flat.field(4).to_numpy(zero_copy_only=False)
             true = _judged(shared.value, kind, votes, looks) >= 0.5
             out = []
             for i, t in enumerate(batch.column(1).to_pylist()):

@@ -104,11 +104,11 @@ def test_em_and_classifier_separate_planted_reliabilities():
     good, bad = np.array([0.05, 0.25, 0.7]), np.array([0.7, 0.25, 0.05])
     votes = np.array([[rng.choice(3, p=good if t else bad) for _ in range(3)] + [rng.choice(3)] for t in true])
     df = pd.DataFrame({"kind": "k", "votes": ["s" + "".join("-0+"[v] for v in row) for row in votes], "true": true})
-    df["looks"] = [[7 if t else 8, int(rng.integers(100, 200))] for t in true]
+    df["looks"] = [(7 if t else 8) | int(rng.integers(100, 200)) << 12 for t in true]
     labels = pii.soft_labels(df.groupby(["kind", "votes"]).size().reset_index(name="n"))
     soft = df.merge(labels, on=["kind", "votes"])
     by_votes = ((soft["p"] >= 0.5) == soft["true"]).mean()
-    p = pii._judged(pii.train(labels, df), soft["kind"], soft["votes"], np.stack(soft["looks"].to_numpy()))
+    p = pii._judged(pii.train(labels, df), soft["kind"], soft["votes"], soft["looks"].to_numpy())
     assert by_votes > 0.93 and ((p >= 0.5) == soft["true"]).mean() > by_votes + 0.02  # looks overrule votes
     assert pii.train(labels.iloc[:0], df) == {} and pii.soft_labels(pd.DataFrame({"kind": [], "votes": [], "n": []})).empty
 
