@@ -160,7 +160,7 @@ def _left(t: str, s: int, width: int, words: int) -> str:
     if a <= 0:
         return t[:s]
     while a and len((x := t[a:s]).split()) <= words + (not x[:1].isspace()):
-        a = max(0, a - 4 * (s - a))
+        a = max(0, a - (s - a))
     return t[a:s]
 
 
@@ -170,7 +170,7 @@ def _look(kind: str, t: str, s: int, e: int, head: int) -> int:
     before, after = t[max(0, s - 24) : s][::-1], t[e : e + 24]  # read away from the span
     word, follow = _NEXT_WORD.match(before), _NEXT_WORD.match(after)
     return (
-        _hashed(kind, _RUNS.sub(r"\1", t[s:e].translate(_SHAPES))) | _hashed(kind, "<" + word[1].lower() if word else "<") << 12
+        _hashed(kind, _shape(t[s:e])) | _hashed(kind, "<" + word[1].lower() if word else "<") << 12
         | _hashed(kind, ">" + follow[1].lower() if follow else ">") << 24 | _hashed(kind, f"[{before[:1]}{after[:1]}{s < head}") << 36
     )
 
@@ -188,6 +188,13 @@ class _Shapes(dict):
 
 
 _SHAPES = _Shapes()
+
+
+@functools.lru_cache(maxsize=200_000)
+def _shape(x: str) -> str:
+    return _RUNS.sub(r"\1", x.translate(_SHAPES))
+
+
 _RUNS = re.compile(r"(.)\1+")
 _NEXT_WORD = re.compile(r"[\W_]*([^\W_]+)")
 
@@ -451,14 +458,16 @@ class Scanner:
                     comma = t[s - gap - 1] == ","
                     word = _WORD_BACK.match(_left(t, s - gap - comma, 40, 1)[::-1])
                     if word and (comma or folded(word[0][::-1]) in self.family):
-                        left = _left(t, s, 45, 6)
+                        left = _left(t, s, 45, 4)
                         m = (_BEFORE if comma else _BEFORE_PLAIN).search(left)
                         if m and comma and (x := _FIRST_BACK.match(left[: m.start(1)][::-1])) and (x[1] or folded(x[2][::-1]) in self.given):
                             m = None  # the family name belongs to the given name before it
                         if m:
                             offer(s - len(left) + m.start(1), e, "," if comma else "w", g, m[1], m[0])
             if flag & 2:
-                left = _left(t, s, 20, 5) if "." in t[max(0, s - 40) : s] else ""
+                left = t[max(0, s - 20) : s]
+                if (last := left.split()[-1:]) and folded(last[0]) in _PARTS:
+                    left = _left(t, s, 60, 6)
                 if "." in left and (m := _INITIAL_BEFORE.search(left)):
                     k = s - len(left) + m.start()
                     offer(k, e, "i", t[k], t[s:e], m[0])
