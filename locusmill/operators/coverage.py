@@ -6,8 +6,12 @@ segments to one bitmap for each entity and shard, so repeated and nested segment
 shuffle; the bitmaps of one entity and shard are then united in a sorted stream. Set runs and clear
 runs come from neighbouring runs, and over shard borders from one row per shard.
 
+A segment that fills many shards leaves its whole shards to a second level, whose bases are shards; so even a broken row with a
+huge end makes a bounded number of pieces.
+
 A hot entity is spread over its shards; a hot shard costs at most one bitmap per input partition. No
-group is held in memory: the stream carries the one bitmap that is open.
+group is held in memory: the stream carries the one bitmap that is open. What crosses shard borders is settled by a window
+with one row per shard of an entity.
 
 Defined results: a row with a null key or bound, or with end <= start, covers nothing; touching
 segments make one stretch; repeated rows change nothing; an empty table gives no stretch and no hole;
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_BITS = 24
+FEW = 4  # shards that a segment is cut into one by one
 
 
 def _union(shard_size: int):
@@ -85,20 +90,26 @@ def _union(shard_size: int):
 
 
 def run_bitmaps(df: DataFrame, keys: dict[str, Column], start: Column, end: Column, shard_bits: int = SHARD_BITS) -> DataFrame:
-    """One row per entity and shard: the keys, ``shard``, and the set runs ``starts``/``ends`` inside it."""
+    """One row per entity, level and shard: the keys, ``level``, ``shard``, and the set runs ``starts``/``ends`` inside it."""
     size = 1 << shard_bits
-    names = [*keys, "shard"]
+    names = [*keys, "level", "shard"]
     rows = df.select(*[c.alias(k) for k, c in keys.items()], start.cast("long").alias("__s"), end.cast("long").alias("__e"))
     ok = (F.col("__e") > F.col("__s"))
     for k in keys:
         ok = ok & F.col(k).isNotNull()
+    a, z = F.shiftright("__s", shard_bits), F.shiftright(F.col("__e") - 1, shard_bits)
+    whole = z - a > FEW  # then only the first and last shard are cut, and those between are one segment of level 1
+    edge = lambda level, s, e: F.struct(F.lit(level).alias("level"), s.alias("s"), e.alias("e"))
+    pieces = F.when(whole, F.array(
+        edge(0, F.col("__s"), (a + 1) * size), edge(1, a + 1, z), edge(0, z * size, F.col("__e")),
+    )).otherwise(F.array(edge(0, F.col("__s"), F.col("__e"))))
     cut = (
-        rows.where(ok)
-        .withColumn("shard", F.explode(F.sequence(F.shiftright("__s", shard_bits), F.shiftright(F.col("__e") - 1, shard_bits))))
+        rows.where(ok).select(*keys, F.explode(pieces).alias("__x")).select(*keys, "__x.*")
+        .withColumn("shard", F.explode(F.sequence(F.shiftright("s", shard_bits), F.shiftright(F.col("e") - 1, shard_bits))))
         .select(
             *names,
-            (F.greatest(F.col("__s"), F.col("shard") * size) - F.col("shard") * size).cast("int").alias("starts"),
-            (F.least(F.col("__e"), (F.col("shard") + 1) * size) - F.col("shard") * size).cast("int").alias("ends"),
+            (F.greatest(F.col("s"), F.col("shard") * size) - F.col("shard") * size).cast("int").alias("starts"),
+            (F.least(F.col("e"), (F.col("shard") + 1) * size) - F.col("shard") * size).cast("int").alias("ends"),
         )
     )
     types = dict(cut.dtypes)
@@ -107,41 +118,41 @@ def run_bitmaps(df: DataFrame, keys: dict[str, Column], start: Column, end: Colu
     return local.repartition(*names).sortWithinPartitions(*names).mapInArrow(_union(size), out)
 
 
-def _runs(bitmaps: DataFrame, keys: Sequence[str], shard_bits: int) -> DataFrame:
-    """One row per set run in absolute positions, with ``prev``: the end of the run before it, or null."""
+def _rows(bitmaps: DataFrame, keys: Sequence[str], shard_bits: int) -> DataFrame:
+    """The runs in absolute places, a row per shard (``at``: its begin) or run of shards, with ``reach``: the furthest end of all rows before."""
     size = 1 << shard_bits
-    w = Window.partitionBy(*keys).orderBy("shard")
-    last = F.lag(F.element_at("ends", -1) + F.col("shard") * size).over(w)
-    return (
-        bitmaps.withColumn("__before", last)
-        .withColumn("__prev", F.concat(
-            F.array("__before"),
-            F.transform(F.slice("ends", 1, F.size("ends") - 1), lambda x: x + F.col("shard") * size),
-        ))
-        .select(*keys, "shard", F.explode(F.arrays_zip("starts", "ends", "__prev")).alias("r"))
-        .select(
-            *keys, (F.col("r.starts") + F.col("shard") * size).alias("start"), (F.col("r.ends") + F.col("shard") * size).alias("end"),
-            F.col("r.__prev").alias("prev"),
-        )
-    )
+    near = bitmaps.where("level = 0").select(*keys, F.lit(1).alias("kind"), (F.col("shard") * size).alias("at"), *[F.transform(c, lambda x: x + F.col("shard") * size).alias(c) for c in ("starts", "ends")])
+    far = bitmaps.where("level = 1").select(*keys, F.col("shard"), F.explode(F.arrays_zip("starts", "ends")).alias("r"))
+    place = lambda x: (x + F.col("shard") * size) * size
+    far = far.select(*keys, F.lit(0).alias("kind"), place(F.col("r.starts")).alias("at"), F.array(place(F.col("r.starts"))).alias("starts"), F.array(place(F.col("r.ends"))).alias("ends"))
+    w = Window.partitionBy(*keys).orderBy("at", "kind")
+    return near.unionByName(far).withColumn("reach", F.max(F.element_at("ends", -1)).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def _prev() -> Column:
+    """Of each run of a row: the furthest end before it, null for the entity's first run."""
+    return F.transform("starts", lambda s, i: F.when(i == 0, F.col("reach")).otherwise(F.greatest(F.col("reach"), F.get("ends", i - 1))))
 
 
 def clear_runs(bitmaps: DataFrame, keys: Sequence[str], shard_bits: int = SHARD_BITS) -> DataFrame:
     """Holes between the first and last covered base: the keys, ``gap_start``, ``gap_end``."""
-    runs = _runs(bitmaps, keys, shard_bits)
-    return runs.where(F.col("prev") < F.col("start")).select(*keys, F.col("prev").alias("gap_start"), F.col("start").alias("gap_end"))
+    runs = _rows(bitmaps, keys, shard_bits).select(*keys, F.explode(F.arrays_zip("starts", _prev().alias("prev"))).alias("r"))
+    return runs.where(F.col("r.prev") < F.col("r.starts")).select(*keys, F.col("r.prev").alias("gap_start"), F.col("r.starts").alias("gap_end"))
 
 
 def set_runs(bitmaps: DataFrame, keys: Sequence[str], shard_bits: int = SHARD_BITS) -> DataFrame:
-    """Continuous covered stretches, runs joined over shard borders: the keys, ``start``, ``end``."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    fresh = F.when(F.col("prev").isNull() | (F.col("prev") < F.col("start")), 1).otherwise(0)
-    return (
-        _runs(bitmaps, keys, shard_bits)
-        .withColumn("__stretch", F.sum(fresh).over(w))
-        .groupBy(*keys, "__stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .drop("__stretch")
-    )
+    """Continuous covered stretches: the keys, ``start``, ``end``. A stretch ends where the run before the next one's begin did."""
+    w = Window.partitionBy(*keys).orderBy("at", "kind")
+    fresh = F.filter(F.arrays_zip("starts", _prev().alias("prev")), lambda r: r["prev"].isNull() | (r["prev"] < r["starts"]))
+    rows = _rows(bitmaps, keys, shard_bits).withColumn("fresh", fresh)
+    behind = w.rowsBetween(1, Window.unboundedFollowing)
+    # the first fresh run behind tells where the last stretch of this row ends; without one it ends at the entity's end
+    rows = rows.withColumn("last", F.coalesce(
+        F.first(F.when(F.size("fresh") > 0, F.element_at("fresh", 1)["prev"]), ignorenulls=True).over(behind),
+        F.max(F.element_at("ends", -1)).over(Window.partitionBy(*keys)),
+    ))
+    ended = F.transform("fresh", lambda r, i: F.struct(r["starts"].alias("start"), F.coalesce(F.get("fresh", i + 1)["prev"], F.col("last")).alias("end")))
+    return rows.where(F.size("fresh") > 0).select(*keys, F.explode(ended).alias("r")).select(*keys, "r.start", "r.end")
 
 
 def chromosome(c: Column) -> Column:

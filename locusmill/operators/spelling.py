@@ -52,7 +52,7 @@ def spans(c: Column) -> Column:
 
 def deletions(c: Column) -> Column:
     """The string and all strings with one character less."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, 1, i - 1), F.substring(c, i + 1, 10_000)))
+    cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, 1, i - 1), F.substring(c, i + 1, F.length(c))))
     return F.array_distinct(F.concat(F.array(c), F.when(F.length(c) > 1, cut).otherwise(F.array())))
 
 
@@ -85,7 +85,7 @@ def resolve(values: DataFrame, value: str, entries: DataFrame, name: str, entry_
     by_name = v.join(e.where("__name is not null"), F.col("__v") == F.col("__name")).select("__v", "__id", F.lit(0.0).alias("cost"))
     as_id = v.withColumn("__n", id_number(F.col("__v")))
     by_id = as_id.join(e.select("__id").distinct(), F.col("__n") == F.col("__id")).select("__v", "__id", F.lit(1.0).alias("cost"))
-    heads = e.where("__name is not null").select("__id", F.element_at(words(F.col("__name")), 1).alias("__w"), F.slice(words(F.col("__name")), 2, 20).alias("__rest"))
+    heads = e.where("__name is not null").select("__id", F.element_at(words(F.col("__name")), 1).alias("__w"), F.slice(words(F.col("__name")), F.lit(2), F.size(words(F.col("__name")))).alias("__rest"))
     spelled = as_id.where("__n is null").select("__v", F.explode(spans(F.col("__v"))).alias("__span"))
     near = near_join(spelled.select("__span").distinct(), "__span", heads.select("__w").distinct(), "__w")
     other = F.create_map(*[F.lit(x) for k, v in SYNONYMS.items() for s in v for x in (s, k)])

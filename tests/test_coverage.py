@@ -62,3 +62,14 @@ def test_chromosome(spark):
     names = ["chr7 ", "CHR_X", "07", "x", "Chromosome 22", "chr23", "", None, "chrUn", "chr01"]
     df = spark.createDataFrame([(n,) for n in names], "c string")
     assert [r[0] for r in df.select(coverage.chromosome(F.col("c"))).collect()] == ["chr7", "chrX", "chr7", "chrX", "chr22", None, None, None, None, "chr1"]
+
+
+def test_huge_segments_make_few_pieces(spark):
+    """Beyond a few shards a segment's whole shards are one piece, and still hide and join what they should."""
+    rows = [(1, "m", "chr1", 5, 1 << 60), (1, "m", "chr1", 3, 4), (1, "m", "chr1", (1 << 60) + 2, (1 << 60) + 5), (2, "m", "chr1", 0, 900), (2, "m", "chr1", 300, 310), (2, "m", "chr1", 950, 960), (2, "m", "chr1", 1000, 3000)]
+    b = 1 << 60
+    assert gaps_and_runs(spark, rows, 24) == ([(1, "m", "chr1", 4, 5), (1, "m", "chr1", b, b + 2), (2, "m", "chr1", 900, 950), (2, "m", "chr1", 960, 1000)], [(1, "m", "chr1", 3, 4), (1, "m", "chr1", 5, b), (1, "m", "chr1", b + 2, b + 5), (2, "m", "chr1", 0, 900), (2, "m", "chr1", 950, 960), (2, "m", "chr1", 1000, 3000)])
+    rng = random.Random(9)
+    many = [(rng.randrange(2), "m", "chr1", s := rng.randrange(0, 3000), s + rng.choice([3, 9, 40, 400])) for _ in range(60)]
+    for bits in (3, 4):
+        assert gaps_and_runs(spark, many, bits) == brute(many)
