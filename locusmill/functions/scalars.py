@@ -33,14 +33,17 @@ def chrom_mito(c: Column) -> Column:
     return F.when(t.startswith("chr"), t).otherwise(F.concat(F.lit("chr"), F.regexp_replace(t, "chr|Chr|CHR", "")))
 
 
+# Names that stand for another chromosome.
+CHROMOSOME_NAMES = {"M": "chrM", "MT": "chrM", "X": "chrX", "Y": "chrY"}
+
+
 def chrom_scaffold(c: Column) -> Column:
-    """Upper case without prefix: numbers, X, Y and M get ``chr``; scaffolds and the rest become empty."""
-    t = F.regexp_replace(F.upper(F.trim(c)), "^CHR", "")
+    """Name without ``chr`` in upper case, known names put right, ``chr`` in front; scaffolds and null become empty, other names stay."""
+    t = F.upper(F.replace(F.trim(c), F.lit("chr"), F.lit("")))
+    known = F.create_map(*[F.lit(x) for pair in CHROMOSOME_NAMES.items() for x in pair])[t]
     odd = t.contains("_") | t.contains("RANDOM") | t.contains("ALT")
-    return (
-        F.when(c.isNull() | odd, "").when(t.isin("M", "MT"), "chrM").when(t.isin("X", "Y"), F.concat(F.lit("chr"), t))
-        .when(t.rlike("^[0-9]+$"), F.concat(F.lit("chr"), t)).otherwise("")
-    )
+    kept = F.when(t.rlike("^[0-9]+$"), F.concat(F.lit("chr"), t)).when(t.startswith("CHR"), F.replace(t, F.lit("CHR"), F.lit("chr"))).when(odd, "").otherwise(F.concat(F.lit("chr"), F.replace(t, F.lit("CHR"), F.lit("chr"))))
+    return F.coalesce(known, kept, F.lit(""))
 
 
 def ach_id(c: Column) -> Column:
@@ -60,9 +63,9 @@ def plain_key(c: Column) -> Column:
 
 
 def valid_sample(c: Column) -> Column:
-    """Whether a sample name is an ACH id or upper-case words joined by underscores, without = or ;."""
+    """Whether a sample name is an ACH id in any spelling or upper-case words joined by underscores, without = or ;. Null is none."""
     t = F.trim(c)
-    return ~t.rlike("[=;]") & t.rlike(r"^ACH-\d{6}$|^[A-Z0-9]+(_[A-Z0-9]+)+$")
+    return F.coalesce(~t.rlike("[=;]") & t.rlike(r"^(?i:ACH[\s_-]?\d{6})$|^[A-Z0-9]+(_[A-Z0-9]+)+$"), F.lit(False))
 
 
 def gene_symbol(c: Column) -> Column:
@@ -75,8 +78,13 @@ def first_token(c: Column) -> Column:
 
 
 def sample_of_path(c: Column) -> Column:
-    """File name up to its first point."""
-    return F.split(F.element_at(F.split(c, "/"), -1), "[.]")[0]
+    """Sample that a file name states up to its first point, in the spelling of names."""
+    return ccle_name(F.split(F.element_at(F.split(c, "/"), -1), "[.]")[0])
+
+
+def sample_of_bedpe(c: Column) -> Column:
+    """Sample of a path whose name may hold points: only the ending .bedpe is taken off."""
+    return ccle_name(F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"(?i)\.bedpe$", ""))
 
 
 def breakpoint_parts(c: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusmill.functions.scalars import log2_to_copies
-from locusmill.session import broadcast_if_small
+from locusmill.operators.ranges import joined, summarised
+from locusmill.session import broadcast_if_small, cut
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -28,36 +29,45 @@ def valid_pairs(df: DataFrame) -> DataFrame:
     return df.dropna().where("start1 >= 0 and start2 >= 0 and start1 < end1 and start2 < end2")
 
 
-def thin(df: DataFrame, keys: Sequence[str], place: str, tolerance: int) -> DataFrame:
-    """Rows further than ``tolerance`` from the row before; a chain of close rows leaves its first."""
-    before = F.lag(place).over(Window.partitionBy(*keys).orderBy(place))
-    return df.withColumn("__p", before).where(F.col("__p").isNull() | (F.col(place) - F.col("__p") > tolerance)).drop("__p")
+def thin(df: DataFrame, keys: Sequence[str], place: str, tolerance: int, bin_size: int = 10_000_000) -> DataFrame:
+    """Rows further than ``tolerance`` from the row before; a chain of close rows leaves its first.
+
+    The row before is looked for in the row's own bin; the first row of a bin gets the last of the bins before it, from one row a bin.
+    """
+    keys = list(keys)
+    b = df.withColumn("__b", F.floor(F.col(place) / bin_size))
+    last = b.groupBy(*keys, "__b").agg(F.max(place).alias("__last"))
+    carried = last.select(*keys, "__b", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__b")).alias("__last"))
+    inside = F.lag(place).over(Window.partitionBy(*keys, "__b").orderBy(place))
+    out = joined(b.withColumn("__p", inside), carried, [*keys, "__b"]).withColumn("__p", F.coalesce("__p", "__last"))
+    return out.where(F.col("__p").isNull() | (F.col(place) - F.col("__p") > tolerance)).drop("__p", "__b", "__last")
 
 
 def trimmed(df: DataFrame, group: str, value: str, low: float, high: float) -> DataFrame:
     """Rows whose value lies between two percentiles of their group."""
-    edges = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    edges = summarised(df, [group], {"__q": (F.col(value), [low, high])})
     return df.join(broadcast_if_small(edges), group).where(F.col(value).between(F.col("__q")[0], F.col("__q")[1])).drop("__q")
 
 
 def lowest_share(df: DataFrame, value: str, share: float) -> DataFrame:
     """Rows at or below a percentile of the whole table (one row is broadcast)."""
-    edge = df.agg(F.percentile(value, share).alias("__t"))
+    edge = summarised(df, [], {"__t": (F.col(value), share)})
     return df.join(F.broadcast(edge), F.col(value) <= F.col("__t")).drop("__t")
 
 
 def containing(df: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
     """Pairs of text and word where the text holds the word in any case.
 
-    Words are compared with the substrings of their length, so the join is an equi-join.
+    Words meet the texts that hold their rarest stretch of three signs (shorter words: any of their own length), so
+    the join is an equi-join on such stretches; a check of the whole word follows. A text is cut into as many stretches as it has signs.
     """
-    sizes = sorted(r[0] for r in words.select(F.length(word)).distinct().collect() if r[0])
-    low = F.lower(F.col(text))
-    pieces = [
-        F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i, n=n: F.substring(low, i, F.lit(n))) for n in sizes
-    ]
-    every = F.array_distinct(F.flatten(F.array(*[F.when(F.length(low) >= n, p).otherwise(F.array().cast("array<string>")) for n, p in zip(sizes, pieces)])))
-    return df.withColumn(word, F.explode(every)).join(words, word)
+    low, w = F.lower(F.col(text)), F.lower(F.col(word))
+    grams = lambda c, n: F.array_distinct(F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+    keyed = df.withColumn("__t", low).withColumn("__g", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("__t"), n) for n in (1, 2, 3)])))))
+    short = words.select(word, w.alias("__w")).where(F.length("__w") > 0).withColumn("__g", F.explode(F.when(F.length("__w") <= 3, F.array("__w")).otherwise(grams(F.col("__w"), 3))))
+    seen = keyed.groupBy("__g").agg(F.count("*").alias("__n"))
+    rarest = short.join(seen, "__g").groupBy(word, "__w").agg(F.min_by("__g", F.struct("__n", "__g")).alias("__g"))
+    return keyed.join(rarest, "__g").where(F.col("__t").contains(F.col("__w"))).drop("__t", "__g", "__w")
 
 
 def overlap_counts(a: DataFrame, b: DataFrame, key: str, left: str, right: str) -> DataFrame:
@@ -69,5 +79,5 @@ def overlap_counts(a: DataFrame, b: DataFrame, key: str, left: str, right: str)
 
 def absolute_guard(df: DataFrame, value: str, group: str, p99: float = 20.0, top: float = 50.0) -> DataFrame:
     """Adds ``cn``: the value itself where its group looks absolute already, else two times two to its power."""
-    looks = df.groupBy(group).agg(((F.percentile(value, 0.99) > p99) | (F.max(value) > top)).alias("__abs"))
+    looks = summarised(df, [group], {"p": (F.col(value), 0.99)}, most=F.max(value)).select(group, ((F.col("p") > p99) | (F.col("most") > top)).alias("__abs"))
     return df.join(broadcast_if_small(looks), group).withColumn("cn", F.when(F.col("__abs"), F.col(value)).otherwise(log2_to_copies(F.col(value)))).drop("__abs")

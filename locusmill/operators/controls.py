@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusmill.operators.ranges import joined, numbered
+from locusmill.session import cut
+
 C = F.col
 
 
@@ -55,9 +58,8 @@ def scatter_across(df: DataFrame, chrom: str, place: str, sizes: Mapping[str, in
     return df.withColumn(chrom, which).withColumn(place, where).drop("__x")
 
 
-def permute(df: DataFrame, by: Sequence[str], order: str, value: str, seed: int) -> DataFrame:
-    """``value`` of the group's rows in another order: two orders are numbered and joined."""
-    one = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    two = F.row_number().over(Window.partitionBy(*by).orderBy(drawn(seed, C(order)), order))
-    source = df.select(*by, two.alias("__i"), C(value).alias("permuted"))
-    return df.withColumn("__i", one).join(source, [*by, "__i"]).drop("__i")
+def permute(df: DataFrame, by: Sequence[str], order: str, values: Sequence[str], seed: int) -> DataFrame:
+    """The group's rows with ``permuted_<value>`` of other rows: two orders are numbered by ranges and joined. ``order`` is a number unique in its group."""
+    df = cut(df)
+    two = numbered(df.withColumn("__draw", drawn(seed, C(order)) * 2097152 + F.pmod(C(order), F.lit(2097152))), by, "__draw", "__i").select(*by, "__i", *[C(v).alias(f"permuted_{v}") for v in values])
+    return joined(numbered(df, by, order, "__i"), two, [*by, "__i"]).drop("__i")

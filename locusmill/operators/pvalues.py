@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
@@ -60,3 +63,38 @@ def correlation(r: float, n: int) -> float:
         return 0.0
     t2 = r * r * (n - 2) / (1 - r * r)
     return incomplete_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """``correlation`` of a column; meant for a row per test, not for data rows. Null where it has no value."""
+    def p(a: float | None, b: int | None) -> float | None:
+        out = math.nan if a is None or b is None else correlation(a, b)
+        return None if math.isnan(out) else out
+
+    return F.udf(p, "double")(r, n)
+
+
+def kolmogorov_p(d: Column, n_a: Column, n_b: Column, terms: int = 100) -> Column:
+    """The same series as ``kolmogorov``, as a column."""
+    t = d * F.sqrt(n_a * n_b / (n_a + n_b))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * t * t))
+    return F.when((n_a > 0) & (n_b > 0), F.when(t < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))))
+
+
+# Coefficients of Chebyshev's approximation of the complementary error function (relative error below 1.2e-7).
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def normal_two_sided_p(z: Column) -> Column:
+    """Two-sided p of a normal z, as a column."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1.0 / (1.0 + 0.5 * x)
+    out = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        out = out * t + c
+    return t * F.exp(-x * x + out)
+
+
+def wilcoxon_z(w_plus: Column, n: Column) -> Column:
+    """Normal approximation of the signed-rank sum; null without differences."""
+    return F.when(n > 0, (w_plus - n * (n + 1) / 4.0) / F.sqrt(n * (n + 1.0) * (2.0 * n + 1.0) / 24.0))

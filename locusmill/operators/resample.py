@@ -1,79 +1,76 @@
-"""Bootstrap and permutation inference with seeds that don't depend on partitions.
+"""Bootstrap and permutation inference. Draws come from arithmetic on keys, so they depend on neither
+partitions nor engine, and nothing is brought to the driver.
 
-A statistic over groups is resampled from its vector of group values. Up to ``MOST`` values the vector is
-shared with tasks that each draw a block of repetitions; beyond that the rows are weighted instead, by
-Poisson draws from a hash of row and repetition, and aggregated per repetition.
+A bootstrap weighs each row by a Poisson draw for each repetition; statistics are aggregates (means) or
+exact percentiles over ranges (medians) by repetition. Permutations number the rows of each repetition by
+their draws. One way holds at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.session import small
+from locusmill.operators.controls import drawn
+from locusmill.operators.ranges import numbered, summarised
+from locusmill.session import broadcast_if_small, cut
 
 C = F.col
-MOST = 1_000_000
-BLOCK = 50
+TOP = 2147483647  # draws lie below
 
 
-def _blocks(df: DataFrame, reps: int) -> DataFrame:
-    return df.sparkSession.range(0, -(-reps // BLOCK), 1, min(32, -(-reps // BLOCK))).withColumnRenamed("id", "block")
+def cutoffs(mean: float = 1.0, most: int = 11) -> list[int]:
+    """Draws at or above the k-th cutoff weigh at least k + 1: the Poisson distribution on the scale of the draws."""
+    out, total, term = [], 0.0, math.exp(-mean)
+    for k in range(1, most + 1):
+        total += term
+        out.append(round(total * TOP))
+        term *= mean / k
+    return out
 
 
-def _interval(draws: DataFrame, names: Sequence[str], level: float) -> DataFrame:
-    a = (1 - level) / 2
-    return draws.agg(*[c for n in names for c in (F.percentile(n, a).alias(f"{n}_lo"), F.percentile(n, 1 - a).alias(f"{n}_hi"))])
+def poisson(draw: Column) -> Column:
+    """Poisson draw with mean 1 from a draw of ``controls.drawn``."""
+    return sum(((draw >= c).cast("int") for c in cutoffs()), F.lit(0))
+
+
+def key_number(c: Column) -> Column:
+    """A number for a text key: the first 28 bits of its md5."""
+    return F.conv(F.substring(F.md5(c.cast("string")), 1, 7), 16, 10).cast("long")
+
+
+def _repeated(df: DataFrame, reps: int, first: int = 1) -> DataFrame:
+    return df.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(reps))))
 
 
 def bootstrap(df: DataFrame, values: Sequence[str], key: str, stat: str = "median", reps: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """One row: each value's statistic (median or mean) with a percentile interval. The same draw of rows
     serves all values, so differences between them may be compared. Rows with a null don't count."""
-    kept = df.dropna(subset=list(values)).select(key, *values)
-    point = kept.agg(*[(F.median(v) if stat == "median" else F.avg(v)).alias(v) for v in values])
-    if small(kept, MOST):
-        matrix = np.array([tuple(r)[1:] for r in kept.orderBy(key).collect()], dtype=float).reshape(-1, len(values))
-        shared = df.sparkSession.sparkContext.broadcast(matrix)
-        take = np.median if stat == "median" else np.mean
-
-        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            x = shared.value
-            for batch in batches:
-                for block in batch["block"]:
-                    rng = np.random.default_rng([seed, int(block)])
-                    rows = [take(x[rng.integers(0, len(x), len(x))], axis=0) for _ in range(min(BLOCK, reps - int(block) * BLOCK))] if len(x) else []
-                    yield pd.DataFrame(rows, columns=list(values))
-
-        draws = _blocks(df, reps).mapInPandas(draw, ", ".join(f"{v} double" for v in values))
+    kept = cut(df.dropna(subset=list(values)).select(key_number(C(key)).alias("__k"), *[C(v).cast("double").alias(v) for v in values]))
+    drawn_ = _repeated(kept, reps).withColumn("__w", poisson(drawn(seed, C("__k"), C("rep"))))
+    a = (1 - level) / 2
+    if stat == "median":
+        point = summarised(kept, [], {v: (C(v), 0.5) for v in values})
+        draws = summarised(drawn_, ["rep"], {v: (C(v), 0.5) for v in values}, weight=C("__w"))
     else:
-        weighted = kept.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson(F.xxhash64(C(key), "rep", F.lit(seed)))).where("w > 0")
-        one = lambda v: F.percentile(v, F.lit(0.5), C("w")) if stat == "median" else F.sum(C(v) * C("w")) / F.sum("w")
-        draws = weighted.groupBy("rep").agg(*[one(v).alias(v) for v in values])
-    return point.join(F.broadcast(_interval(draws, values, level)), F.lit(True))
-
-
-def poisson(h: Column) -> Column:
-    """Poisson draw with mean 1 from a 64-bit hash."""
-    u = h / F.lit(2.0**64) + F.lit(0.5)
-    out, total, term = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(1, 12):
-        total += term
-        out = F.when(u >= total, k).otherwise(out)
-        term /= k
-    return out
+        point = kept.agg(*[F.avg(v).alias(v) for v in values])
+        draws = drawn_.groupBy("rep").agg(*[F.try_divide(F.sum(C(v) * C("__w")), F.sum("__w")).alias(v) for v in values])
+    edges = draws.agg(*[c for v in values for c in (F.percentile(v, a).alias(f"{v}_lo"), F.percentile(v, 1 - a).alias(f"{v}_hi"))])  # a row per repetition
+    return point.join(F.broadcast(edges), F.lit(True))
 
 
 def cluster_bootstrap(df: DataFrame, line: str, cluster: str, y: str, x: str, reps: int = 400, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Slope through the origin per line, with an interval from drawing whole clusters (Poisson weights).
+    """Slope through the origin per line, with an interval from drawing whole clusters.
 
     Works on one row of sums per line and cluster, so rows are read once.
     """
     s = df.dropna(subset=[y, x]).groupBy(line, cluster).agg(F.sum(C(x) * C(y)).alias("xy"), F.sum(C(x) * C(x)).alias("xx"))
-    w = s.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("w", F.when(C("rep") == 0, 1).otherwise(poisson(F.xxhash64(C(cluster), "rep", F.lit(seed)))))
+    w = _repeated(s, reps, 0).withColumn("w", F.when(C("rep") == 0, 1).otherwise(poisson(drawn(seed, key_number(C(cluster)), C("rep")))))
     draws = w.groupBy(line, "rep").agg(F.try_divide(F.sum(C("w") * C("xy")), F.sum(C("w") * C("xx"))).alias("slope"))
     a = (1 - level) / 2
     return draws.groupBy(line).agg(
@@ -90,29 +87,18 @@ def strata_bootstrap(df: DataFrame, stratum: str, value: str, reps: int = 1000,
 def permutation_medians(a: DataFrame, b: DataFrame, value: str, key: str, reps: int = 1000, seed: int = 42) -> DataFrame:
     """One-sided permutation test of median(a) - median(b): difference, p (share of draws at or above), n_a, n_b.
 
-    The pooled vector of group values is shared behind a check of its size.
+    Each repetition orders the pooled rows by their draws and gives the first n_a to arm a. Without rows in an arm the
+    difference and p are null.
     """
-    pooled = a.select(key, value, F.lit(1).alias("arm")).union(b.select(key, value, F.lit(0))).dropna()
-    if not small(pooled, MOST):
-        raise ValueError(f"more than {MOST} group values: aggregate to fewer groups first")
-    rows = pooled.orderBy("arm", key).collect()
-    x, arm = np.array([r[1] for r in rows], dtype=float), np.array([r[2] for r in rows], dtype=bool)
-    seen = float(np.median(x[arm]) - np.median(x[~arm])) if arm.any() and (~arm).any() else float("nan")
-    shared = a.sparkSession.sparkContext.broadcast((x, arm, seen))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, arm, seen = shared.value
-        for batch in batches:
-            for block in batch["block"]:
-                rng, hits = np.random.default_rng([seed, int(block)]), 0
-                size = min(BLOCK, reps - int(block) * BLOCK)
-                for _ in range(size):
-                    p = rng.permutation(arm)
-                    hits += np.median(x[p]) - np.median(x[~p]) >= seen
-                yield pd.DataFrame({"hits": [int(hits)], "reps": [size]})
-
-    d = _blocks(a, reps).mapInPandas(draw, "hits long, reps long") if arm.any() and (~arm).any() else a.sparkSession.createDataFrame([], "hits long, reps long")
-    return d.agg(F.lit(seen).alias("difference"), F.try_divide(F.sum("hits"), F.sum("reps")).alias("p"), F.lit(int(arm.sum())).alias("n_a"), F.lit(int((~arm).sum())).alias("n_b"))
+    pooled = cut(a.select(key, value, F.lit(1).alias("arm")).union(b.select(key, value, F.lit(0))).dropna().select((key_number(C(key)) * 2 + C("arm")).alias("k"), C(value).cast("double").alias("v"), "arm"))
+    sizes = pooled.agg(F.coalesce(F.sum("arm"), F.lit(0)).alias("n_a"), F.coalesce(F.sum(1 - C("arm")), F.lit(0)).alias("n_b"))
+    pick = lambda side: F.max(F.when(C("arm") == side, C("m")))
+    seen = summarised(pooled, ["arm"], {"m": (C("v"), 0.5)}).agg((pick(1) - pick(0)).alias("difference"))
+    ordered = numbered(_repeated(pooled, reps).withColumn("draw", drawn(seed, C("k"), C("rep")) * 536870912 + C("k")), ["rep"], "draw", "at")
+    dealt = ordered.join(F.broadcast(sizes), F.lit(True)).select("rep", "v", (C("at") < C("n_a")).cast("int").alias("arm"))
+    draws = summarised(dealt, ["rep", "arm"], {"m": (C("v"), 0.5)}).groupBy("rep").agg((pick(1) - pick(0)).alias("x"))
+    hits = draws.join(F.broadcast(seen), F.lit(True)).agg(F.avg((C("x") >= C("difference")).cast("int")).alias("p"))
+    return seen.join(F.broadcast(hits), F.lit(True)).join(F.broadcast(sizes), F.lit(True))
 
 
 def permutation_genes(df: DataFrame, by: str, key: str, y: str, x: str, contribution: str, reps: int = 400, seed: int = 42, block_rows: int = 20_000) -> DataFrame:
@@ -124,7 +110,7 @@ def permutation_genes(df: DataFrame, by: str, key: str, y: str, x: str, contribu
     """
     kept = df.dropna(subset=[by, y, x, contribution]).select(by, key, C(y).cast("double").alias("y"), C(x).cast("double").alias("x"), C(contribution).cast("double").alias("c"))
     sizes = kept.groupBy(by).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-    blocked = kept.join(F.broadcast(sizes) if small(sizes, 50_000) else sizes, by).withColumn("block", F.pmod(F.xxhash64(C(key)), C("parts")).cast("int"))
+    blocked = kept.join(broadcast_if_small(sizes), by).withColumn("block", F.pmod(F.xxhash64(C(key)), C("parts")).cast("int"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
@@ -153,7 +139,7 @@ def permutation_genes(df: DataFrame, by: str, key: str, y: str, x: str, contribu
     r1 = F.try_divide(C("xy") - C("cx") - C("sx") * sd / n, F.sqrt(vx * F.greatest(vd, F.lit(0.0))))
     drops = per.select(by, "rep", "n", (F.abs(r0) - F.abs(r1)).alias("drop"))
     seen = drops.where("rep = 0").select(by, C("n").alias("rows"), C("drop").alias("seen"))
-    hits = drops.where("rep > 0").join(F.broadcast(seen) if small(seen, 50_000) else seen, by).groupBy(by).agg(
+    hits = drops.where("rep > 0").join(broadcast_if_small(seen), by).groupBy(by).agg(
         F.max("rows").alias("n"), F.max("seen").alias("drop"), ((1 + F.count(F.when(C("drop") >= C("seen"), 1))) / (1 + F.count("*"))).alias("p")
     )
     return hits

@@ -6,7 +6,8 @@ without being gathered anywhere; between the passes only the coefficients (a row
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusmill.operators.stats import _det
-from locusmill.session import cut, small
+from locusmill.session import broadcast_if_small, cut
 
 C = F.col
-GROUPS = 50_000  # most groups whose coefficients are broadcast
-CUT = 1  # passes between two written tables of coefficients
 
 
 def _weighted_fit(rows: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], w: Column, ridge: Sequence[Column], extra: dict[str, Column]) -> DataFrame:
@@ -52,50 +51,64 @@ def _residual(y: str, xs: Sequence[str]) -> Column:
     return out
 
 
-def huber(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], epsilon: float = 1.35, alpha: float = 1e-4, least: int = 20, rounds: int = 20) -> DataFrame:
-    """Huber regression with joint scale: n, intercept, coef_<x>, scale per group; null for groups below ``least``.
+def _passes(rows: DataFrame, by: Sequence[str], xs: Sequence[str], first: DataFrame, step: Callable[[int, DataFrame], DataFrame], rounds: int, tolerance: float) -> DataFrame:
+    """Fits until no coefficient of any group moves by more than ``tolerance`` (of 1 plus its size), at most ``rounds`` times. Adds ``converged``."""
+    names = ["intercept", *[f"coef_{x}" for x in xs]]
+    fit = cut(first.withColumn("converged", F.lit(False)))
+    for i in range(rounds):
+        old = fit.withColumnsRenamed({c: f"__was_{c}" for c in names}).select(*[C(b).alias(f"__k_{b}") for b in by], *[f"__was_{c}" for c in names])
+        new = step(i, rows.join(broadcast_if_small(fit.drop("n", "converged")), list(by)))
+        new = new.join(old, [new[b].eqNullSafe(old[f"__k_{b}"]) for b in by]).drop(*[f"__k_{b}" for b in by])
+        still = reduce(Column.__and__, [F.coalesce(F.abs(C(c) - C(f"__was_{c}")) <= tolerance * (1 + F.abs(c)), F.lit(True)) for c in names])
+        fit = cut(new.withColumn("converged", still).drop(*[f"__was_{c}" for c in names]), after=fit)
+        if i and fit.where(~C("converged")).isEmpty():
+            break
+    return fit
+
+
+def huber(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], epsilon: float = 1.35, alpha: float = 1e-4, least: int = 20, rounds: int = 100, tolerance: float = 1e-7) -> DataFrame:
+    """Huber regression with joint scale: n, intercept, coef_<x>, scale per group, and whether it converged; null for groups below ``least``.
 
     Minimises the summed scale plus the scaled Huber loss of the residuals plus ``alpha`` times the squared
     coefficients, by reweighting: residuals beyond ``epsilon`` scales weigh less in proportion, and the
-    scale follows from its own optimum condition. Rows with a null in response or features don't count.
+    scale follows from its own optimum condition. Rows with a null in response or features don't count. The columns needed
+    are written once, so the passes read no more.
     """
-    rows = df.dropna(subset=[y, *xs]).select(*by, C(y).cast("double").alias(y), *[C(x).cast("double").alias(x) for x in xs])
-    zero = [F.lit(0.0)] * len(xs)
-    fit = cut(_weighted_fit(rows, by, y, xs, F.lit(1.0), zero, {"spread": F.stddev_pop(y)}).withColumn("scale", F.greatest(C("spread"), F.lit(1e-6))).drop("spread"))
-    side = F.broadcast if small(fit, GROUPS) else (lambda x: x)
-    for i in range(rounds):
-        joined = rows.join(side(fit.drop("n")), list(by)).withColumn("__e", _residual(y, xs))
+    rows = cut(df.dropna(subset=[y, *xs]).select(*by, C(y).cast("double").alias(y), *[C(x).cast("double").alias(x) for x in xs]))
+    first = _weighted_fit(rows, by, y, xs, F.lit(1.0), [F.lit(0.0)] * len(xs), {"spread": F.stddev_pop(y)}).withColumn("scale", F.greatest(C("spread"), F.lit(1e-6))).drop("spread")
+
+    def step(i: int, joined: DataFrame) -> DataFrame:
+        joined = joined.withColumn("__e", _residual(y, xs))
         out = F.abs("__e") > epsilon * C("scale")
         w = F.when(out, epsilon * C("scale") / F.abs("__e")).otherwise(F.lit(1.0))
-        extra = {"__in": F.sum(F.when(out, 0.0).otherwise(C("__e") * C("__e"))), "__out": F.count(F.when(out, 1)), "__was": F.max("scale")}
-        ridge = [alpha * C("scale")] * len(xs)
-        step = _weighted_fit(joined, by, y, xs, w, ridge, extra)
+        extra = {"__in": F.sum(F.when(out, 0.0).otherwise(C("__e") * C("__e"))), "__out": F.count(F.when(out, 1)), "__old": F.max("scale")}
+        new = _weighted_fit(joined, by, y, xs, w, [alpha * C("scale")] * len(xs), extra)
         free = C("n") - C("__out") * epsilon * epsilon
-        scale = F.when(free > 0, F.greatest(F.lit(1e-9), F.sqrt(C("__in") / free))).otherwise(C("__was"))
-        fit = step.withColumn("scale", scale).drop("__in", "__out", "__was")
-        fit = cut(fit) if i % CUT == CUT - 1 else fit
-    keep = C("n") >= least
-    return fit.select(*by, "n", *[F.when(keep, C(c)).alias(c) for c in ("intercept", *[f"coef_{x}" for x in xs], "scale")])
+        scale = F.when(free > 0, F.greatest(F.lit(1e-9), F.sqrt(C("__in") / free))).otherwise(C("__old"))
+        return new.withColumn("scale", scale).drop("__in", "__out", "__old")
 
+    fit, keep = _passes(rows, by, xs, first, step, rounds, tolerance), C("n") >= least
+    return fit.select(*by, "n", *[F.when(keep, C(c)).alias(c) for c in ("intercept", *[f"coef_{x}" for x in xs], "scale", "converged")])
 
-def quantile(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], tau: float = 0.5, alpha: float = 1.0, least: int = 20, rounds: int = 30) -> DataFrame:
-    """Quantile regression with an L1 penalty of ``alpha`` times the row count: n, intercept, coef_<x> per group.
+
+def quantile(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], tau: float = 0.5, alpha: float = 0.0, least: int = 20, rounds: int = 60, tolerance: float = 1e-5) -> DataFrame:
+    """Quantile regression with an L1 penalty ``alpha`` on the coefficients: n, intercept, coef_<x>, converged per group.
 
     Both absolute values are majorised by parabolas at the last fit, which turns each pass into a weighted
     ridge fit; the floor of the parabolas shrinks from pass to pass.
     """
-    rows = df.dropna(subset=[y, *xs]).select(*by, C(y).cast("double").alias(y), *[C(x).cast("double").alias(x) for x in xs])
-    fit = cut(_weighted_fit(rows, by, y, xs, F.lit(1.0), [F.lit(0.0)] * len(xs), {}))
-    side = F.broadcast if small(fit, GROUPS) else (lambda x: x)
-    for i in range(rounds):
+    rows = cut(df.dropna(subset=[y, *xs]).select(*by, C(y).cast("double").alias(y), *[C(x).cast("double").alias(x) for x in xs]))
+    first = _weighted_fit(rows, by, y, xs, F.lit(1.0), [F.lit(0.0)] * len(xs), {}).withColumn("rows", C("n"))
+
+    def step(i: int, joined: DataFrame) -> DataFrame:
         floor = max(1e-6, 0.1 * 0.6**i)
-        joined = rows.join(side(fit.withColumnRenamed("n", "__n")), list(by)).withColumn("__e", _residual(y, xs))
+        joined = joined.withColumn("__e", _residual(y, xs))
         w = F.when(C("__e") >= 0, F.lit(tau)).otherwise(F.lit(1 - tau)) / F.greatest(F.abs("__e"), F.lit(floor))
-        ridge = [alpha * C("__n") / F.greatest(F.abs(f"coef_{x}"), F.lit(floor)) for x in xs]
-        fit = _weighted_fit(joined, by, y, xs, w, ridge, {})
-        fit = cut(fit) if i % CUT == CUT - 1 else fit
-    keep = C("n") >= least
-    return fit.select(*by, "n", *[F.when(keep, C(c)).alias(c) for c in ("intercept", *[f"coef_{x}" for x in xs])])
+        ridge = [alpha * C("rows") / F.greatest(F.abs(f"coef_{x}"), F.lit(floor)) for x in xs]
+        return _weighted_fit(joined, by, y, xs, w, ridge, {}).withColumn("rows", C("n"))
+
+    fit, keep = _passes(rows, by, xs, first, step, rounds, tolerance), C("n") >= least
+    return fit.select(*by, "n", *[F.when(keep, C(c)).alias(c) for c in ("intercept", *[f"coef_{x}" for x in xs], "converged")])
 
 
 def elastic_net(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], fold: Column, folds: int = 5, ratio: float = 0.5, path: int = 50, least: int = 50) -> DataFrame:

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusmill.session import broadcast_if_small
+from locusmill.operators.ranges import average_rank, cumulated, joined, median, numbered, summarised, value_range
+from locusmill.session import broadcast_if_small, cut
 
 C = F.col
 
@@ -27,42 +28,6 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_samp(a, b), F.stddev_samp(both(a, b, a)) * F.stddev_samp(both(a, b, b)))
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Adds the average rank of ``value`` within the groups; ties share the mean of their ranks, null has none."""
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    tie = Window.partitionBy(*by, value)
-    kept = df.where(C(value).isNotNull())
-    return kept.withColumn(name, F.rank().over(w) + (F.count("*").over(tie) - 1) / 2)
-
-
-def global_average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average rank over the whole table without gathering it in one task: counts per distinct value are
-    cumulated over value ranges first, then inside each range."""
-    counts = df.where(C(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    return df.join(cumulated(counts, value, "__n"), value).withColumn(name, C("__before") + (C("__n") + 1) / 2).drop("__before", "__n")
-
-
-def value_range(df: DataFrame, order: str, parts: int = 64) -> Column:
-    """Number of the value range a row falls in. The edges are a fixed list from one job (approximate
-    percentiles, so that ranges are about equal); every use of the column sees the same ranges."""
-    at = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(order, at, 10 * parts).alias("e")).first()["e"]
-    edges = F.array(*[F.lit(float(e)) for e in sorted(set(found or []))]).cast("array<double>")
-    return F.size(F.filter(edges, lambda e: e < C(order)))
-
-
-def cumulated(counts: DataFrame, order: str, weight: str, parts: int = 64) -> DataFrame:
-    """Adds ``__before``: the sum of ``weight`` over smaller ``order``. Sums per value range are cumulated
-    over a table of ``parts`` rows, and only inside a range by a window. Runs a job for the ranges."""
-    ranged = counts.withColumn("__part", value_range(counts, order, parts))
-    sums = ranged.groupBy("__part").agg(F.sum(weight).alias("__s"))
-    w0 = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__part", F.coalesce(F.sum("__s").over(w0), F.lit(0)).alias("__offset"))
-    w = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = ranged.withColumn("__in", F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    return inside.join(F.broadcast(offsets), "__part").withColumn("__before", C("__in") + C("__offset")).drop("__part", "__in", "__offset")
-
-
 def spearman(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     """rho and n per group."""
     kept = df.where(C(a).isNotNull() & C(b).isNotNull()).select(*by, a, b)
@@ -79,8 +44,14 @@ def delta_abs_corr(df: DataFrame, by: Sequence[str], x: str, y: str, corrected:
 
 def mad(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Median absolute deviation per group plus 1e-9."""
-    m = df.groupBy(*by).agg(F.median(value).alias("__m"))
-    return df.join(broadcast_if_small(m), list(by)).groupBy(*by).agg((F.median(F.abs(C(value) - C("__m"))) + F.lit(1e-9)).alias("mad"))
+    off = joined(df, broadcast_if_small(median(df, by, value, "__m")), by).select(*by, F.abs(C(value) - C("__m")).alias("__d"))
+    return median(off, by, "__d", "mad").withColumn("mad", C("mad") + F.lit(1e-9))
+
+
+def at_least(df: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """Rows of groups with at least ``n`` rows."""
+    big = df.groupBy(*by).agg(F.count("*").alias("__n")).where(C("__n") >= n).drop("__n")
+    return df.join(broadcast_if_small(big), list(by), "left_semi")
 
 
 def moments(y: Column, xs: Sequence[Column]) -> dict[str, Column]:
@@ -138,7 +109,7 @@ def ols(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], least: int
     rest = F.greatest(F.lit(0.0), C("syy") - explained)
     return m.select(
         *by, "n", *([at.alias("intercept")] if intercept else []), *[f"coef_{x}" for x in xs],
-        F.when(C("syy") > 0, F.try_divide(explained, C("syy"))).alias("r2"), F.sqrt(rest * freedom / C("n")).alias("rmse"),
+        F.when(C("syy") > 0, F.try_divide(explained, C("syy"))).alias("r2"), F.when(explained.isNotNull(), F.sqrt(rest * freedom / C("n"))).alias("rmse"),
     )
 
 
@@ -185,11 +156,10 @@ def zscore(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def roll(df: DataFrame, by: Sequence[str], order: str, value: str, shift: int) -> DataFrame:
     """Adds ``rolled``: the value ``shift`` places before in the circle of the group's rows."""
-    w = Window.partitionBy(*by).orderBy(order)
-    r = df.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
-    r = r.withColumn("__from", F.pmod(C("__i") - shift, C("__n")))
+    r = cut(numbered(df, by, order, "__i"))
+    r = joined(r, broadcast_if_small(r.groupBy(*by).agg(F.count("*").alias("__n"))), by).withColumn("__from", F.pmod(C("__i") - shift, C("__n")))
     source = r.select(*by, C("__i").alias("__from"), C(value).alias("rolled"))
-    return r.join(source, [*by, "__from"]).drop("__i", "__n", "__from")
+    return joined(r, source, [*by, "__from"]).drop("__i", "__n", "__from")
 
 
 def bins(x: Column, edges: Column) -> Column:
@@ -200,13 +170,13 @@ def bins(x: Column, edges: Column) -> Column:
 
 def quantile_edges(df: DataFrame, value: str, parts: int) -> DataFrame:
     """One row with the distinct percentile edges of the whole table, quantised."""
-    at = F.array(*[F.lit(i / parts) for i in range(parts + 1)])
-    return df.agg(F.array_distinct(F.transform(F.percentile(value, at), lambda v: F.floor(v * 1e6 + 0.5).cast("double") / 1e6)).alias("edges"))
+    at = summarised(df, [], {"at": (C(value), [i / parts for i in range(parts + 1)])})
+    return at.select(F.array_distinct(F.transform("at", lambda v: F.floor(v * 1e6 + 0.5).cast("double") / 1e6)).alias("edges"))
 
 
 def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from average ranks (ties count a half), in one row."""
-    ranked = global_average_rank(df.where(C(label).isNotNull() & C(score).isNotNull()), score, "__r")
+    ranked = average_rank(df.where(C(label).isNotNull() & C(score).isNotNull()), [], score, "__r")
     pos, n = F.sum(C(label)), F.count("*")
     return ranked.agg(F.try_divide(F.sum(C("__r") * C(label)) - pos * (pos + 1) / 2, pos * (n - pos)).alias("auroc"))
 
@@ -214,7 +184,7 @@ def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Mean precision at the positives, tied scores taken together, in one row."""
     kept = df.where(C(label).isNotNull() & C(score).isNotNull()).withColumn("__neg", -C(score))
-    tied = kept.groupBy("__neg").agg(F.count("*").alias("__n"), F.sum(label).alias("__p"))
+    tied = cut(kept.groupBy("__neg").agg(F.count("*").alias("__n"), F.sum(label).alias("__p")))
     seen = cumulated(tied, "__neg", "__n").withColumnRenamed("__before", "__nb")
     seen = cumulated(seen, "__neg", "__p")
     precision = (C("__before") + C("__p")) / (C("__nb") + C("__n"))
@@ -224,7 +194,7 @@ def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
 def ks_statistic(df: DataFrame, arm: str, value: str) -> DataFrame:
     """Largest distance of the two arms' distribution functions; ``arm`` is 0 or 1. One row."""
     kept = df.where(C(value).isNotNull())
-    counts = kept.groupBy(value).agg(F.sum(1 - C(arm)).alias("__a"), F.sum(C(arm)).alias("__b"))
+    counts = cut(kept.groupBy(value).agg(F.sum(1 - C(arm)).alias("__a"), F.sum(C(arm)).alias("__b")))
     total = counts.agg(F.sum("__a").alias("na"), F.sum("__b").alias("nb"))
     c = cumulated(counts, value, "__a").withColumnRenamed("__before", "__ca")
     c = cumulated(c, value, "__b")
@@ -235,7 +205,7 @@ def ks_statistic(df: DataFrame, arm: str, value: str) -> DataFrame:
 def wilcoxon(df: DataFrame, difference: str) -> DataFrame:
     """Signed-rank sums of the nonzero differences: w_plus, w_minus, n. One row."""
     kept = df.where(C(difference).isNotNull() & (C(difference) != 0)).withColumn("__abs", F.abs(difference))
-    ranked = global_average_rank(kept, "__abs", "__r")
+    ranked = average_rank(kept, [], "__abs", "__r")
     side = lambda s: F.coalesce(F.sum(F.when(C(difference) * s > 0, C("__r"))), F.lit(0.0))
     return ranked.agg(side(1).alias("w_plus"), side(-1).alias("w_minus"), F.count("*").alias("n"))
 
@@ -246,7 +216,7 @@ def benjamini_hochberg(df: DataFrame, p: str, name: str = "q") -> DataFrame:
     Works on distinct p-values; the running minimum inside a range continues with the ranges behind it.
     """
     kept = df.where(C(p).isNotNull())
-    counts = kept.groupBy(p).agg(F.count("*").alias("__n"))
+    counts = cut(kept.groupBy(p).agg(F.count("*").alias("__n")))
     total = counts.agg(F.sum("__n").alias("__m"))
     r = cumulated(counts, p, "__n").join(F.broadcast(total), F.lit(True)).withColumn("__q", C(p) * C("__m") / (C("__before") + C("__n")))
     ranged = r.withColumn("__part", value_range(counts, p))

@@ -1,7 +1,9 @@
 """Quantities stated in different units, brought to absolute copies.
 
 A multi-pattern automaton finds unit aliases in the texts that go with a value. Overlapping hits
-are settled by the longest match, hits of one text by the rank of their unit, and the texts by the
+are settled by the longest match. Hits of one text are told apart by the number that stands at the alias: an alias
+at the row's own value says most, one without a number comes next, and one at another number (a purity of 80 %) counts only
+where nothing else is said. What is left is settled by the rank of the units, and the texts by the
 order of the fields (the row's own statements before the readme of its source). The unit then picks
 a row of the conversion table, which is a handful of constants and joined by broadcast.
 
@@ -32,7 +34,7 @@ ALIASES: dict[str, tuple[str, ...]] = {
         "log2(ratio)", "log2(tumour/normal)", "log2(tumor/normal)", "log2 fold", "log2fc",
     ),
     "plus_one": (
-        "+ 1", "+1", "1 +", "1+", "p1", "plus one", "plus 1", "one plus", "1 plus", "log2p1", "log1p", "pseudocount 1",
+        "+ 1", "+1", "1 +", "1+", "p1", "plus one", "plus 1", "one plus", "1 plus", "log2p1", "log2(x+1)", "log2(ratio+1)", "log2(ratio + 1)", "pseudocount 1",
     ),
     "hundredths": (
         "hundredths", "hundredths of a copy", "hundredth", "hundredth of a copy", "centicopies", "centicopy", "centi-copies", "ccn",
@@ -69,6 +71,9 @@ CONVERSIONS = (
     ("hundredths", False, 0.01, 0.0),
 )
 
+# Aliases that state two things at once.
+PARTS = {w: ("log2_ratio", "plus_one") for w in ("log2p1", "log2(x+1)", "log2(ratio+1)", "log2(ratio + 1)")}
+
 # Which statement counts where a text holds several: the scale words outrank what they scale.
 RANK = ("log2_ratio_plus_1", "log2_ratio", "hundredths", "percent", "ratio", "absolute")
 
@@ -92,8 +97,25 @@ def _edge(text: str, at: int, inside: int) -> bool:
     return not (a.isalpha() and b.isalpha() or a.isdigit() and b.isdigit() or point)
 
 
-def unit_of_text(text: str | None, automaton: ahocorasick.Automaton) -> str | None:
-    """The unit one text states, or null."""
+_BEFORE = re.compile(r"([-+]?\d+(?:\.\d+)?) ?\Z")
+_AFTER = re.compile(r" ?[:=]? ?([-+]?\d+(?:\.\d+)?)(?![\w.]*\w)")
+
+
+def _number_at(t: str, s: int, e: int, taken: Sequence[tuple[int, int, str]]) -> float | None:
+    """The number beside an alias at [s, e), if it belongs to no other alias."""
+    k = s  # back over one blank and the number
+    while k and (t[k - 1].isdigit() or t[k - 1] in ".+-" or k == s and t[k - 1] == " "):
+        k -= 1
+    for m in (_BEFORE.search(t[k:s]), _AFTER.match(t, e)):
+        if m:
+            at = (k if m.re is _BEFORE else 0) + m.start(1)
+            if not any(a <= at < b for a, b, _ in taken):
+                return float(m[1])
+    return None
+
+
+def unit_of_text(text: str | None, automaton: ahocorasick.Automaton, value: float | None = None) -> str | None:
+    """The unit one text states for a value, or null."""
     if text is None:
         return None
     t = re.sub(r"\s+", " ", text.lower()).strip()
@@ -106,45 +128,56 @@ def unit_of_text(text: str | None, automaton: ahocorasick.Automaton) -> str | No
     for s, e, unit in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
         if all(e <= a or s >= b for a, b, _ in taken):
             taken.append((s, e, unit))
-    units = {u for _, _, u in taken}
-    if re.search(r"log2p1|log1p", t):
-        units |= {"log2_ratio", "plus_one"}
-    if {"log2_ratio", "plus_one"} <= units:
-        return "log2_ratio_plus_1"
-    return next((u for u in RANK if u in units), None)
-
-
-def _unit_column(texts: Sequence[str]) -> Column:
-    """First stated unit of the given text columns, in order; each distinct text is read once a batch."""
+    said: dict[int, set[str]] = {}
+    for s, e, unit in taken:
+        number = _number_at(t, s, e, taken) if unit != "~" else None
+        own = number is not None and value is not None and abs(number - value) <= 1e-9 * max(1.0, abs(value))
+        for u in PARTS.get(t[s:e], (unit,)):
+            said.setdefault(1 if number is None else 0 if own else 2, set()).add(u)
+    for _, units in sorted(said.items()):
+        if {"log2_ratio", "plus_one"} <= units:
+            return "log2_ratio_plus_1"
+        if found := next((u for u in RANK if u in units), None):
+            return found
+    return None
+
+
+def _unit_column(texts: Sequence[str], value: str | None = None) -> Column:
+    """First stated unit of the given text columns, in order; each distinct text is read once a batch, one with digits once for each value."""
 
     def stated(batches):
         automaton = _automaton()
         for columns in batches:
             columns = columns if isinstance(columns, tuple) else (columns,)
             unit = pd.Series([None] * len(columns[0]), dtype=object)
-            for c in columns:
+            values = columns[-1] if value else None
+            for c in columns[: len(texts)]:
                 codes, distinct = pd.factorize(c)
                 fresh = [unit_of_text(x, automaton) for x in distinct] + [None]
                 found = pd.Series([fresh[i] for i in codes], dtype=object)
+                if values is not None:
+                    numbered = [bool(re.search(r"\d", x)) for x in distinct] + [False]
+                    for i in [i for i, k in enumerate(codes) if numbered[k]]:
+                        found.iat[i] = unit_of_text(distinct[codes[i]], automaton, values.iat[i])
                 unit = unit.where(unit.notna(), found)
             yield unit
 
-    stated.__annotations__ = {
-        "batches": Iterator[pd.Series] if len(texts) == 1 else Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series],
-    }
-    return F.pandas_udf(stated, "string")(*[F.col(f"`{c}`").cast("string") for c in texts])
+    several = len(texts) + (value is not None) > 1
+    stated.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]] if several else Iterator[pd.Series], "return": Iterator[pd.Series]}
+    held = [F.col(f"`{c}`").cast("string") for c in texts] + ([F.col(f"`{value}`").cast("double")] if value else [])
+    return F.pandas_udf(stated, "string")(*held)
 
 
-def with_units(df: DataFrame, texts: Sequence[str], sources: DataFrame, source: str = "source", readme: str = "readme") -> DataFrame:
-    """Adds ``unit``: what ``texts`` say (the earlier column first), else what the source's readme says."""
+def with_units(df: DataFrame, texts: Sequence[str], sources: DataFrame, source: str = "source", readme: str = "readme", value: str | None = None) -> DataFrame:
+    """Adds ``unit``: what ``texts`` say (the earlier column first) of the ``value``, else what the source's readme says."""
     stated = (
         sources.where(F.col(source).isNotNull())
         .select(F.col(source).alias("__source"), _unit_column([readme]).alias("__said"))
         .groupBy("__source").agg(F.min("__said").alias("__said"))
     )
-    rows = df.drop("unit").withColumn("__own", _unit_column(texts))
+    rows = df.drop("unit").withColumn("__own", _unit_column(texts, value))
     return (
-        rows.join(broadcast_if_small(stated), rows[source] == stated["__source"], "left")
+        rows.join(broadcast_if_small(stated), F.col(source) == F.col("__source"), "left")
         .withColumn("unit", F.coalesce("__own", "__said", F.lit("unknown")))
         .drop("__own", "__said", "__source")
     )

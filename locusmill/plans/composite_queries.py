@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from locusmill.functions import scalars as S
 from locusmill.functions.quant import q6
-from locusmill.operators import clean, controls, intervals, stats
+from locusmill.operators import clean, controls, pvalues, stats
 from locusmill.plans import views
+from locusmill.operators.ranges import median, summarised
+from locusmill.plans.registry import drawn_sql as _drawn
 from locusmill.plans.registry import q, query
-from locusmill.plans.stat_queries import _DELTA, _FIT3, _LABEL, _M3, _YC, D, O, _delta, _fit3, _labelled, _obs_corrected, corr, quant, top_share
+from locusmill.plans.stat_queries import _DELTA, _FIT3, _LABEL, _M3, _P, D, O, XS, _delta, _fit3, _gene_p, _labelled, corr, delta_sql, nn, fit3_sql, moments_sql, quant, top_share
+from locusmill.session import broadcast_if_small, cut
 from locusmill.sources.tables import table
 
 C = F.col
@@ -18,13 +21,6 @@ _B = f"WITH {views.SEGMENTS_SQL}, {views.BREAKS_SQL}"
 _SIZES = "sz AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in S.CHROMOSOMES.items()) + ") t(chrom, size))"
 
 
-def _drawn(seed: int, *keys: str) -> str:
-    out = f"CAST({seed * 97 + 13} AS BIGINT)"
-    for k in keys:
-        out = f"(({out} * 48271 + ({k} % 2147483647) * 40503 + 11) % 2147483647)"
-    return f"(({out} * 48271) % 2147483647)"
-
-
 _CELL = "length(cell)"
 _CH = "length(chrom)"
 
@@ -42,10 +38,13 @@ def rotate_segments(s, d):
     return controls.rotate_interval(x, "s", "e", controls.size_of(C("chrom"), S.CHROMOSOMES), 8, F.length("cell"), F.length("chrom")).select("seg_id", "s", "e")
 
 
-@query(f"WITH {views.SEGMENTS_SQL}, {_SIZES} SELECT seg_id, {_drawn(9, 'seg_id')} % greatest(1, size - (e - s)) AS s, {_drawn(9, 'seg_id')} % greatest(1, size - (e - s)) + e - s AS e FROM seg JOIN sz USING (chrom)")
+@query(f"""WITH {views.SEGMENTS_SQL}, {_SIZES}, u AS (SELECT seg_id, {_drawn(9, 'seg_id')} % size AS a, {_drawn(19, 'seg_id')} % size AS b FROM seg JOIN sz USING (chrom)) SELECT seg_id, least(a, b) AS s, greatest(a, b) AS e FROM u""")
 def uniform_shuffle(s, d):
+    """Both borders of a segment anywhere on its chromosome, each drawn alone."""
     x = views.segments(s, d).where(C("chrom").isin(*S.CHROMOSOMES))
-    return controls.scatter(x, "s", "e", controls.size_of(C("chrom"), S.CHROMOSOMES), 9, C("seg_id")).select("seg_id", "s", "e")
+    size = controls.size_of(C("chrom"), S.CHROMOSOMES)
+    a, b = (F.pmod(controls.drawn(i, C("seg_id")), size) for i in (9, 19))
+    return x.select("seg_id", F.least(a, b).alias("s"), F.greatest(a, b).alias("e"))
 
 
 @query(f"WITH {views.SEGMENTS_SQL}, {_SIZES} SELECT seg_id, chrom, {_drawn(10, 'seg_id', _CH)} % greatest(1, size - (e - s)) AS s FROM seg JOIN sz USING (chrom)")
@@ -71,23 +70,25 @@ def across_shuffle(s, d):
     return controls.scatter_across(x, "chrom", "s", S.CHROMOSOMES, 11, C("seg_id"))
 
 
-@query(f"WITH {views.SEGMENTS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY cell, chrom ORDER BY seg_id) AS i, row_number() OVER (PARTITION BY cell, chrom ORDER BY {_drawn(13, 'seg_id')}, seg_id) AS j FROM seg) SELECT a.seg_id, b.cn AS permuted FROM a JOIN a b ON a.cell = b.cell AND a.chrom = b.chrom AND a.i = b.j")
+@query(f"WITH {views.SEGMENTS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY cell, chrom ORDER BY seg_id) AS i, row_number() OVER (PARTITION BY cell, chrom ORDER BY {_drawn(13, 'seg_id')} * 2097152 + seg_id % 2097152) AS j FROM seg) SELECT a.seg_id, a.cn, b.s AS permuted_s, b.e AS permuted_e FROM a JOIN a b ON a.cell = b.cell AND a.chrom = b.chrom AND a.i = b.j")
 def permute(s, d):
-    return controls.permute(views.segments(s, d), ["cell", "chrom"], "seg_id", "cn", 13).select("seg_id", "permuted")
+    """The places of a cell's segments on a chromosome dealt out anew; copies stay with their segment."""
+    return controls.permute(views.segments(s, d), ["cell", "chrom"], "seg_id", ["s", "e"], 13).select("seg_id", "cn", "permuted_s", "permuted_e")
+
 
+_PERM = "a AS (SELECT design_id, cell_line, bp_dist, row_number() OVER (PARTITION BY cell_line ORDER BY design_id) AS i, row_number() OVER (PARTITION BY cell_line ORDER BY " + _drawn(14, 'design_id') + " * 2097152 + design_id % 2097152) AS j FROM design WHERE cell_line IS NOT NULL)"
 
-@query(f"WITH a AS (SELECT design_id, cell_line, bp_dist, row_number() OVER (PARTITION BY cell_line ORDER BY design_id) AS i, row_number() OVER (PARTITION BY cell_line ORDER BY {_drawn(14, 'design_id')}, design_id) AS j FROM design WHERE cell_line IS NOT NULL) SELECT a.design_id, b.bp_dist AS permuted FROM a JOIN a b ON a.cell_line = b.cell_line AND a.i = b.j")
+
+@query(f"WITH {_PERM} SELECT a.design_id, b.bp_dist AS permuted FROM a JOIN a b ON a.cell_line = b.cell_line AND a.i = b.j")
 def permute_dist(s, d):
     t = table(s, d, "design").where("cell_line is not null").select("design_id", "cell_line", "bp_dist")
-    return controls.permute(t, ["cell_line"], "design_id", "bp_dist", 14).select("design_id", "permuted")
+    return controls.permute(t, ["cell_line"], "design_id", ["bp_dist"], 14).select("design_id", C("permuted_bp_dist").alias("permuted"))
 
 
-@query(f"WITH a AS (SELECT design_id, cell_line, bp_dist, row_number() OVER (PARTITION BY cell_line ORDER BY design_id) AS i, row_number() OVER (PARTITION BY cell_line ORDER BY {_drawn(14, 'design_id')}, design_id) AS j FROM design WHERE cell_line IS NOT NULL) SELECT a.design_id, {q('exp(-b.bp_dist / 100000.0)')} AS prox_exp_100k, floor(1e12 / (b.bp_dist + 1000) + 0.5) / 1e12 AS prox_inv FROM a JOIN a b ON a.cell_line = b.cell_line AND a.i = b.j")
+@query(f"WITH {_PERM} SELECT a.design_id, {q('exp(-b.bp_dist / 100000.0)')} AS prox_exp_100k, floor(1e12 / (b.bp_dist + 1000) + 0.5) / 1e12 AS prox_inv FROM a JOIN a b ON a.cell_line = b.cell_line AND a.i = b.j")
 def shuffled_kernels(s, d):
-    t = table(s, d, "design").where("cell_line is not null").select("design_id", "cell_line", "bp_dist")
-    x = controls.permute(t, ["cell_line"], "design_id", "bp_dist", 14)
-    k = S.kernels(C("permuted"))
-    return x.select("design_id", q6(k["prox_exp_100k"]).alias("prox_exp_100k"), (F.floor(F.lit(1e12) / (C("permuted") + 1000) + 0.5).cast("double") / F.lit(1e12)).alias("prox_inv"))
+    x = permute_dist(s, d)
+    return x.select("design_id", q6(S.kernels(C("permuted"))["prox_exp_100k"]).alias("prox_exp_100k"), (F.floor(F.lit(1e12) / (C("permuted") + 1000) + 0.5).cast("double") / F.lit(1e12)).alias("prox_inv"))
 
 
 _ACT = "ac AS (SELECT gene, avg(CAST(near + far > 0 AS INT)) AS active FROM obs GROUP BY gene)"
@@ -104,7 +105,7 @@ def _positive(c: str = "delta"):
     return q6(C(c)) > 0
 
 
-@query(f"{O}, {_YC}, {_DELTA}, {_ACT} SELECT {q(f'avg(CAST(active >= 0.10 AND {_SIGN} AS INT))')} AS directional, count(*) AS n FROM dl JOIN ac USING (gene)")
+@query(f"{O}, {_DELTA}, {_ACT} SELECT {q(f'avg(CAST(active >= 0.10 AND {_SIGN} AS INT))')} AS directional, count(*) AS n FROM dl JOIN ac USING (gene)")
 def directional(s, d):
     x = _delta(s, d).join(_active(s, d), "gene")
     return x.agg(q6(F.avg(((C("active") >= 0.10) & _positive()).cast("int"))).alias("directional"), F.count("*").alias("n"))
@@ -116,20 +117,20 @@ def effect_size(s, d):
     return g.agg(q6(F.median("x")).alias("median"), q6(F.percentile("x", 0.9)).alias("p90"), q6(F.percentile("x", 0.99)).alias("p99"), F.count("*").alias("n"))
 
 
-_TWO = "tw AS (SELECT gene, avg(CAST(dist <= 250000 AS INT)) AS p_true, avg(CAST((dist + 777777) % 5000000 <= 250000 AS INT)) AS p_ctrl FROM obs GROUP BY gene)"
+K = f"WITH {views.CONTROL_SQL}"
+_TWO = "tw AS (SELECT gene, avg(near) AS p_true, avg(neark) AS p_ctrl FROM obs GROUP BY gene)"
 
 
 def _prevalences(s, d):
-    o = views.observations(s, d)
-    return o.groupBy("gene").agg(F.avg((C("dist") <= 250_000).cast("int")).alias("p_true"), F.avg(((C("dist") + 777_777) % 5_000_000 <= 250_000).cast("int")).alias("p_ctrl"))
+    return views.controlled(s, d).groupBy("gene").agg(F.avg("near").alias("p_true"), F.avg("neark").alias("p_ctrl"))
 
 
-@query(f"{O}, {_TWO} SELECT gene FROM tw WHERE abs(p_true - p_ctrl) <= 0.02 + 1e-12")
+@query(f"{K}, {_TWO} SELECT gene FROM tw WHERE abs(p_true - p_ctrl) <= 0.02 + 1e-12")
 def prevalence_match(s, d):
     return _prevalences(s, d).where(F.abs(C("p_true") - C("p_ctrl")) <= 0.02 + 1e-12).select("gene")
 
 
-@query(f"""{O}, {_YC}, {_DELTA}, {_TWO}, ed AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(p_true, [0.0, 0.25, 0.5, 0.75, 1.0]), lambda x: floor(x * 1e6 + 0.5) / 1e6))) AS edges FROM tw),
+@query(f"""{K}, {_DELTA}, {_TWO}, ed AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(p_true, [0.0, 0.25, 0.5, 0.75, 1.0]), lambda x: floor(x * 1e6 + 0.5) / 1e6))) AS edges FROM tw),
 b AS (SELECT gene, CASE WHEN p_true >= edges[1] AND p_true <= edges[-1] THEN greatest(0, len(list_filter(edges, lambda e: e < p_true)) - 1) END AS bin FROM tw, ed)
 SELECT {q('avg(f)')} AS matched, count(*) AS bins FROM (SELECT bin, avg(CAST({_SIGN} AS INT)) AS f FROM dl JOIN b USING (gene) WHERE bin IS NOT NULL GROUP BY bin)""")
 def prev_matched(s, d):
@@ -141,7 +142,7 @@ def prev_matched(s, d):
 
 @query(f"{D}, g AS (SELECT gene, median(contrib) AS c, median(y - yc) AS e FROM dc GROUP BY gene), t AS (SELECT quantile_cont(c, 1 / 3.0) AS a, quantile_cont(c, 2 / 3.0) AS b FROM g) SELECT tertile, {q('avg(CAST(e > 0 AS INT))')} AS positive, count(*) AS n FROM (SELECT CASE WHEN c <= a THEN 0 WHEN c <= b THEN 1 ELSE 2 END AS tertile, e FROM g, t WHERE c IS NOT NULL AND e IS NOT NULL) GROUP BY tertile")
 def tertile_sign(s, d):
-    g = views.corrected(s, d).groupBy("gene").agg(F.median("contrib").alias("c"), F.median(C("y") - C("yc")).alias("e"))
+    g = cut(summarised(views.corrected(s, d), ["gene"], {"c": (C("contrib"), 0.5), "e": (C("y") - C("yc"), 0.5)}))
     t = g.agg(F.percentile("c", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("t"))
     k = F.when(C("c") <= C("t")[0], 0).when(C("c") <= C("t")[1], 1).otherwise(2)
     x = g.where("c is not null and e is not null").join(F.broadcast(t), F.lit(True)).select(k.alias("tertile"), "e")
@@ -151,23 +152,46 @@ def tertile_sign(s, d):
 @query(f"""{D}, g AS (SELECT gene, max(abs(contrib)) AS c, floor(median(y - yc) * 1e6 + 0.5) AS e FROM dc GROUP BY gene), k AS (SELECT rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS rc,
 rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2.0 AS re FROM g WHERE c IS NOT NULL AND e IS NOT NULL) SELECT {q('corr(rc, re)')} AS rho, count(*) AS n FROM k""")
 def coef_effect(s, d):
-    g = views.corrected(s, d).groupBy("gene").agg(F.max(F.abs("contrib")).alias("c"), F.floor(F.median(C("y") - C("yc")) * 1e6 + 0.5).cast("double").alias("e")).where("c is not null and e is not null")
-    r = stats.global_average_rank(stats.global_average_rank(g, "c", "rc"), "e", "re")
-    return r.agg(q6(stats.pearson(C("rc"), C("re"))).alias("rho"), F.count("*").alias("n"))
+    return _ranked_effects(s, d).agg(q6(stats.pearson(C("rc"), C("re"))).alias("rho"), F.count("*").alias("n"))
+
+
+def _ranked_effects(s, d):
+    g = summarised(views.corrected(s, d), ["gene"], {"m": (C("y") - C("yc"), 0.5)}, c=F.max(F.abs("contrib")))
+    g = cut(g.select("gene", "c", F.floor(C("m") * 1e6 + 0.5).cast("double").alias("e")).where("c is not null and e is not null"))
+    return stats.average_rank(stats.average_rank(g, [], "c", "rc"), [], "e", "re")
+
+
+@query()
+def coef_effect_p(s, d):
+    """The rank correlation with its two-sided p by Student's t (tests check it against known values)."""
+    r = _ranked_effects(s, d).agg(stats.pearson(C("rc"), C("re")).alias("rho"), F.count("*").alias("n"))
+    return r.select(q6(C("rho")).alias("rho"), "n", pvalues.correlation_p(C("rho"), C("n")).alias("p"))
 
 
-_CTRL = "oc AS (SELECT *, y - 0.02::DOUBLE * cn * (1 + gene % 3) AS yk FROM o)"
-_DK = f"dk AS (SELECT gene, abs({corr('y', 'cn')}) - abs({corr('yk', 'cn')}) AS dk FROM oc GROUP BY gene)"
+# The control arm: distances dealt out anew, windows and fit made again, and the response corrected by that fit.
+XK = ("cn", "neark", "fark")
+_DK = (
+    f"{moments_sql('y', XK, name='mk')}, {fit3_sql('y', *XK, name='fk', frm='mk')}, ok AS (SELECT obs.*, coalesce(y - (fk.b2 * neark + fk.b3 * fark), y) AS yk FROM obs JOIN fk USING (gene)), "
+    + delta_sql("dkk", "yk", "ok") + ", dk AS (SELECT gene, delta AS dk FROM dkk)"
+)
 
 
-def _control_delta(s, d):
-    o = _obs_corrected(s, d).withColumn("yk", C("y") - F.lit(0.02) * C("cn") * (1 + C("gene") % 3))
-    return stats.delta_abs_corr(o, ["gene"], "cn", "y", "yk").select("gene", C("delta").alias("dk"))
+def _control_delta(s, d, o=None):
+    o = cut(views.controlled(s, d)) if o is None else o
+    f = stats.ols(o, ["gene"], "y", list(XK), least=20).select("gene", "coef_neark", "coef_fark")
+    yk = F.coalesce(C("y") - (C("coef_neark") * C("neark") + C("coef_fark") * C("fark")), C("y"))
+    return stats.delta_abs_corr(o.join(broadcast_if_small(f), "gene").withColumn("yk", yk), ["gene"], "cn", "y", "yk").select("gene", C("delta").alias("dk"))
 
 
-@query(f"{O}, {_YC}, {_DELTA}, {_CTRL}, {_DK}, x AS (SELECT delta - dk AS x FROM dl JOIN dk USING (gene)) SELECT {q('avg(x)')} AS mean, {q('median(x)')} AS median, {q('quantile_cont(x, 0.25)')} AS q25, {q('quantile_cont(x, 0.75)')} AS q75, count(*) AS n FROM x")
+def _arms(s, d):
+    """gene, n, r0, r1, delta of the observations with dk of the control arm; the observations are written once."""
+    o = cut(views.controlled(s, d))
+    return stats.delta_abs_corr(o, ["gene"], "cn", "y", "yc").join(_control_delta(s, d, o), "gene")
+
+
+@query(f"{K}, {_DELTA}, {_DK}, x AS (SELECT delta - dk AS x FROM dl JOIN dk USING (gene)) SELECT {q('avg(x)')} AS mean, {q('median(x)')} AS median, {q('quantile_cont(x, 0.25)')} AS q25, {q('quantile_cont(x, 0.75)')} AS q75, count(*) AS n FROM x")
 def excess(s, d):
-    x = _delta(s, d).join(_control_delta(s, d), "gene").select((C("delta") - C("dk")).alias("x"))
+    x = _arms(s, d).select((C("delta") - C("dk")).alias("x"))
     p = F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)))
     return x.agg(q6(F.avg("x")).alias("mean"), q6(F.median("x")).alias("median"), q6(p[0]).alias("q25"), q6(p[1]).alias("q75"), F.count("*").alias("n"))
 
@@ -176,17 +200,24 @@ def excess(s, d):
 def excess_table(s, d):
     c = views.corrected(s, d)
     m = c.select(F.explode(F.array(F.struct(F.lit("contrib").alias("metric"), F.abs("contrib").alias("a"), F.abs("pred").alias("b")), F.struct(F.lit("dependency").alias("metric"), F.abs("y").alias("a"), F.abs("yc").alias("b")))).alias("m"), "gene")
-    g = m.groupBy("m.metric", "gene").agg((F.median("m.a") - F.median("m.b")).alias("x"))
+    g = summarised(m.select("m.*", "gene"), ["metric", "gene"], {"ma": (C("a"), 0.5), "mb": (C("b"), 0.5)}).select("metric", "gene", (C("ma") - C("mb")).alias("x"))
     return g.groupBy("metric").agg(q6(F.avg("x")).alias("mean"), q6(F.median("x")).alias("median"), F.count("x").alias("n"))
 
 
-@query(f"{O}, {_YC}, {_DELTA}, {_CTRL}, {_DK} SELECT gene, CAST(floor((delta - dk) * 1e6 + 0.5) > 0 AS INT) AS above, CAST(abs(r0) >= 0.3 AS INT) AS strong FROM dl JOIN dk USING (gene)")
+_RK = "rank() OVER (ORDER BY {0} DESC) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
+
+
+@query(f"""{K}, {_DELTA}, {_DK}, x AS (SELECT gene, {q('delta - dk')} AS ex, {q('delta')} AS delta, abs(r0) >= 0.3 AS strong FROM dl JOIN dk USING (gene))
+SELECT gene, CAST(ex > 0 AS INT) AS above, CAST(strong AS INT) AS strong, 2.0::DOUBLE * ({_RK.format('ex')}) + ({_RK.format('delta')}) AS score FROM x""")
 def candidate_flags(s, d):
-    x = _delta(s, d).join(_control_delta(s, d), "gene")
-    return x.select("gene", (q6(C("delta") - C("dk")) > 0).cast("int").alias("above"), (F.abs("r0") >= 0.3).cast("int").alias("strong"))
+    """Flags, and the rank score of candidates: twice the rank of the excess and the rank of the drop, the largest first."""
+    x = _arms(s, d).select("gene", q6(C("delta") - C("dk")).alias("ex"), q6(C("delta")).alias("delta"), (F.abs("r0") >= 0.3).cast("int").alias("strong"))
+    x = cut(x.withColumns({"e": -C("ex"), "f": -C("delta")}))
+    r = stats.average_rank(stats.average_rank(x, [], "e", "re"), [], "f", "rf")
+    return r.select("gene", (C("ex") > 0).cast("int").alias("above"), "strong", (2.0 * C("re") + C("rf")).alias("score"))
 
 
-@query(f"{O}, {_YC}, {_DELTA}, t AS (SELECT quantile_cont(abs(r0), 0.25) AS a, quantile_cont(abs(r0), 0.5) AS b, quantile_cont(abs(r0), 0.75) AS c FROM dl) SELECT quartile, {q('median(delta)')} AS delta, count(*) AS n FROM (SELECT delta, CASE WHEN abs(r0) <= a THEN 'Q1' WHEN abs(r0) <= b THEN 'Q2' WHEN abs(r0) <= c THEN 'Q3' ELSE 'Q4' END AS quartile FROM dl, t) GROUP BY quartile")
+@query(f"{O}, {_DELTA}, t AS (SELECT quantile_cont(abs(r0), 0.25) AS a, quantile_cont(abs(r0), 0.5) AS b, quantile_cont(abs(r0), 0.75) AS c FROM dl) SELECT quartile, {q('median(delta)')} AS delta, count(*) AS n FROM (SELECT delta, CASE WHEN abs(r0) <= a THEN 'Q1' WHEN abs(r0) <= b THEN 'Q2' WHEN abs(r0) <= c THEN 'Q3' ELSE 'Q4' END AS quartile FROM dl, t) GROUP BY quartile")
 def strat_by_quartile(s, d):
     x = _delta(s, d).withColumn("base", F.abs("r0"))
     t = x.agg(F.percentile("base", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("t"))
@@ -196,8 +227,8 @@ def strat_by_quartile(s, d):
 
 @query(f"{D} SELECT {q('quantile_cont(abs(contrib), 0.9)')} AS p90, {q('quantile_cont(abs(contrib), 0.99)')} AS p99, max(abs(contrib)) AS top FROM dc")
 def tail_stats(s, d):
-    p = F.percentile(F.abs("contrib"), F.array(F.lit(0.9), F.lit(0.99)))
-    return views.corrected(s, d).agg(q6(p[0]).alias("p90"), q6(p[1]).alias("p99"), F.max(F.abs("contrib")).alias("top"))
+    x = summarised(views.corrected(s, d), [], {"p": (F.abs("contrib"), [0.9, 0.99])}, top=F.max(F.abs("contrib")))
+    return x.select(q6(C("p")[0]).alias("p90"), q6(C("p")[1]).alias("p99"), "top")
 
 
 @query(f"{D}, {_LABEL}, u AS (SELECT 'all' AS subset, * FROM gl UNION ALL SELECT CASE WHEN lab = 1 THEN 'labelled' ELSE 'other' END, * FROM gl) SELECT subset, {q('median(myc) - median(my)')} AS shift, count(*) AS n FROM u GROUP BY subset")
@@ -207,43 +238,44 @@ def subset_shift(s, d):
     return u.groupBy("subset").agg(q6(F.median("myc") - F.median("my")).alias("shift"), F.count("*").alias("n"))
 
 
-@query(f"{O}, {_YC}, {_DELTA}, {_CTRL}, {_DK}, x AS (SELECT median(delta) AS t, median(dk) AS k, avg(CAST({_SIGN} AS INT)) AS f FROM dl JOIN dk USING (gene)) SELECT t > k AS beats_control, f >= 0.5 AS mostly_positive, t > 0.01 AS above_floor, CAST(t > k AS INT) + CAST(f >= 0.5 AS INT) + CAST(t > 0.01 AS INT) AS passed FROM x")
+@query(f"{K}, {_DELTA}, {_DK}, x AS (SELECT median(delta) AS t, median(dk) AS k, avg(CAST({_SIGN} AS INT)) AS f FROM dl JOIN dk USING (gene)) SELECT t > k AS beats_control, f >= 0.5 AS mostly_positive, t > 0.01 AS above_floor, CAST(t > k AS INT) + CAST(f >= 0.5 AS INT) + CAST(t > 0.01 AS INT) AS passed FROM x")
 def scoreboard(s, d):
-    x = _delta(s, d).join(_control_delta(s, d), "gene").agg(F.median("delta").alias("t"), F.median("dk").alias("k"), F.avg(_positive().cast("int")).alias("f"))
+    x = _arms(s, d).agg(F.median("delta").alias("t"), F.median("dk").alias("k"), F.avg(_positive().cast("int")).alias("f"))
     rules = {"beats_control": C("t") > C("k"), "mostly_positive": C("f") >= 0.5, "above_floor": C("t") > 0.01}
     out = x.select(*[c.alias(k) for k, c in rules.items()])
     return out.withColumn("passed", sum((C(k).cast("int") for k in rules), F.lit(0)))
 
 
-@query(f"{O}, {_YC}, {_DELTA}, m AS (SELECT gene, median(y) AS m FROM obs GROUP BY gene), a AS (SELECT gene, median(abs(y - m)) + 1e-9 AS mad FROM obs JOIN m USING (gene) GROUP BY gene) SELECT gene, {q('delta / mad')} AS scaled FROM dl JOIN a USING (gene)")
+@query(f"{O}, {_DELTA}, m AS (SELECT gene, median(y) AS m FROM obs GROUP BY gene), a AS (SELECT gene, median(abs(y - m)) + 1e-9 AS mad FROM obs JOIN m USING (gene) GROUP BY gene) SELECT gene, {q('delta / mad')} AS scaled FROM dl JOIN a USING (gene)")
 def scaled_drop(s, d):
     m = stats.mad(views.observations(s, d), ["gene"], "y")
     return quant(_delta(s, d).join(m, "gene").select("gene", (C("delta") / C("mad")).alias("scaled")), "scaled")
 
 
-@query(f"{O}, {_TWO} SELECT gene FROM (SELECT gene, row_number() OVER (ORDER BY floor(p_true * 1e6 + 0.5) DESC, gene) AS i, count(*) OVER () AS n FROM tw) WHERE i <= greatest(20, CAST(floor(n * 0.1) AS INT))")
+@query(f"{K}, {_TWO} SELECT gene FROM (SELECT gene, row_number() OVER (ORDER BY floor(p_true * 1e6 + 0.5) DESC, gene) AS i, count(*) OVER () AS n FROM tw) WHERE i <= greatest(20, CAST(floor(n * 0.1) AS INT))")
 def unstable_set(s, d):
     p = _prevalences(s, d).select("gene", q6(C("p_true")).alias("p"))
     return top_share(p, "p", "gene", 0.1, 20).select("gene")
 
 
-_LINE = "SELECT lineage AS line, gene, count(*) AS n, avg(CAST(near > 0 AS INT)) AS act FROM obs GROUP BY 1, 2"
+_LINE = "SELECT lineage AS line, gene, count(*) AS n, avg(CAST(near > 0 AS INT)) AS act FROM obs WHERE lineage IS NOT NULL GROUP BY 1, 2"
 
 
-@query(f"{O}, {_YC}, {_DELTA}, l AS ({_LINE}) SELECT line, count(*) AS genes, count(*) FILTER (act > 0 AND {_SIGN}) AS directional FROM l JOIN dl USING (gene) GROUP BY line")
+@query(f"{O}, {_DELTA}, l AS ({_LINE}) SELECT line, count(*) AS genes, count(*) FILTER (act > 0 AND {_SIGN}) AS directional FROM l JOIN dl USING (gene) GROUP BY line")
 def line_directional(s, d):
-    l = views.observations(s, d).groupBy(C("lineage").alias("line"), "gene").agg(F.avg((C("near") > 0).cast("int")).alias("act"))
+    l = views.observations(s, d).where("lineage is not null").groupBy(C("lineage").alias("line"), "gene").agg(F.avg((C("near") > 0).cast("int")).alias("act"))
     x = l.join(_delta(s, d).select("gene", "delta"), "gene")
     return x.groupBy("line").agg(F.count("*").alias("genes"), F.count(F.when((C("act") > 0) & _positive(), 1)).alias("directional"))
 
 
-_TRIM = "tr AS (SELECT o.*, o.lineage AS line FROM o JOIN (SELECT lineage, quantile_cont(cn, 0.1) AS lo, quantile_cont(cn, 0.9) AS hi FROM o GROUP BY lineage) USING (lineage) WHERE cn BETWEEN lo AND hi)"
+_TRIM = "tr AS (SELECT o.*, o.lineage AS line FROM obs o JOIN (SELECT lineage, quantile_cont(cn, 0.1) AS lo, quantile_cont(cn, 0.9) AS hi FROM obs GROUP BY lineage) USING (lineage) WHERE cn BETWEEN lo AND hi)"
 _LR = "rank() OVER (PARTITION BY line ORDER BY {0}) + (count(*) OVER (PARTITION BY line, {0}) - 1) / 2.0"
 
 
-@query(f"{O}, {_YC}, {_TRIM}, k AS (SELECT line, {_LR.format('y')} AS a, {_LR.format('yc')} AS b, {_LR.format('cn')} AS c FROM tr) SELECT line, {q('abs(corr(a, c)) - abs(corr(b, c))')} AS delta FROM k GROUP BY line")
+@query(f"{O}, {_TRIM}, k AS (SELECT line, {_LR.format('y')} AS a, {_LR.format('yc')} AS b, {_LR.format('cn')} AS c FROM tr) SELECT line, {q('abs(corr(a, c)) - abs(corr(b, c))')} AS delta FROM k GROUP BY line")
 def line_corr_delta(s, d):
-    t = clean.trimmed(_obs_corrected(s, d).withColumn("line", C("lineage")), "line", "cn", 0.1, 0.9)
+    o = cut(views.observations(s, d).where("lineage is not null").withColumn("line", C("lineage")))
+    t = clean.trimmed(o, "line", "cn", 0.1, 0.9)
     a, b = (stats.spearman(t, ["line"], v, "cn").select("line", C("rho").alias(v)) for v in ("y", "yc"))
     return a.join(b, "line").select("line", q6(F.abs("y") - F.abs("yc")).alias("delta"))
 
@@ -257,34 +289,37 @@ def instability(s, d):
 
 @query(f"{D}, g AS (SELECT gene, count(*) AS n, {q('median(y - yc)')} AS drop_, {q('coalesce(median(abs(contrib)) FILTER (abs(contrib) > 0.05), 0)')} AS act, max(abs(pred)) AS top FROM dc GROUP BY gene) SELECT gene, drop_ AS drop, act FROM g WHERE n >= 5 ORDER BY drop_ DESC NULLS LAST, act DESC, gene LIMIT 30")
 def hit_rank(s, d):
-    g = views.corrected(s, d).groupBy("gene").agg(F.count("*").alias("n"), q6(F.median(C("y") - C("yc"))).alias("drop"), q6(F.coalesce(F.median(F.when(F.abs("contrib") > 0.05, F.abs("contrib"))), F.lit(0.0))).alias("act"))
+    g = summarised(views.corrected(s, d), ["gene"], {"m": (C("y") - C("yc"), 0.5), "a": (F.when(F.abs("contrib") > 0.05, F.abs("contrib")), 0.5)}, n=F.count("*"))
+    g = g.select("gene", "n", q6(C("m")).alias("drop"), q6(F.coalesce("a", F.lit(0.0))).alias("act"))
     return g.where("n >= 5").select("gene", "drop", "act").orderBy(F.desc_nulls_last("drop"), F.desc("act"), "gene").limit(30)
 
 
 @query(f"""{D}, a AS (SELECT gene, {q('median(y)')} AS v FROM dc GROUP BY gene), b AS (SELECT gene, {q('median(dependency)')} AS v FROM dependency GROUP BY gene), p AS (SELECT DISTINCT gene FROM genes WHERE removed_on IS NULL)
 SELECT a.gene, CAST(abs(a.v) > 0.2 AS INT) + CAST(coalesce(sign(a.v) = sign(b.v), false) AS INT) + CAST(p.gene IS NOT NULL AS INT) >= 2 AS supported FROM a LEFT JOIN b USING (gene) LEFT JOIN p ON p.gene = a.gene WHERE a.v IS NOT NULL""")
 def orthogonal(s, d):
-    a = views.corrected(s, d).groupBy("gene").agg(q6(F.median("y")).alias("va")).where("va is not null")
-    b = table(s, d, "dependency").groupBy("gene").agg(q6(F.median("dependency")).alias("vb"))
+    a = median(views.corrected(s, d), ["gene"], "y").select("gene", q6(C("median")).alias("va")).where("va is not null")
+    b = median(table(s, d, "dependency").where("gene is not null"), ["gene"], "dependency").select("gene", q6(C("median")).alias("vb"))
     p = table(s, d, "genes").where("removed_on is null").select("gene", F.lit(1).alias("known")).distinct()
     x = a.join(b, "gene", "left").join(p, "gene", "left")
     score = (F.abs("va") > 0.2).cast("int") + F.coalesce(F.signum("va") == F.signum("vb"), F.lit(False)).cast("int") + C("known").isNotNull().cast("int")
     return x.select("gene", (score >= 2).alias("supported"))
 
 
-@query(f"{D}, {views.GENES_SQL} SELECT gene, cell_line, y, yc, chrom, gs FROM dc JOIN genes_v USING (gene) WHERE abs(contrib) > 0.5")
+@query(f"{D}, {views.GENES_SQL}, tp AS (SELECT gene FROM (SELECT gene, max(abs(contrib)) AS x FROM dc GROUP BY gene) WHERE x IS NOT NULL ORDER BY x DESC, gene LIMIT 20) SELECT gene, cell_line, y, yc, chrom, gs FROM dc JOIN tp USING (gene) LEFT JOIN genes_v USING (gene)")
 def gene_panel(s, d):
-    c = views.corrected(s, d).where(F.abs("contrib") > 0.5)
-    return c.join(views.genes(s, d), "gene").select("gene", "cell_line", "y", "yc", "chrom", "gs")
+    """All rows of the twenty genes with the largest effect, with the gene's place."""
+    c = views.corrected(s, d)
+    top = c.groupBy("gene").agg(F.max(F.abs("contrib")).alias("x")).where("x is not null").orderBy(F.desc("x"), "gene").limit(20)
+    return c.join(F.broadcast(top.select("gene")), "gene").join(views.genes(s, d), "gene", "left").select("gene", "cell_line", "y", "yc", "chrom", "gs")
 
 
-@query(f"{O}, {_YC}, {_DELTA}, {_CTRL}, {_DK} SELECT {q('avg(delta)')} - {q('avg(dk)')} AS contrast, avg(delta) > avg(dk) AS holds FROM dl JOIN dk USING (gene)")
+@query(f"{K}, {_DELTA}, {_DK} SELECT {q('avg(delta)')} - {q('avg(dk)')} AS contrast, avg(delta) > avg(dk) AS holds FROM dl JOIN dk USING (gene)")
 def pilot_contrast(s, d):
-    x = _delta(s, d).join(_control_delta(s, d), "gene").agg(F.avg("delta").alias("a"), F.avg("dk").alias("b"))
+    x = _arms(s, d).agg(F.avg("delta").alias("a"), F.avg("dk").alias("b"))
     return x.select((q6(C("a")) - q6(C("b"))).alias("contrast"), (C("a") > C("b")).alias("holds"))
 
 
-@query(f"{O}, {_TWO}, u AS (SELECT gene FROM tw WHERE p_true >= 0.05), st AS (SELECT gene FROM tw WHERE p_true <= 0.06) SELECT gene, 'unstable' AS kind FROM u UNION ALL SELECT gene, 'stable' FROM st WHERE gene NOT IN (SELECT gene FROM u)")
+@query(f"{K}, {_TWO}, u AS (SELECT gene FROM tw WHERE p_true >= 0.05), st AS (SELECT gene FROM tw WHERE p_true <= 0.06) SELECT gene, 'unstable' AS kind FROM u UNION ALL SELECT gene, 'stable' FROM st WHERE gene NOT IN (SELECT gene FROM u)")
 def pilot_select(s, d):
     p = _prevalences(s, d)
     u = p.where("p_true >= 0.05").select("gene")
@@ -300,57 +335,89 @@ def design_summary(s, d):
     )
 
 
-@query(f"{O}, {_YC}, {_DELTA}, {_CTRL}, {_DK} SELECT gene FROM dl JOIN dk USING (gene) WHERE sign(delta) = sign(dk) AND r0 * r0 > 0.01 ORDER BY floor(abs(delta) * 1e6 + 0.5) DESC, gene LIMIT 30")
+@query(f"{K}, {_DELTA}, {_DK} SELECT gene FROM dl JOIN dk USING (gene) WHERE sign(delta) = sign(dk) AND r0 * r0 > 0.01 ORDER BY floor(abs(delta) * 1e6 + 0.5) DESC, gene LIMIT 30")
 def case_select(s, d):
-    x = _delta(s, d).join(_control_delta(s, d), "gene").where(S.same_sign(C("delta"), C("dk")) & (C("r0") * C("r0") > 0.01))
+    x = _arms(s, d).where(S.same_sign(C("delta"), C("dk")) & (C("r0") * C("r0") > 0.01))
     return x.orderBy(F.desc(q6(F.abs("delta"))), "gene").limit(30).select("gene")
 
 
-@query(f"""{D}, g AS (SELECT gene, {q('avg(abs(contrib))')} AS c, {q('median(y - yc)')} AS e, {q('1 / (1 + count(y))')} AS p FROM dc GROUP BY gene), t AS (SELECT quantile_cont(c, 0.5) AS a FROM g)
-SELECT gene, c, e FROM g, t WHERE c >= a AND e IS NOT NULL AND p <= 0.1 AND gene NOT IN (SELECT gene FROM genes WHERE removed_on IS NOT NULL AND gene IS NOT NULL)""")
+@query(f"""{D}, {_P}, qq AS (SELECT gene, p, {q('least(1.0, min(x) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS q FROM (SELECT gene, p, p * count(*) OVER () / rank_ AS x FROM (SELECT gene, p, count(*) OVER (ORDER BY p) AS rank_ FROM pv))),
+g AS (SELECT gene, {q('avg(abs(contrib))')} AS c, {q('median(y - yc)')} AS e FROM dc GROUP BY gene), t AS (SELECT quantile_cont(c, 0.5) AS a FROM g)
+SELECT gene, c, e, p, q FROM g JOIN qq USING (gene), t WHERE c >= a AND e IS NOT NULL AND p <= 0.1 AND q <= 0.2 AND gene NOT IN (SELECT gene FROM genes WHERE removed_on IS NOT NULL AND gene IS NOT NULL)""")
 def prereg_select(s, d):
-    g = views.corrected(s, d).groupBy("gene").agg(q6(F.avg(F.abs("contrib"))).alias("c"), q6(F.median(C("y") - C("yc"))).alias("e"), q6(1 / (1 + F.count("y"))).alias("p"))
+    g = summarised(views.corrected(s, d), ["gene"], {"m": (C("y") - C("yc"), 0.5)}, c=q6(F.avg(F.abs("contrib"))))
+    g = cut(g.select("gene", "c", q6(C("m")).alias("e")))
     t = g.agg(F.percentile("c", 0.5).alias("a"))
-    x = g.join(F.broadcast(t), F.lit(True)).where("c >= a and e is not null and p <= 0.1")
-    return x.join(table(s, d, "genes").where("removed_on is not null"), "gene", "left_anti").select("gene", "c", "e")
+    r = quant(stats.benjamini_hochberg(_gene_p(s, d), "p").select("gene", "p", "q"), "q")
+    x = g.join(r, "gene").join(F.broadcast(t), F.lit(True)).where("c >= a and e is not null and p <= 0.1 and q <= 0.2")
+    return x.join(table(s, d, "genes").where("removed_on is not null"), "gene", "left_anti").select("gene", "c", "e", "p", "q")
 
 
-@query(f"{O}, {_M3}, {_FIT3} SELECT gene, cell, {q('b2 * near + b3 * far')} AS contrib, {q('y - (b2 * near + b3 * far)')} AS prox_only FROM obs JOIN f USING (gene) WHERE n >= 20")
+@query(f"{O}, {_M3}, {_FIT3} SELECT id, {q('b2 * near + b3 * far')} AS contrib, {q('y - (b2 * near + b3 * far)')} AS prox_only FROM obs JOIN f USING (gene)")
 def prox_contrib(s, d):
-    o = views.observations(s, d).join(_fit3(s, d).select("gene", "coef_near", "coef_far"), "gene")
+    o = cut(views.observations(s, d))
+    o = o.join(broadcast_if_small(_fit3(s, d, o).select("gene", "coef_near", "coef_far")), "gene")
     c = S.contribution([C("coef_near"), C("coef_far")], [C("near"), C("far")])
-    return o.select("gene", "cell", q6(c).alias("contrib"), q6(C("y") - c).alias("prox_only"))
+    return o.select("id", q6(c).alias("contrib"), q6(C("y") - c).alias("prox_only"))
 
 
-@query(f"{O}, {_M3}, {_FIT3}, p AS (SELECT gene, cell, y, b0 + b1 * cn + b2 * near + b3 * far AS pred FROM obs JOIN f USING (gene) WHERE n >= 20), md AS (SELECT gene, median(pred) AS m FROM p GROUP BY gene) SELECT gene, cell, {q('y - (pred - m)')} AS corrected FROM p JOIN md USING (gene)")
+@query(f"{O}, {_M3}, {_FIT3}, p AS (SELECT id, gene, y, b0 + b1 * cn + b2 * near + b3 * far AS pred FROM obs JOIN f USING (gene)), md AS (SELECT gene, median(pred) AS m FROM p GROUP BY gene) SELECT id, {q('coalesce(y - (pred - m), y)')} AS corrected FROM p JOIN md USING (gene)")
 def correct_full(s, d):
-    f = _fit3(s, d)
-    o = views.observations(s, d).join(f, "gene")
-    o = o.withColumn("pred", C("intercept") + C("coef_cn") * C("cn") + C("coef_near") * C("near") + C("coef_far") * C("far"))
-    m = o.groupBy("gene").agg(F.median("pred").alias("m"))
-    return o.join(m, "gene").select("gene", "cell", q6(F.coalesce(C("y") - (C("pred") - C("m")), C("y"))).alias("corrected"))
+    o = cut(views.observations(s, d))
+    o = o.join(broadcast_if_small(_fit3(s, d, o)), "gene")
+    o = cut(o.select("id", "gene", "y", (C("intercept") + C("coef_cn") * C("cn") + C("coef_near") * C("near") + C("coef_far") * C("far")).alias("pred")))
+    m = median(o, ["gene"], "pred", "m")
+    return o.join(broadcast_if_small(m), "gene").select("id", q6(F.coalesce(C("y") - (C("pred") - C("m")), C("y"))).alias("corrected"))
 
 
-@query(f"{O}, {_YC}, sp AS (SELECT *, CAST((cell * 7919 + gene) % 5 = 0 AS INT) AS held FROM o) SELECT held, {q('median(d)')} AS delta, count(*) AS genes FROM (SELECT held, gene, abs({corr('y', 'cn')}) - abs({corr('yc', 'cn')}) AS d FROM sp GROUP BY held, gene HAVING count(*) >= 10) WHERE d IS NOT NULL GROUP BY held")
+@query(f"{O}, sp AS (SELECT *, CAST(id % 5 = 0 AS INT) AS held FROM obs) SELECT held, {q('median(d)')} AS delta, count(*) AS genes FROM (SELECT held, gene, abs({corr('y', 'cn')}) - abs({corr('yc', 'cn')}) AS d FROM sp GROUP BY held, gene HAVING count(*) >= 10) WHERE d IS NOT NULL GROUP BY held")
 def split_score(s, d):
-    o = _obs_corrected(s, d).withColumn("held", ((C("cell") * 7919 + C("gene")) % 5 == 0).cast("int"))
+    o = views.observations(s, d).withColumn("held", (C("id") % 5 == 0).cast("int"))
     x = stats.delta_abs_corr(o, ["held", "gene"], "cn", "y", "yc")
     return x.groupBy("held").agg(q6(F.median("delta")).alias("delta"), F.count("*").alias("genes"))
 
 
-@query(f"{O}, h AS (SELECT gene, (cell * 7919) % 2 AS half, {corr('y', 'cn')} AS r FROM obs GROUP BY 1, 2) SELECT {q('corr(a.r, b.r)')} AS reliability FROM h a JOIN h b ON a.gene = b.gene AND a.half = 0 AND b.half = 1")
+@query(f"{O}, h AS (SELECT gene, id % 2 AS half, sum(cn * cn) AS a, sum(cn * near) AS b, sum(near * near) AS c, sum(y * cn) AS u, sum(y * near) AS v FROM obs GROUP BY 1, 2 HAVING count(*) >= 5), k AS (SELECT gene, half, CASE WHEN abs(a * c - b * b) > 1e-9 * abs(a * c) THEN (u * c - v * b) / (a * c - b * b) END AS k FROM h) SELECT {q(nn('corr(a.k, b.k)'))} AS reliability FROM k a JOIN k b ON a.gene = b.gene AND a.half = 0 AND b.half = 1")
 def split_half(s, d):
-    h = views.observations(s, d).withColumn("half", (C("cell") * 7919) % 2).groupBy("gene").pivot("half", [0, 1]).agg(stats.pearson(C("y"), C("cn")))
-    return h.agg(q6(stats.pearson(C("0"), C("1"))).alias("reliability"))
+    """Correlation of the slopes (no intercept) of the two halves of each gene's rows."""
+    h = stats.ols(views.observations(s, d).withColumn("half", C("id") % 2), ["gene", "half"], "y", ["cn", "near"], least=5, intercept=False)
+    p = h.groupBy("gene").pivot("half", [0, 1]).agg(F.max("coef_cn"))
+    return p.agg(q6(stats.pearson(C("0"), C("1"))).alias("reliability"))
 
 
-@query(f"{D}, {_LABEL} SELECT CAST(length(gene) AS INT) AS chunk, count(*) AS genes, {q('avg(CAST(my > myc AS INT))')} AS higher FROM gl GROUP BY 1")
+@query(f"""{K}, {_DELTA}, {_DK}, ac AS (SELECT gene, avg(CAST(near + far > 0 AS INT)) AS act, avg(CAST(neark + fark > 0 AS INT)) AS actk FROM obs GROUP BY gene),
+fl AS (SELECT ascii(gene) % 4 AS chunk, CAST(act >= 0.10 AND {_SIGN} AS INT) AS a, CAST(actk >= 0.10 AND floor(dk * 1e6 + 0.5) > 0 AS INT) AS k FROM dl JOIN dk USING (gene) JOIN ac USING (gene))
+SELECT chunk, count(*) AS genes, {q('avg(a)')} AS directional, {q('avg(k)')} AS control, {q('avg(a - k)')} AS excess FROM fl GROUP BY GROUPING SETS ((chunk), ())""")
 def chunk_union(s, d):
-    g = _labelled(s, d)
-    return g.groupBy(F.length("gene").alias("chunk")).agg(F.count("*").alias("genes"), q6(F.avg((C("my") > C("myc")).cast("int"))).alias("higher"))
-
-
-@query(f"{O}, z AS (SELECT lineage AS line, avg(y) AS m, stddev_samp(y) / sqrt(count(*)) AS se FROM obs GROUP BY lineage) SELECT line, {q('m / se')} AS z, {q('2 * exp(-(m / se) * (m / se) / 2)')} AS ranking_score FROM z")
+    """Flags of genes made chunk by chunk, gathered, joined to those of the control arm, and their pairwise excess by chunk and in all."""
+    o = cut(views.controlled(s, d))
+    act = o.groupBy("gene").agg(F.avg((C("near") + C("far") > 0).cast("int")).alias("act"), F.avg((C("neark") + C("fark") > 0).cast("int")).alias("actk"))
+    chunk = F.ascii("gene") % 4
+    flags = lambda x, delta, a, name: x.join(act, "gene").select("gene", chunk.alias("chunk"), ((C(a) >= 0.10) & _positive(delta)).cast("int").alias(name))
+    true = stats.delta_abs_corr(o, ["gene"], "cn", "y", "yc")
+    gathered = [flags(true.where(chunk == i), "delta", "act", "a") for i in range(4)]
+    every = gathered[0]
+    for part in gathered[1:]:
+        every = every.unionByName(part)
+    x = every.join(flags(_control_delta(s, d, o), "dk", "actk", "k").drop("chunk"), "gene")
+    return x.groupingSets([["chunk"], []], "chunk").agg(F.count("*").alias("genes"), q6(F.avg("a")).alias("directional"), q6(F.avg("k")).alias("control"), q6(F.avg(C("a") - C("k"))).alias("excess"))
+
+
+@query(f"""{K}, {_DK}, {delta_sql("dl", "yc")}, w AS (SELECT gene, avg(CAST(dist <= 250000 AS INT)) AS a, avg(CAST(dist <= 2000000 AS INT)) AS b, avg(CAST(distk <= 250000 AS INT)) AS ak, avg(CAST(distk <= 2000000 AS INT)) AS bk FROM obs GROUP BY gene),
+c AS (SELECT gene, unnest(['250k', '2M']) AS condition, unnest([CAST(a >= 0.10 AND {_SIGN} AS INT), CAST(b >= 0.10 AND {_SIGN} AS INT)]) AS t, unnest([CAST(ak >= 0.10 AND floor(dk * 1e6 + 0.5) > 0 AS INT), CAST(bk >= 0.10 AND floor(dk * 1e6 + 0.5) > 0 AS INT)]) AS k FROM dl JOIN dk USING (gene) JOIN w USING (gene))
+SELECT condition, count(*) AS genes, {q('avg(t)')} AS directional, {q('avg(k)')} AS control, {q('avg(t - k)')} AS excess FROM c GROUP BY condition""")
+def directional_by_condition(s, d):
+    """Share of directional genes under each window, in the observations and the control arm, with the excess."""
+    o = cut(views.controlled(s, d))
+    sides = {"250k": 250_000, "2M": 2_000_000}
+    w = o.groupBy("gene").agg(*[F.avg((C(c) <= v).cast("int")).alias(f"{c}_{k}") for k, v in sides.items() for c in ("dist", "distk")])
+    x = stats.delta_abs_corr(o, ["gene"], "cn", "y", "yc").join(_control_delta(s, d, o), "gene").join(w, "gene")
+    hit = lambda c, delta: ((C(c) >= 0.10) & _positive(delta)).cast("int")
+    c = x.select(F.explode(F.array(*[F.struct(F.lit(k).alias("condition"), hit(f"dist_{k}", "delta").alias("t"), hit(f"distk_{k}", "dk").alias("k")) for k in sides])).alias("c")).select("c.*")
+    return c.groupBy("condition").agg(F.count("*").alias("genes"), q6(F.avg("t")).alias("directional"), q6(F.avg("k")).alias("control"), q6(F.avg(C("t") - C("k"))).alias("excess"))
+
+
+@query(f"{O}, z AS (SELECT lineage AS line, avg(y) AS m, stddev_samp(y) / sqrt(count(*)) AS se FROM obs WHERE lineage IS NOT NULL GROUP BY lineage HAVING count(*) >= 5) SELECT line, {q('m / se')} AS z, {q('2 * exp(-(m / se) * (m / se) / 2)')} AS ranking_score FROM z")
 def line_ranking(s, d):
-    z = views.observations(s, d).groupBy(C("lineage").alias("line")).agg((F.avg("y") / (F.stddev_samp("y") / F.sqrt(F.count("*")))).alias("z"))
+    z = views.observations(s, d).where("lineage is not null").groupBy(C("lineage").alias("line")).agg(F.count("*").alias("n"), F.try_divide(F.avg("y"), F.stddev_samp("y") / F.sqrt(F.count("*"))).alias("z")).where("n >= 5")
     return z.select("line", q6(C("z")).alias("z"), q6(2 * F.exp(-C("z") * C("z") / 2)).alias("ranking_score"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from locusmill.functions.quant import q6
 from locusmill.functions.scalars import near_far
 from locusmill.operators import intervals
+from locusmill.operators.ranges import median
 from locusmill.plans import views
 from locusmill.plans.registry import q, query
+from locusmill.session import broadcast_if_small, cut
 from locusmill.sources.tables import table
 
 C = F.col
@@ -46,9 +47,13 @@ def nearest_dist(s, d):
 
 @query(f"{_GB}, {_DIST} SELECT gene, {q('avg(CAST(dist <= 250000 AS INT))')} AS near, {q('avg(CAST(dist > 250000 AND dist <= 2000000 AS INT))')} AS far, count(*) AS cells FROM nd GROUP BY gene")
 def prevalence(s, d):
-    near, far = near_far(C("dist"), 250_000, 2_000_000)
-    x = intervals.gene_distances(views.genes(s, d), views.breaks(s, d))
-    return x.groupBy("gene").agg(q6(F.avg(near)).alias("near"), q6(F.avg(far)).alias("far"), F.count("*").alias("cells"))
+    """Cells are counted per chromosome; only the pairs of a gene and a cell with a close breakpoint are made."""
+    near, far = near_far(C("d"), 250_000, 2_000_000)
+    genes, breaks = views.genes(s, d), cut(views.breaks(s, d))
+    cells = breaks.groupBy("chrom").agg(F.countDistinct("cell").alias("cells"))
+    close = intervals.near_pairs(genes, breaks, 2_500_000).groupBy("gene").agg(F.sum(near).alias("n"), F.sum(far).alias("f"))
+    share = lambda c: q6(F.coalesce(c, F.lit(0)) / C("cells"))
+    return genes.select("gene", "chrom").join(F.broadcast(cells), "chrom").join(close, "gene", "left").select("gene", share(C("n")).alias("near"), share(C("f")).alias("far"), "cells")
 
 
 @query(f"{_GB}, {_DIST} SELECT gene, cell, dist FROM nd")
@@ -117,7 +122,7 @@ def map_cascade(s, d):
 @query(f"WITH {views.CORR_SQL} SELECT corr_id, {q('y - m')} AS centred FROM dc JOIN (SELECT gene, median(y) AS m FROM dc GROUP BY gene) USING (gene)", name="group_scalar")
 def group_scalar(s, d):
     c = views.corrected(s, d)
-    return c.join(c.groupBy("gene").agg(F.median("y").alias("m")), "gene").select("corr_id", q6(C("y") - C("m")).alias("centred"))
+    return c.join(broadcast_if_small(median(c, ["gene"], "y", "m")), "gene").select("corr_id", q6(C("y") - C("m")).alias("centred"))
 
 
 @query("SELECT dep_id FROM dependency SEMI JOIN genes ON genes.gene = dependency.gene")
@@ -137,8 +142,7 @@ _PAIRS = """nx AS (SELECT cell, chrom AS chrom1, pos AS start1, lead(chrom) OVER
 @query(f"""{_GB}, {_PAIRS} SELECT DISTINCT cell, chrom1, start1, chrom2, start2, gene FROM nx JOIN genes_v g ON (g.chrom = chrom1 AND start1 < ge + 1000000 AND start1 >= greatest(0, gs - 1000000))
 OR (g.chrom = chrom2 AND start2 < ge + 1000000 AND start2 >= greatest(0, gs - 1000000)) WHERE chrom2 IS NOT NULL""")
 def region_lookup(s, d):
-    w = Window.partitionBy("cell").orderBy("chrom", "pos")
-    pairs = views.breaks(s, d).select("cell", C("chrom").alias("chrom1"), C("pos").alias("start1"), F.lead("chrom").over(w).alias("chrom2"), F.lead("pos").over(w).alias("start2")).where("chrom2 is not null")
+    pairs = intervals.neighbours(views.breaks(s, d)).select("cell", C("chrom").alias("chrom1"), C("pos").alias("start1"), "chrom2", C("pos2").alias("start2")).where("chrom2 is not null")
     return intervals.region_lookup(pairs, views.genes(s, d)).select("cell", "chrom1", "start1", "chrom2", "start2", "gene")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusmill.functions.quant import q6
+from locusmill.plans.registry import copies_sql, units_sql
 from locusmill.operators import coverage, drift, orphans, spelling, units
 from locusmill.session import cut
 from locusmill.sources.tables import table
@@ -13,12 +14,12 @@ from locusmill.sources.tables import table
 
 def _cnv_units(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "cnv").select("seg_id", "CopyNumber", "cn_unit", "remark", "source")
-    return units.with_units(rows, ["cn_unit", "remark"], table(spark, d, "data_sources"))
+    return units.with_units(rows, ["cn_unit", "remark"], table(spark, d, "data_sources"), value="CopyNumber")
 
 
 def _design_units(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "design").select("design_id", "cn", "cn_remark", "source")
-    return units.with_units(rows, ["cn_remark"], table(spark, d, "data_sources"))
+    return units.with_units(rows, ["cn_remark"], table(spark, d, "data_sources"), value="cn")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -108,32 +109,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_copies, p4_found, p4_table, p4_versions, p5_found, p5_covered, p6_found, p6_report)}
 
-_TEXT = "regexp_replace(lower({0}), '\\s+', ' ', 'g')"
-
-
-def _unit_sql(c: str) -> str:
-    """Unit of one text by regular expressions, in the order of the more telling words."""
-    t = _TEXT.format(c)
-    return (
-        f"CASE WHEN {c} IS NULL THEN NULL"
-        f" WHEN regexp_matches({t}, 'log2p1|(lg2|log2|binary log).*(\\+ ?1|1 ?\\+|one plus)') THEN 'log2_ratio_plus_1'"
-        f" WHEN regexp_matches({t}, 'log|lg2|l2r') THEN 'log2_ratio'"
-        f" WHEN regexp_matches({t}, 'hundredths|centicop|ccn|x100|times 100|by 100|1/100|0\\.01') THEN 'hundredths'"
-        f" WHEN regexp_matches({t}, '%|pct|per ?cent') THEN 'percent'"
-        f" WHEN regexp_matches({t}, 'ratio|t/n|fold|x diploid|rel\\.|relative') THEN 'ratio'"
-        f" WHEN regexp_matches({t}, 'cop(y|ies)|\\babs') THEN 'absolute' END"
-    )
-
-
-def _units_sql(t: str, row_id: str, value: str, texts: list[str]) -> str:
-    said = ", ".join(_unit_sql("t." + c) for c in texts)
-    return (
-        f"SELECT '{t}' AS table_name, t.{row_id} AS row_id, t.{value} AS v, coalesce({said}, s.unit, 'unknown') AS unit"
-        f" FROM {t} t LEFT JOIN (SELECT source, min({_unit_sql('readme')}) AS unit FROM data_sources GROUP BY source) s ON t.source = s.source"
-    )
-
-
-_UNITS = _units_sql("cnv", "seg_id", "CopyNumber", ["cn_unit", "remark"]) + " UNION ALL " + _units_sql("design", "design_id", "cn", ["cn_remark"])
+_UNITS = units_sql("cnv", "seg_id", "CopyNumber", ["cn_unit", "remark"]) + " UNION ALL " + units_sql("design", "design_id", "cn", ["cn_remark"])
 
 _ISLANDS = """
 WITH seg AS (
@@ -148,9 +124,8 @@ o AS (SELECT *, max(e) OVER (PARTITION BY run_id, model_id, chrom ORDER BY s, e
 SQL = {
     "p3_found": f"SELECT table_name, row_id, unit FROM ({_UNITS}) WHERE v IS NOT NULL AND unit NOT IN ('absolute', 'unknown')",
     "p3_copies": (
-        "SELECT table_name, row_id, unit, floor(c * 1e6 + 0.5) / 1e6 AS copies FROM (SELECT *, CASE unit WHEN 'absolute' THEN v"
-        " WHEN 'log2_ratio' THEN 2 * pow(2, v) WHEN 'log2_ratio_plus_1' THEN 2 * pow(2, v) - 2 WHEN 'ratio' THEN 2 * v"
-        f" WHEN 'percent' THEN 0.02::DOUBLE * v WHEN 'hundredths' THEN 0.01::DOUBLE * v END AS c FROM ({_UNITS}))"
+        "SELECT table_name, row_id, unit, floor(c * 1e6 + 0.5) / 1e6 AS copies"
+        f" FROM (SELECT *, {copies_sql('v')} AS c FROM ({_UNITS}))"
     ),
     "p5_found": _ISLANDS + "SELECT run_id, model_id, chrom, prev AS gap_start, s AS gap_end FROM o WHERE prev < s",
     "p5_covered": _ISLANDS + """, g AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev < s THEN 1 ELSE 0 END)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from locusmill.functions import scalars as S
 from locusmill.functions.quant import pow2_parts, q6
 from locusmill.operators import clean
+from locusmill.operators.intervals import neighbours
+from locusmill.operators.ranges import summarised
 from locusmill.plans import views
 from locusmill.plans.registry import q, query
 from locusmill.sources.tables import table
@@ -26,9 +27,9 @@ def chrom_norm_mt(s, d):
     return table(s, d, "cnv").select("seg_id", S.chrom_mito(C("Chromosome")).alias("chrom"))
 
 
-@query("""SELECT seg_id, CASE WHEN t IS NULL OR regexp_matches(t, '_|RANDOM|ALT') THEN '' WHEN t IN ('M', 'MT') THEN 'chrM'
-WHEN regexp_matches(t, '^([0-9]+|X|Y)$') THEN 'chr' || t ELSE '' END AS chrom
-FROM (SELECT seg_id, regexp_replace(upper(trim(Chromosome)), '^CHR', '') AS t FROM cnv)""")
+@query("""SELECT seg_id, replace(CASE WHEN t IS NULL THEN '' WHEN t IN ('X', 'Y') THEN 'chr' || t WHEN t IN ('M', 'MT') THEN 'chrM' WHEN regexp_full_match(t, '[0-9]+') THEN 'chr' || t
+WHEN starts_with(t, 'CHR') THEN t WHEN contains(t, '_') OR contains(t, 'RANDOM') OR contains(t, 'ALT') THEN '' ELSE 'chr' || t END, 'CHR', 'chr') AS chrom
+FROM (SELECT seg_id, upper(replace(trim(Chromosome), 'chr', '')) AS t FROM cnv)""")
 def chrom_norm_scaffold(s, d):
     return table(s, d, "cnv").select("seg_id", S.chrom_scaffold(C("Chromosome")).alias("chrom"))
 
@@ -51,7 +52,7 @@ def separator_key(s, d):
     return table(s, d, "dependency").select("dep_id", S.plain_key(C("cell_line")).alias("key"))
 
 
-@query("SELECT seg_id, NOT regexp_matches(trim(ModelID), '[=;]') AND regexp_matches(trim(ModelID), '^ACH-\\d{6}$|^[A-Z0-9]+(_[A-Z0-9]+)+$') AS valid FROM cnv")
+@query("SELECT seg_id, coalesce(NOT regexp_matches(ModelID, '[=;]') AND (regexp_full_match(trim(ModelID), '[Aa][Cc][Hh][ _-]?[0-9]{6}') OR regexp_full_match(trim(ModelID), '[A-Z0-9]+(_[A-Z0-9]+)+')), false) AS valid FROM cnv")
 def sample_valid(s, d):
     return table(s, d, "cnv").select("seg_id", S.valid_sample(C("ModelID")).alias("valid"))
 
@@ -66,9 +67,11 @@ def gene_first_token(s, d):
     return table(s, d, "dependency").select("dep_id", S.first_token(C("gene")).alias("symbol"))
 
 
-@query("SELECT DISTINCT feed, file_name, split_part(file_name, '.', 1) AS sample FROM raw_lines")
+@query("""SELECT DISTINCT feed, file_name, upper(regexp_replace(trim(split_part(file_name, '.', 1)), '[ .-]+', '_', 'g')) AS sample, upper(regexp_replace(trim(file_name), '[ .-]+', '_', 'g')) AS sample_bedpe FROM raw_lines""")
 def sample_from_path(s, d):
-    return table(s, d, "raw_lines").select("feed", "file_name").distinct().withColumn("sample", S.sample_of_path(F.concat(F.lit("in/"), "file_name")))
+    """Both readings of a file's name: up to its first point, and all but the ending .bedpe."""
+    f = table(s, d, "raw_lines").select("feed", "file_name").distinct()
+    return f.select("feed", "file_name", S.sample_of_path(F.concat(F.lit("in/"), "file_name")).alias("sample"), S.sample_of_bedpe(F.concat(F.lit("in/"), "file_name", F.lit(".BEDPE"))).alias("sample_bedpe"))
 
 
 _BP = "regexp_extract(t, '^\\s*(?:[cC][hH][rR])?([0-9]+|[xX]|[yY]|[mM][tT]?):(\\d+)(?:-\\d+)?([+-])\\s*$', {})"
@@ -108,9 +111,11 @@ def clip_filter(s, d):
     return views.segments(s, d).select("seg_id", "cn")
 
 
-@query(f"SELECT seg_id, {q('2 * pow(2, CopyNumber)')} AS cn FROM cnv WHERE CopyNumber < 30")
+@query(f"SELECT seg_id, {q('pow(2, x - floor(x))')} * pow(2, floor(x) + 1) AS cn FROM (SELECT seg_id, CopyNumber::DOUBLE AS x FROM cnv)")
 def log2_to_cn(s, d):
-    return table(s, d, "cnv").where("CopyNumber < 30").select("seg_id", q6(S.log2_to_copies(C("CopyNumber"))).alias("cn"))
+    """Every row; rounded relatively, so no size overflows the rounding."""
+    mantissa, whole = pow2_parts(C("CopyNumber"))
+    return table(s, d, "cnv").select("seg_id", (mantissa * F.pow(F.lit(2.0), whole + 1)).alias("cn"))
 
 
 @query(f"""SELECT seg_id, {q('pow(2, x - floor(x))')} * pow(2, floor(x) + 1) AS cn, {q('x + 1')} AS log2_cn FROM (SELECT seg_id, CopyNumber::DOUBLE AS x FROM cnv)""")
@@ -166,7 +171,7 @@ def row_abs_max(s, d):
     return views.corrected(s, d).select("corr_id", S.abs_max([C("y"), C("yc"), C("contrib")]).alias("most"))
 
 
-@query("""SELECT design_id, a AS flag_cn, b AS flag_bp_close, c AS flag_bp_very_close, CAST(a + b + c >= 2 AS INT) AS confounded FROM (SELECT design_id,
+@query("""SELECT design_id, a AS flag_cn, b AS flag_bp_close, c AS flag_bp_very_close, CAST(a + b + c >= 2 AS INT) AS confounded, CAST(a + b + c >= 1 AS INT) AS confounded_any FROM (SELECT design_id,
 CAST(coalesce(abs(cn - 2) >= 1, false) AS INT) AS a, CAST(coalesce(bp_dist <= 1000000, false) AS INT) AS b, CAST(coalesce(bp_dist <= 100000, false) AS INT) AS c FROM design)""")
 def qc_flags(s, d):
     return table(s, d, "design").select("design_id", *[c.alias(k) for k, c in S.qc_flags(C("cn"), C("bp_dist")).items()])
@@ -176,8 +181,9 @@ def qc_flags(s, d):
 SELECT gene, CASE WHEN k >= 4 THEN 'GREEN' WHEN k = 3 THEN 'AMBER' ELSE 'RED' END AS label FROM (SELECT gene, CAST(coalesce(n >= 15, false) AS INT) + CAST(coalesce(my < 0, false) AS INT)
 + CAST(coalesce(abs(mc) > 0.01, false) AS INT) + CAST(coalesce(act > 0.3, false) AS INT) + CAST(coalesce(top > 1, false) AS INT) AS k FROM g)""")
 def interest_label(s, d):
-    c = views.corrected(s, d).groupBy("gene").agg(
-        F.count("*").alias("n"), F.median("y").alias("my"), F.median("contrib").alias("mc"), F.avg((F.abs("contrib") > 0.05).cast("int")).alias("act"), F.max(F.abs("pred")).alias("top")
+    c = summarised(
+        views.corrected(s, d), ["gene"], {"my": (C("y"), 0.5), "mc": (C("contrib"), 0.5)},
+        n=F.count("*"), act=F.avg((F.abs("contrib") > 0.05).cast("int")), top=F.max(F.abs("pred")),
     )
     rules = [C("n") >= 15, C("my") < 0, F.abs("mc") > 0.01, C("act") > 0.3, C("top") > 1]
     return c.select("gene", S.label(rules, 4).alias("label"))
@@ -213,8 +219,7 @@ _NEXT = "nx AS (SELECT cell, chrom, pos, lead(chrom) OVER w AS chrom2, lead(pos)
 
 
 def _pairs(s, d):
-    w = Window.partitionBy("cell").orderBy("chrom", "pos")
-    return views.breaks(s, d).withColumn("chrom2", F.lead("chrom").over(w)).withColumn("pos2", F.lead("pos").over(w))
+    return neighbours(views.breaks(s, d))
 
 
 @query(f"WITH {views.SEGMENTS_SQL}, {views.BREAKS_SQL}, {_NEXT} SELECT cell, chrom AS chrom1, pos AS start1, pos + 1 AS end1, chrom2, pos2 AS start2, pos2 + 1 AS end2 FROM nx WHERE chrom2 IS NOT NULL AND pos >= 0")
@@ -282,10 +287,13 @@ def low_var_stratum(s, d):
     return clean.lowest_share(v, "v", 0.25).select("gene")
 
 
-@query("SELECT p.p_partkey, s.s_suppkey FROM part p JOIN supplier s ON contains(lower(p.p_name), right(lower(s.s_name), 4))", name="contains_ci")
+@query("""SELECT DISTINCT d.source, m.word FROM (SELECT DISTINCT source, remark FROM cnv WHERE remark IS NOT NULL) d JOIN (SELECT DISTINCT lower(platform) AS word FROM data_sources WHERE platform IS NOT NULL
+UNION SELECT unnest(['Log2', 'RATIO', 'copies', 'percent'])) m ON contains(lower(d.remark), lower(m.word))""", name="contains_ci")
 def contains_ci(s, d):
-    p, u = table(s, d, "part"), table(s, d, "supplier")
-    return clean.containing(p.select("p_partkey", "p_name"), "p_name", u.select("s_suppkey", F.lower(F.expr("right(s_name, 4)")).alias("w")), "w").select("p_partkey", "s_suppkey")
+    """Sources with a remark that holds one of the words, in any case."""
+    remarks = table(s, d, "cnv").where("remark is not null").select("source", "remark").distinct()
+    words = table(s, d, "data_sources").where("platform is not null").select(F.lower("platform").alias("word")).union(s.createDataFrame([(w,) for w in ("Log2", "RATIO", "copies", "percent")], "word string")).distinct()
+    return clean.containing(remarks, "remark", words, "word").select("source", "word").distinct()
 
 
 @query("""SELECT count(DISTINCT ModelID) AS cnv_cells, count(DISTINCT cell_line) AS dep_cells, count(*) FILTER (ModelID IS NOT NULL AND cell_line IS NOT NULL) AS common

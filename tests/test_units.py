@@ -51,3 +51,17 @@ def test_empty_tables(spark):
     rows = units.with_units(frame(spark, [(1.0, None, None, "a")]), ["said"], sources(spark).limit(0)).collect()
     assert [r["unit"] for r in rows] == ["unknown"]
     assert units.foreign_units(units.with_units(frame(spark, [(None, "log2", None, "a")]), ["said"], sources(spark)), "v").count() == 0
+
+
+@pytest.mark.parametrize("text,value,unit", [
+    ("purity 80 %, absolute copies", 2.0, "absolute"), ("80 % purity", 2.0, "percent"), ("80 %", 80.0, "percent"), ("2.31 ratio, 40 % tumour, called in copies", 2.31, "ratio"),
+    ("coverage ratio: 0.8; log2 scale", 1.0, "log2_ratio"), ("log2p1", 1.0, "log2_ratio_plus_1"), ("x100", 100.0, "hundredths"), ("-1.25 log2", -1.25, "log2_ratio"), ("12.5x diploid and 3 copies", 3.0, "absolute"),
+])
+def test_numbers_beside_aliases(text, value, unit):
+    assert units.unit_of_text(text, units._automaton(), value) == unit
+
+
+def test_the_value_settles_a_text_that_several_rows_share(spark):
+    rows = frame(spark, [(40.0, "40 % of reads; 3 copies", None, "c"), (3.0, "40 % of reads; 3 copies", None, "c")])
+    got = {r["id"]: r["unit"] for r in units.with_units(rows, ["said", "note"], sources(spark), value="v").collect()}
+    assert got == {0: "percent", 1: "absolute"}
