@@ -2,22 +2,22 @@
 
 Token-level repair: each distinct token of the typed values is joined to the vocabulary of the list by
 edit distance (an equi-join on one-letter deletions). The corrected tokens then rank complete entries
-by soft TF-IDF. Candidates come only from the telling words of an entry (its first word, or its id), so
+by soft TF-IDF: the cosine of the weighted tokens of the value and the entry, each pair of tokens counting by its similarity. Candidates come only from the telling words of an entry (its first word, or its id), so
 common words like tissues weigh in the score but never pair everything with everything.
 
 Defined results: a null value is no case; a value that is an entry's name or id to the letter is no
 case either; empty, blank and signs-only values mean no entry; an id with another number means no
-entry; where the best score is reached by several entries none is meant; repeated entries count once,
+entry; where another candidate shares as much with the value as the best does, none is meant; repeated entries count once,
 entries without a name are reached by id only; an empty list maps everything to no entry.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusmill.operators.spelling import SYNONYMS, id_number, near_join, words
-from locusmill.session import broadcast_if_small
+from locusmill.session import broadcast_if_small, cut
 
 NO_ENTRY = "NONE"
 
@@ -44,7 +44,7 @@ def rank_entries(values: DataFrame, value: str, entries: DataFrame, name: str, e
     e = listed.select(
         "__id", F.array_distinct(F.concat(F.array(F.col("__id")), F.coalesce(words(F.col("__name")), F.array().cast("array<string>")))).alias("words"),
     )
-    vocabulary = _vocabulary(e)
+    vocabulary = cut(_vocabulary(e))
     weights = e.select("__id", F.explode("words").alias("word")).join(broadcast_if_small(vocabulary), "word").groupBy("__id").agg(
         F.collect_list(F.struct("word", "idf")).alias("words"), F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm")
     )
@@ -63,19 +63,17 @@ def rank_entries(values: DataFrame, value: str, entries: DataFrame, name: str, e
                      .select("term", "word", (1 - F.lit(1.0) / F.length("term")).alias("sim")))
         .unionByName(terms.withColumn("word", other[F.col("term")]).where("word is not null").select("term", "word", F.lit(0.95).alias("sim")))
     )
-    matched = typed.select("__v", F.explode("__terms").alias("term")).join(repaired, "term").groupBy("__v", "word").agg(F.max("sim").alias("sim"))
-    bags = matched.groupBy("__v").agg(F.map_from_entries(F.collect_list(F.struct("word", "sim"))).alias("bag"))
+    matched = cut(typed.select("__v", F.explode("__terms").alias("term")).join(repaired, "term").groupBy("__v", "word").agg(F.max("sim").alias("sim")))
+    known = matched.join(broadcast_if_small(vocabulary), "word")
+    bags = known.groupBy("__v").agg(F.map_from_entries(F.collect_list(F.struct("word", "sim"))).alias("bag"), F.sqrt(F.sum(F.pow(F.col("sim") * F.col("idf"), F.lit(2.0)))).alias("own"))
     candidates = matched.join(telling, "word").select("__v", "__id").distinct()
     shared = F.aggregate(
         "words", F.lit(0.0), lambda acc, x: acc + F.coalesce(F.try_element_at(F.col("bag"), x["word"]), F.lit(0.0)) * x["idf"] * x["idf"]
     )
-    scored = candidates.join(bags, "__v").join(weights, "__id").select("__v", "__id", shared.alias("shared"), (shared / F.col("norm")).alias("score"))
-    by = Window.partitionBy("__v")
-    return (
-        scored.withColumn("top", F.max("shared").over(by)).where(F.col("shared") >= F.col("top") - 1e-9)
-        .groupBy("__v").agg(F.count("*").alias("n"), F.min("__id").alias(entry_id), F.max("score").alias("score"))
-        .where("n = 1").select(F.col("__v").alias(value), entry_id, "score")
-    )
+    scored = candidates.join(bags, "__v").join(weights, "__id").select("__v", "__id", shared.alias("shared"), (shared / F.col("norm") / F.col("own")).alias("score"))
+    best = scored.groupBy("__v").agg(F.max_by(F.struct("__id", "shared"), F.struct("score", "__id")).alias("x"), F.max("score").alias("score"))
+    rivals = scored.join(best.select("__v", "x"), "__v").where((F.col("__id") != F.col("x.__id")) & (F.col("shared") >= F.col("x.shared") - 1e-9)).select("__v").distinct()
+    return best.join(rivals, "__v", "left_anti").select(F.col("__v").alias(value), F.col("x.__id").alias(entry_id), "score")
 
 
 def map_values(rows: DataFrame, value: str, entries: DataFrame, name: str, entry_id: str) -> DataFrame:
