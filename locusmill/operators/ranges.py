@@ -106,7 +106,7 @@ def summarised(df: DataFrame, by: Sequence[str], quantiles: Mapping[str, tuple[C
     found = at.select(*group, "total", "v", F.explode(F.filter("ranks", lambda r: (r >= C("from")) & (r < C("from") + C("n")))).alias("rank"))
     held = found.groupBy(*group).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))  # two ranks a percentile
     value = lambda p: F.try_element_at("at", p)
-    mixed = F.transform(places, lambda x: F.when(F.floor(x) == F.ceil(x), value(F.floor(x))).otherwise((F.ceil(x) - x) * value(F.floor(x)) + (x - F.floor(x)) * value(F.ceil(x))))
+    mixed = F.transform(places, lambda x: F.when(value(F.floor(x)) == value(F.ceil(x)), value(F.floor(x))).otherwise((F.ceil(x) - x) * value(F.floor(x)) + (x - F.floor(x)) * value(F.ceil(x))))
     rows = held.withColumn("q", mixed).groupBy(*by).agg(*[
         F.first(F.when(C("i") == i, C("q") if isinstance(p, (list, tuple)) else F.get("q", F.lit(0))), ignorenulls=True).alias(n) for i, (n, (_, p)) in enumerate(quantiles.items())
     ])

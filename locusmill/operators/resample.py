@@ -52,7 +52,7 @@ def bootstrap(df: DataFrame, values: Sequence[str], key: str, stat: str = "media
     """One row: each value's statistic (median or mean) with a percentile interval. The same draw of rows
     serves all values, so differences between them may be compared. Rows with a null don't count."""
     kept = cut(df.dropna(subset=list(values)).select(key_number(C(key)).alias("__k"), *[C(v).cast("double").alias(v) for v in values]))
-    drawn_ = _repeated(kept, reps).withColumn("__w", poisson(drawn(seed, C("__k"), C("rep"))))
+    drawn_ = _repeated(kept, reps).withColumn("__draw", drawn(seed, C("__k"), C("rep"))).withColumn("__w", poisson(C("__draw"))).drop("__draw")
     a = (1 - level) / 2
     if stat == "median":
         point = summarised(kept, [], {v: (C(v), 0.5) for v in values})
@@ -70,7 +70,7 @@ def cluster_bootstrap(df: DataFrame, line: str, cluster: str, y: str, x: str, re
     Works on one row of sums per line and cluster, so rows are read once.
     """
     s = df.dropna(subset=[y, x]).groupBy(line, cluster).agg(F.sum(C(x) * C(y)).alias("xy"), F.sum(C(x) * C(x)).alias("xx"))
-    w = _repeated(s, reps, 0).withColumn("w", F.when(C("rep") == 0, 1).otherwise(poisson(drawn(seed, key_number(C(cluster)), C("rep")))))
+    w = _repeated(s.withColumn("__k", key_number(C(cluster))), reps, 0).withColumn("__draw", drawn(seed, C("__k"), C("rep"))).withColumn("w", F.when(C("rep") == 0, 1).otherwise(poisson(C("__draw"))))
     draws = w.groupBy(line, "rep").agg(F.try_divide(F.sum(C("w") * C("xy")), F.sum(C("w") * C("xx"))).alias("slope"))
     a = (1 - level) / 2
     return draws.groupBy(line).agg(

@@ -55,10 +55,11 @@ def _passes(rows: DataFrame, by: Sequence[str], xs: Sequence[str], first: DataFr
     """Fits until no coefficient of any group moves by more than ``tolerance`` (of 1 plus its size), at most ``rounds`` times. Adds ``converged``."""
     names = ["intercept", *[f"coef_{x}" for x in xs]]
     fit = cut(first.withColumn("converged", F.lit(False)))
+    side = F.broadcast if broadcast_if_small(fit) is not fit else (lambda x: x)  # groups don't grow from pass to pass
     for i in range(rounds):
-        old = fit.withColumnsRenamed({c: f"__was_{c}" for c in names}).select(*[C(b).alias(f"__k_{b}") for b in by], *[f"__was_{c}" for c in names])
-        new = step(i, rows.join(broadcast_if_small(fit.drop("n", "converged")), list(by)))
-        new = new.join(old, [new[b].eqNullSafe(old[f"__k_{b}"]) for b in by]).drop(*[f"__k_{b}" for b in by])
+        old = fit.select(*[C(b).alias(f"__k_{b}") for b in by], *[C(c).alias(f"__was_{c}") for c in names])
+        new = step(i, rows.join(side(fit.drop("n", "converged")), list(by)))
+        new = new.join(side(old), [new[b] == old[f"__k_{b}"] for b in by]).drop(*[f"__k_{b}" for b in by])
         still = reduce(Column.__and__, [F.coalesce(F.abs(C(c) - C(f"__was_{c}")) <= tolerance * (1 + F.abs(c)), F.lit(True)) for c in names])
         fit = cut(new.withColumn("converged", still).drop(*[f"__was_{c}" for c in names]), after=fit)
         if i and fit.where(~C("converged")).isEmpty():
@@ -66,15 +67,22 @@ def _passes(rows: DataFrame, by: Sequence[str], xs: Sequence[str], first: DataFr
     return fit
 
 
-def huber(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], epsilon: float = 1.35, alpha: float = 1e-4, least: int = 20, rounds: int = 100, tolerance: float = 1e-7) -> DataFrame:
-    """Huber regression with joint scale: n, intercept, coef_<x>, scale per group, and whether it converged; null for groups below ``least``.
+def _kept(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], least: int) -> tuple[DataFrame, DataFrame]:
+    """The complete rows of groups with at least ``least`` of them, written with the columns needed, and the sizes of all groups."""
+    rows = df.dropna(subset=[*by, y, *xs]).select(*by, C(y).cast("double").alias(y), *[C(x).cast("double").alias(x) for x in xs])
+    sizes = cut(rows.groupBy(*by).agg(F.count("*").alias("n")))
+    return cut(rows.join(broadcast_if_small(sizes.where(C("n") >= least).drop("n")), list(by), "left_semi")), sizes
+
+
+def huber(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], epsilon: float = 1.35, alpha: float = 1e-4, least: int = 20, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+    """Huber regression with joint scale: n, intercept, coef_<x>, scale per group, and whether it converged; null for groups below ``least``. Rows without a group fall away.
 
     Minimises the summed scale plus the scaled Huber loss of the residuals plus ``alpha`` times the squared
     coefficients, by reweighting: residuals beyond ``epsilon`` scales weigh less in proportion, and the
     scale follows from its own optimum condition. Rows with a null in response or features don't count. The columns needed
     are written once, so the passes read no more.
     """
-    rows = cut(df.dropna(subset=[y, *xs]).select(*by, C(y).cast("double").alias(y), *[C(x).cast("double").alias(x) for x in xs]))
+    rows, sizes = _kept(df, by, y, xs, least)
     first = _weighted_fit(rows, by, y, xs, F.lit(1.0), [F.lit(0.0)] * len(xs), {"spread": F.stddev_pop(y)}).withColumn("scale", F.greatest(C("spread"), F.lit(1e-6))).drop("spread")
 
     def step(i: int, joined: DataFrame) -> DataFrame:
@@ -87,17 +95,17 @@ def huber(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], epsilon:
         scale = F.when(free > 0, F.greatest(F.lit(1e-9), F.sqrt(C("__in") / free))).otherwise(C("__old"))
         return new.withColumn("scale", scale).drop("__in", "__out", "__old")
 
-    fit, keep = _passes(rows, by, xs, first, step, rounds, tolerance), C("n") >= least
-    return fit.select(*by, "n", *[F.when(keep, C(c)).alias(c) for c in ("intercept", *[f"coef_{x}" for x in xs], "scale", "converged")])
+    fit = _passes(rows, by, xs, first, step, rounds, tolerance).select(*by, "intercept", *[f"coef_{x}" for x in xs], "scale", "converged")
+    return sizes.join(fit, list(by), "left")
 
 
-def quantile(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], tau: float = 0.5, alpha: float = 0.0, least: int = 20, rounds: int = 60, tolerance: float = 1e-5) -> DataFrame:
+def quantile(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], tau: float = 0.5, alpha: float = 0.0, least: int = 20, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
     """Quantile regression with an L1 penalty ``alpha`` on the coefficients: n, intercept, coef_<x>, converged per group.
 
     Both absolute values are majorised by parabolas at the last fit, which turns each pass into a weighted
     ridge fit; the floor of the parabolas shrinks from pass to pass.
     """
-    rows = cut(df.dropna(subset=[y, *xs]).select(*by, C(y).cast("double").alias(y), *[C(x).cast("double").alias(x) for x in xs]))
+    rows, sizes = _kept(df, by, y, xs, least)
     first = _weighted_fit(rows, by, y, xs, F.lit(1.0), [F.lit(0.0)] * len(xs), {}).withColumn("rows", C("n"))
 
     def step(i: int, joined: DataFrame) -> DataFrame:
@@ -107,8 +115,8 @@ def quantile(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], tau: f
         ridge = [alpha * C("rows") / F.greatest(F.abs(f"coef_{x}"), F.lit(floor)) for x in xs]
         return _weighted_fit(joined, by, y, xs, w, ridge, {}).withColumn("rows", C("n"))
 
-    fit, keep = _passes(rows, by, xs, first, step, rounds, tolerance), C("n") >= least
-    return fit.select(*by, "n", *[F.when(keep, C(c)).alias(c) for c in ("intercept", *[f"coef_{x}" for x in xs], "converged")])
+    fit = _passes(rows, by, xs, first, step, rounds, tolerance).select(*by, "intercept", *[f"coef_{x}" for x in xs], "converged")
+    return sizes.join(fit, list(by), "left")
 
 
 def elastic_net(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], fold: Column, folds: int = 5, ratio: float = 0.5, path: int = 50, least: int = 50) -> DataFrame:

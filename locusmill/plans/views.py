@@ -37,8 +37,8 @@ OBS_SQL = f"{_SIDES_SQL}, obs AS (SELECT corr_id * 1048576 + design_id AS id, ge
 # the same with the distances of a cell dealt out anew among its design rows
 CONTROL_SQL = (
     f"{_SIDES_SQL}, nu AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY design_id) AS i, row_number() OVER (PARTITION BY cell ORDER BY {drawn_sql(14, 'design_id')} * 2097152 + design_id % 2097152) AS j FROM de WHERE cell IS NOT NULL),"
-    f" dk AS (SELECT a.*, b.dist AS distk FROM nu a JOIN nu b ON a.cell = b.cell AND a.i = b.j),"
-    f" obs AS (SELECT corr_id * 1048576 + design_id AS id, gene, cell, cn, dist, {_FLAGS_SQL.format('dist', '')}, distk, {_FLAGS_SQL.format('distk', 'k')}, y, yc, lineage FROM dk JOIN sc USING (gene, cell) LEFT JOIN li USING (cell))"
+    f" dn AS (SELECT a.*, b.dist AS distk FROM nu a JOIN nu b ON a.cell = b.cell AND a.i = b.j),"
+    f" obs AS (SELECT corr_id * 1048576 + design_id AS id, gene, cell, cn, dist, {_FLAGS_SQL.format('dist', '')}, distk, {_FLAGS_SQL.format('distk', 'k')}, y, yc, lineage FROM dn JOIN sc USING (gene, cell) LEFT JOIN li USING (cell))"
 )
 CORR_SQL = (
     "dc AS (SELECT corr_id, gene, cell_line, CASE WHEN NOT isnan(dependency) THEN dependency END AS y, CASE WHEN NOT isnan(dependency_corrected) THEN dependency_corrected END AS yc,"

@@ -72,8 +72,21 @@ def bedpe(spark: SparkSession, paths: str | list[str], classes: Iterable[str] |
     return out.where(F.col("svtype").isin(*classes)) if classes else out
 
 
-def bedpe_with_header(spark: SparkSession, path: str) -> DataFrame:
-    return tsv(spark, path)
+def bedpe_with_header(spark: SparkSession, path: str, classes: Iterable[str] | None = None) -> DataFrame:
+    """Breakend pairs of BEDPE files with a header: typed places, svtype (of ``svtype``, ``name``, ``svclass`` or ``info``), cell_line
+    (of ``cell_line`` or ``sample`` where it is a valid name, else of the file's name), chromosomes with scaffolds emptied."""
+    r = spark.read.option("header", True).option("sep", "\t").option("comment", "#").csv(path)
+    absent = [c for c in ("chrom1", "start1", "end1", "chrom2", "start2", "end2") if c not in r.columns]
+    if absent:
+        raise ValueError(f"columns {absent} are missing in {path}")
+    text = lambda c: F.col(c).cast("string") if c in r.columns else F.lit(None).cast("string")
+    svtype = F.coalesce(text("svtype"), F.replace(text("name"), F.lit("-like"), F.lit("")), F.replace(text("svclass"), F.lit("-like"), F.lit("")), F.replace(S.info_value(text("info"), "svclass"), F.lit("-like"), F.lit("")), F.lit("UNKNOWN"))
+    said = F.coalesce(text("cell_line"), text("sample"))
+    out = r.select(
+        *[S.chrom_scaffold(F.col(c)).alias(c) if c.startswith("chrom") else F.expr(f"try_cast({c} as bigint)").alias(c) for c in ("chrom1", "start1", "end1", "chrom2", "start2", "end2")],
+        svtype.alias("svtype"), F.when(S.valid_sample(said), S.ccle_name(said)).otherwise(S.sample_of_bedpe(F.col("_metadata.file_name"))).alias("cell_line"),
+    )
+    return out.where(F.col("svtype").isin(*[c.replace("-like", "") for c in classes])) if classes else out
 
 
 def breakend_table(df: DataFrame) -> DataFrame:
@@ -187,8 +200,28 @@ def bedpe_archive(spark: SparkSession, path: str, classes: Iterable[str] | None
     return out.withColumns(whole | {"chrom1": S.chrom_mito(F.col("chrom1")), "chrom2": S.chrom_mito(F.col("chrom2"))})
 
 
-def settings(path: str) -> Mapping[str, str]:
-    """``key: value`` lines of a configuration file."""
+def settings(path: str) -> Mapping[str, object]:
+    """``key: value`` lines of a configuration file; deeper indentation nests, ``- x`` lines make a list."""
+    out: dict[str, object] = {}
+    open_: list[tuple[int, dict | list, dict | None, str]] = [(-1, out, None, "")]
+    bare = lambda v: v.strip().strip("\"'")
     with open(path) as f:
-        pairs = (line.split("#")[0].partition(":") for line in f)
-        return {k.strip(): v.strip().strip("\"'") for k, _, v in pairs if v.strip()}
+        for line in f:
+            body = line.split("#")[0].rstrip()
+            if not body.strip():
+                continue
+            depth = len(body) - len(body.lstrip())
+            while depth <= open_[-1][0]:
+                open_.pop()
+            _, held, above, name = open_[-1]
+            if body.lstrip().startswith("- "):
+                if isinstance(held, dict) and above is not None:
+                    held = above[name] = []
+                    open_[-1] = (open_[-1][0], held, above, name)
+                held.append(bare(body.lstrip()[2:]))
+                continue
+            k, _, v = body.partition(":")
+            held[k.strip()] = bare(v) if v.strip() else {}
+            if not v.strip():
+                open_.append((depth, held[k.strip()], held, k.strip()))
+    return out

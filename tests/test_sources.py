@@ -26,6 +26,7 @@ def test_text_sources(spark, tmp_path):
     genes = put(tmp_path / "genes.txt", "TP53 extra\n\n# no\nTP53\nMYC,1\n")
     assert sorted(r[0] for r in files.gene_list(spark, genes).collect()) == ["MYC", "TP53"]
     assert files.settings(put(tmp_path / "c.yaml", "a: 1 # x\nb: 'y'\n\n")) == {"a": "1", "b": "y"}
+    assert files.settings(put(tmp_path / "n.yaml", "a:\n  b: 2\n  c:\n    - x\n    - y # z\nd: 3\n")) == {"a": {"b": "2", "c": ["x", "y"]}, "d": "3"}
 
 
 def test_breakends(spark, tmp_path):
@@ -34,6 +35,9 @@ def test_breakends(spark, tmp_path):
     rows = files.bedpe(spark, str(tmp_path / "*.bedpe")).orderBy("cell_line").collect()
     assert [(r["cell_line"], r["svtype"], r["chrom1"]) for r in rows] == [("ACH-000001", "DEL", "chr1"), ("S2", "DUP", "chr1")]
     assert files.bedpe(spark, str(tmp_path / "*.bedpe"), ["DUP"]).count() == 1
+    put(tmp_path / "ACH_000003.x.bedpe.txt", "#c\nchrom1\tstart1\tend1\tchrom2\tstart2\tend2\tname\tsample\nchr1\t9\t10\tMT\t19\t20\tDEL-like\tACH 000009\n1_random\tbad\t10\tx\t19\t20\tDUP\ta=b\n")
+    h = files.bedpe_with_header(spark, str(tmp_path / "ACH_000003.x.bedpe.txt")).orderBy("svtype").collect()
+    assert [tuple(r) for r in h] == [("chr1", 9, 10, "chrM", 19, 20, "DEL", "ACH-000009"), ("", None, 10, "chrX", 19, 20, "DUP", "ACH_000003_X_BEDPE_TXT")]
     raw = b"chrom1\tstart1\tend1\tchrom2\tstart2\tend2\tsvclass\n1\t1\t2\t3\t4\t5\tDEL\n1\t1\t2\t3\t4\t5\tINV\n"
     with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
         info = tarfile.TarInfo("d/S7.somatic.bedpe")
@@ -57,4 +61,8 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "p" / "k=a").exists()
     sinks.metrics(df, str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 2
+    made = []
+    keep = lambda: made.append(1) or df
+    assert [sinks.cached(spark, str(tmp_path), {"a": 1}, keep).count() for _ in range(2)] == [2, 2] and made == [1]
+    assert sinks.audit({"x": df, "y": df.where("k = 'a'")}, "k").where("side = 'all'").collect()[0]["key"] == "a"
     assert sinks.report(df.agg(F.sum("v").alias("total")), "T") == "T\n=\ntotal: 1.5"
