@@ -1,7 +1,9 @@
-"""Robust, quantile and elastic-net fits per group, by passes of Spark aggregates.
+"""Robust, quantile and elastic-net fits per group.
 
-Every pass is one map-side combined aggregation of weighted moments, so a group of any size is fitted
-without being gathered anywhere; between the passes only the coefficients (a row per group) are kept.
+A group of up to ``most`` rows is fitted in one task, after one shuffle of the columns needed. Larger groups are fitted
+by passes of Spark aggregates: every pass is one map-side combined aggregation of weighted moments, so
+a group of any size is fitted without being gathered anywhere, and between the passes only the coefficients (a row
+per group) are kept. Both ways take the same steps until no coefficient moves (tests compare them).
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from locusmill.operators.stats import _det
 from locusmill.session import broadcast_if_small, cut
 
 C = F.col
+MOST = 1_000_000  # largest group that is fitted in one task: 32 MB at three features
 
 
 def _weighted_fit(rows: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], w: Column, ridge: Sequence[Column], extra: dict[str, Column]) -> DataFrame:
@@ -32,12 +35,11 @@ def _weighted_fit(rows: DataFrame, by: Sequence[str], y: str, xs: Sequence[str],
         agg |= {f"s{i}": F.sum(C("__w") * C(a)), f"p{i}": F.sum(C("__w") * C(a) * C(y)), f"__r{i}": F.max(ridge[i])}
         agg |= {f"q{i}{j}": F.sum(C("__w") * C(a) * C(xs[j])) for j in range(i, k)}
     m = r.groupBy(*by).agg(*[c.alias(n) for n, c in (agg | extra).items()])
-    cov = lambda i, j: C(f"q{min(i, j)}{max(i, j)}") - C(f"s{i}") * C(f"s{j}") / C("sw")
-    s = [[cov(i, j) + (C(f"__r{i}") if i == j else F.lit(0.0)) for j in range(k)] for i in range(k)]
-    u = [C(f"p{i}") - C(f"s{i}") * C("sy") / C("sw") for i in range(k)]
-    det = _det(s)
-    coef = [F.try_divide(_det([[u[r_] if c == i else s[r_][c] for c in range(k)] for r_ in range(k)]), det) for i in range(k)]
-    m = m.withColumns({f"coef_{x}": c for x, c in zip(xs, coef)})
+    cov = {f"c{i}{j}": C(f"q{i}{j}") - C(f"s{i}") * C(f"s{j}") / C("sw") + (C(f"__r{i}") if i == j else F.lit(0.0)) for i in range(k) for j in range(i, k)}
+    m = m.withColumns(cov | {f"u{i}": C(f"p{i}") - C(f"s{i}") * C("sy") / C("sw") for i in range(k)})
+    s = [[C(f"c{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)]
+    m = m.withColumns({"__det": _det(s)} | {f"__d{i}": _det([[C(f"u{r_}") if c == i else s[r_][c] for c in range(k)] for r_ in range(k)]) for i in range(k)})
+    m = m.withColumns({f"coef_{x}": F.try_divide(C(f"__d{i}"), C("__det")) for i, x in enumerate(xs)})
     at = C("sy") / C("sw")
     for i, x in enumerate(xs):
         at = at - C(f"coef_{x}") * C(f"s{i}") / C("sw")
@@ -67,23 +69,70 @@ def _passes(rows: DataFrame, by: Sequence[str], xs: Sequence[str], first: DataFr
     return fit
 
 
-def _kept(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """The complete rows of groups with at least ``least`` of them, written with the columns needed, and the sizes of all groups."""
+def _solved(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """Weighted ridge least squares with free intercept, first; NaN for a singular system."""
+    sw = w.sum()
+    mx, my = (w @ x) / sw, (w @ y) / sw
+    s = (x * w[:, None]).T @ x - sw * np.outer(mx, mx) + np.diag(ridge)
+    u = (x * w[:, None]).T @ y - sw * mx * my
+    try:
+        coef = np.linalg.solve(s, u)
+    except np.linalg.LinAlgError:
+        coef = np.full(len(u), np.nan)
+    return np.append(my - mx @ coef, coef)
+
+
+def _iterated(x: np.ndarray, y: np.ndarray, step: Callable[[int, np.ndarray, float], tuple[np.ndarray, float]], rounds: int, tolerance: float) -> tuple[np.ndarray, float, bool]:
+    """Coefficients, scale, and whether they stand still."""
+    beta, scale = _solved(x, y, np.ones(len(y)), np.zeros(x.shape[1])), max(float(y.std()), 1e-6)
+    for i in range(rounds):
+        new, scale = step(i, beta, scale)
+        still = bool((~(np.abs(new - beta) > tolerance * (1 + np.abs(new)))).all())
+        beta = new
+        if i and still:
+            return beta, scale, True
+    return beta, scale, False
+
+
+def _gathered(rows: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], step_of: Callable, rounds: int, tolerance: float, scaled: bool) -> DataFrame:
+    """Fits of bounded groups, each in one task. ``step_of``: the step for the rows of a group."""
+    names = ["intercept", *[f"coef_{x}" for x in xs]]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, v = pdf[list(xs)].to_numpy(dtype=float), pdf[y].to_numpy(dtype=float)
+        beta, scale, still = _iterated(x, v, step_of(x, v), rounds, tolerance)
+        held = {n: [None if np.isnan(b) else float(b)] for n, b in zip(names, beta)}
+        return pd.DataFrame({b: [pdf[b].iloc[0]] for b in by} | held | ({"scale": [scale]} if scaled else {}) | {"converged": [still]})
+
+    types = dict(rows.dtypes)
+    schema = ", ".join([*[f"{b} {types[b]}" for b in by], *[f"{n} double" for n in names], *(["scale double"] if scaled else []), "converged boolean"])
+    return rows.groupBy(*by).applyInPandas(fit, schema)
+
+
+def _both_ways(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], least: int, most: int, first: Callable[[DataFrame], DataFrame], step: Callable, step_of: Callable, rounds: int, tolerance: float, scaled: bool) -> DataFrame:
     rows = df.dropna(subset=[*by, y, *xs]).select(*by, C(y).cast("double").alias(y), *[C(x).cast("double").alias(x) for x in xs])
     sizes = cut(rows.groupBy(*by).agg(F.count("*").alias("n")))
-    return cut(rows.join(broadcast_if_small(sizes.where(C("n") >= least).drop("n")), list(by), "left_semi")), sizes
+    side = lambda rule: rows.join(broadcast_if_small(sizes.where(rule).select(*by)), list(by), "left_semi")
+    fit = _gathered(side((C("n") >= least) & (C("n") <= most)), by, y, xs, step_of, rounds, tolerance, scaled)
+    large = (C("n") >= least) & (C("n") > most)
+    if not sizes.where(large).isEmpty():
+        held = cut(side(large))
+        passed = _passes(held, by, xs, first(held), step, rounds, tolerance)
+        fit = fit.unionByName(passed.select(*fit.columns))
+    return sizes.join(fit, list(by), "left")
 
 
-def huber(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], epsilon: float = 1.35, alpha: float = 1e-4, least: int = 20, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def huber(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], epsilon: float = 1.35, alpha: float = 1e-4, least: int = 20, rounds: int = 60, tolerance: float = 1e-6, most: int = MOST) -> DataFrame:
     """Huber regression with joint scale: n, intercept, coef_<x>, scale per group, and whether it converged; null for groups below ``least``. Rows without a group fall away.
 
     Minimises the summed scale plus the scaled Huber loss of the residuals plus ``alpha`` times the squared
     coefficients, by reweighting: residuals beyond ``epsilon`` scales weigh less in proportion, and the
-    scale follows from its own optimum condition. Rows with a null in response or features don't count. The columns needed
-    are written once, so the passes read no more.
+    scale follows from its own optimum condition. Rows with a null in response or features don't count. For passes the
+    columns needed are written once.
     """
-    rows, sizes = _kept(df, by, y, xs, least)
-    first = _weighted_fit(rows, by, y, xs, F.lit(1.0), [F.lit(0.0)] * len(xs), {"spread": F.stddev_pop(y)}).withColumn("scale", F.greatest(C("spread"), F.lit(1e-6))).drop("spread")
+    def first(rows: DataFrame) -> DataFrame:
+        fit = _weighted_fit(rows, by, y, xs, F.lit(1.0), [F.lit(0.0)] * len(xs), {"spread": F.stddev_pop(y)})
+        return fit.withColumn("scale", F.greatest(C("spread"), F.lit(1e-6))).drop("spread")
 
     def step(i: int, joined: DataFrame) -> DataFrame:
         joined = joined.withColumn("__e", _residual(y, xs))
@@ -95,18 +144,28 @@ def huber(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], epsilon:
         scale = F.when(free > 0, F.greatest(F.lit(1e-9), F.sqrt(C("__in") / free))).otherwise(C("__old"))
         return new.withColumn("scale", scale).drop("__in", "__out", "__old")
 
-    fit = _passes(rows, by, xs, first, step, rounds, tolerance).select(*by, "intercept", *[f"coef_{x}" for x in xs], "scale", "converged")
-    return sizes.join(fit, list(by), "left")
+    def step_of(x: np.ndarray, v: np.ndarray) -> Callable:
+        def one(i: int, beta: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
+            e = v - beta[0] - x @ beta[1:]
+            size = np.abs(e)
+            out = size > epsilon * scale
+            new = _solved(x, v, np.where(out, epsilon * scale / np.where(out, size, 1.0), 1.0), np.full(x.shape[1], alpha * scale))
+            free = len(v) - out.sum() * epsilon * epsilon
+            return new, max(1e-9, float(np.sqrt((e[~out] @ e[~out]) / free))) if free > 0 else scale
+
+        return one
 
+    return _both_ways(df, by, y, xs, least, most, first, step, step_of, rounds, tolerance, True)
 
-def quantile(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], tau: float = 0.5, alpha: float = 0.0, least: int = 20, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
+
+def quantile(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], tau: float = 0.5, alpha: float = 0.0, least: int = 20, rounds: int = 60, tolerance: float = 1e-5, most: int = MOST) -> DataFrame:
     """Quantile regression with an L1 penalty ``alpha`` on the coefficients: n, intercept, coef_<x>, converged per group.
 
     Both absolute values are majorised by parabolas at the last fit, which turns each pass into a weighted
     ridge fit; the floor of the parabolas shrinks from pass to pass.
     """
-    rows, sizes = _kept(df, by, y, xs, least)
-    first = _weighted_fit(rows, by, y, xs, F.lit(1.0), [F.lit(0.0)] * len(xs), {}).withColumn("rows", C("n"))
+    def first(rows: DataFrame) -> DataFrame:
+        return _weighted_fit(rows, by, y, xs, F.lit(1.0), [F.lit(0.0)] * len(xs), {}).withColumn("rows", C("n"))
 
     def step(i: int, joined: DataFrame) -> DataFrame:
         floor = max(1e-6, 0.1 * 0.6**i)
@@ -115,8 +174,16 @@ def quantile(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], tau: f
         ridge = [alpha * C("rows") / F.greatest(F.abs(f"coef_{x}"), F.lit(floor)) for x in xs]
         return _weighted_fit(joined, by, y, xs, w, ridge, {}).withColumn("rows", C("n"))
 
-    fit = _passes(rows, by, xs, first, step, rounds, tolerance).select(*by, "intercept", *[f"coef_{x}" for x in xs], "converged")
-    return sizes.join(fit, list(by), "left")
+    def step_of(x: np.ndarray, v: np.ndarray) -> Callable:
+        def one(i: int, beta: np.ndarray, scale: float) -> tuple[np.ndarray, float]:
+            floor = max(1e-6, 0.1 * 0.6**i)
+            e = v - beta[0] - x @ beta[1:]
+            w = np.where(e >= 0, tau, 1 - tau) / np.maximum(np.abs(e), floor)
+            return _solved(x, v, w, alpha * len(v) / np.maximum(np.abs(beta[1:]), floor)), scale
+
+        return one
+
+    return _both_ways(df, by, y, xs, least, most, first, step, step_of, rounds, tolerance, False)
 
 
 def elastic_net(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], fold: Column, folds: int = 5, ratio: float = 0.5, path: int = 50, least: int = 50) -> DataFrame:

@@ -102,6 +102,12 @@ def test_quantile_fit_is_the_minimum_of_its_loss(planted):
     assert abs(m["coef_x1"]) < 2.01
 
 
+def test_large_groups_get_the_same_fits_by_passes(planted):
+    for fit, names in ((robust.huber, ("intercept", "coef_x1", "coef_x2", "scale")), (robust.quantile, ("intercept", "coef_x1", "coef_x2"))):
+        a, b = (fit(planted, ["gene"], "y", ["x1", "x2"], rounds=4, most=m).where("gene = 'g'").first() for m in (10_000, 100))
+        assert [a[n] for n in names] == pytest.approx([b[n] for n in names], rel=1e-9) and a["n"] == b["n"] == 800
+
+
 def test_elastic_net(planted):
     e = {r["gene"]: r for r in robust.elastic_net(planted.where("cell >= 40"), ["gene"], "y", ["x1", "x2"], C("cell")).collect()}
     assert abs(e["g"]["coef_x1"] - 2) < 0.05 and abs(e["g"]["coef_x2"] + 3) < 0.1
