@@ -161,10 +161,10 @@ def abs_max(columns: Sequence[Column]) -> Column:
 
 
 def qc_flags(cn: Column, d: Column, cn_off: float = 1.0, close: int = 1_000_000, very_close: int = 100_000) -> dict[str, Column]:
-    """Copy number off two, breakpoint close, very close; confounded if at least two hold. A missing distance is infinite."""
+    """Copy number off two, breakpoint close, very close; confounded if at least two hold, or (``confounded_any``) one. A missing distance is infinite."""
     x = F.coalesce(d.cast("double"), F.lit(float("inf")))
     a, b, c = (F.coalesce(v, F.lit(False)).cast("int") for v in (F.abs(cn - 2) >= cn_off, x <= close, x <= very_close))
-    return {"flag_cn": a, "flag_bp_close": b, "flag_bp_very_close": c, "confounded": ((a + b + c) >= 2).cast("int")}
+    return {"flag_cn": a, "flag_bp_close": b, "flag_bp_very_close": c, "confounded": ((a + b + c) >= 2).cast("int"), "confounded_any": ((a + b + c) >= 1).cast("int")}
 
 
 def label(criteria: Sequence[Column], green: int) -> Column:

@@ -79,7 +79,7 @@ def scan_dependency(s, d):
     return files.dependency(s, path)
 
 
-@query("SELECT cell AS cell_line, gene, v AS dependency FROM (SELECT DISTINCT cell_line AS cell FROM design WHERE regexp_full_match(cell_line, 'ACH-[0-9]{6}')) c, (SELECT unnest(['A1', 'B2', 'C3']) AS gene) g LEFT JOIN (SELECT cell_line AS k, unnest(['A1', 'B2', 'C3']) AS gene, unnest([min(bp_dist), max(bp_dist), count(*)])::DOUBLE AS v FROM design GROUP BY cell_line) x ON k = cell AND x.gene = g.gene")
+@query("SELECT cell AS cell_line, g.gene AS gene, v AS dependency FROM (SELECT DISTINCT cell_line AS cell FROM design WHERE regexp_full_match(cell_line, 'ACH-[0-9]{6}')) c, (SELECT unnest(['A1', 'B2', 'C3']) AS gene) g LEFT JOIN (SELECT cell_line AS k, unnest(['A1', 'B2', 'C3']) AS gene, unnest([min(bp_dist), max(bp_dist), count(*)])::DOUBLE AS v FROM design GROUP BY cell_line) x ON k = cell AND x.gene = g.gene")
 def scan_dependency_wide(s, d):
     """A matrix with a column per gene."""
     path = _place(s, "wide.csv")

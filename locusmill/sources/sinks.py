@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 def csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
-    df.write.mode("overwrite").option("header", header).option("sep", sep).csv(path)
+    df.write.mode("overwrite").option("header", header).option("sep", sep).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def parquet(df: DataFrame, path: str, sidecar: bool = False) -> None:
