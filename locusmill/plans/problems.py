@@ -45,6 +45,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _drift(spark, d).steps().select("feed", "file_name", "change_kind", "field", "old_field")
 
 
+def p4_names(spark: SparkSession, d: str) -> DataFrame:
+    """What the borders of versions show by names and types alone, before renames are settled: feed, file_name, change, field."""
+    s = _drift(spark, d).schemas
+    seen = F.array(*[F.struct(F.lit(n).alias("change"), F.col(c).alias("fields")) for n, c in (("appeared", "added"), ("vanished", "gone"), ("recast", "recast"))])
+    return s.select("feed", "file_name", F.explode(seen).alias("x")).select("feed", "file_name", "x.change", F.explode("x.fields").alias("field"))
+
+
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
     run = _drift(spark, d)
     return run.table(run.routes(cut(run.steps())))
@@ -103,11 +110,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphans(*_references(spark, d)).select("table_name", "row_id", "field", "period", "reason")
 
 
+def p6_direct(spark: SparkSession, d: str) -> DataFrame:
+    """The references whose spelling needs no list: genes of both tables and the models of design."""
+    refs, parents = _references(spark, d)
+    return orphans.orphans(refs.where("space != 'typed'"), parents.where("space != 'typed'"))
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.report(p6_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_copies, p4_found, p4_table, p4_versions, p5_found, p5_covered, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_copies, p4_found, p4_names, p4_table, p4_versions, p5_found, p5_covered, p6_found, p6_direct, p6_report)}
 
 _UNITS = units_sql("cnv", "seg_id", "CopyNumber", ["cn_unit", "remark"]) + " UNION ALL " + units_sql("design", "design_id", "cn", ["cn_remark"])
 
@@ -121,7 +134,40 @@ ok AS (SELECT run_id, model_id, 'chr' || c AS chrom, s, e FROM seg WHERE regexp_
 o AS (SELECT *, max(e) OVER (PARTITION BY run_id, model_id, chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM ok)
 """
 
+_SPLIT = " ".join(
+    f"WHEN sep = {s} THEN regexp_extract_all({s} || line, '{p}([ ]*\"(?:[^\"]|\"\")*\"[ ]*|[^{p}]*)', 1)" for s, p in (("','", ","), ("';'", ";"), ("chr(9)", "\\t"), ("'|'", "\\|"))
+)
+_CELLS = f"list_transform(CASE {_SPLIT} ELSE [line] END, lambda c: trim(replace(regexp_replace(trim(c), '^\"|\"$', '', 'g'), '\"\"', '\"')))"
+_P4_NAMES = f"""
+WITH b AS (SELECT * FROM (SELECT feed, file_name, line_no, delivered_at, regexp_replace(line, '^\ufeff|[\\r\\n]+$', '', 'g') AS line FROM raw_lines) WHERE trim(line) <> '' AND NOT starts_with(ltrim(line), '#')),
+h AS (SELECT feed, file_name, min(line_no) AS head_no, min(delivered_at) AS delivered FROM b GROUP BY ALL),
+n AS (SELECT h.*, line AS head, list_transform([',', ';', chr(9), '|'], lambda s: len(x) - len(replace(x, s, ''))) AS c FROM (SELECT h.*, line, regexp_replace(line, '"[^"]*"', '', 'g') AS x FROM h JOIN b USING (feed, file_name) WHERE line_no = head_no) h),
+s AS (SELECT *, CASE WHEN list_max(c) > 0 THEN [',', ';', chr(9), '|'][list_position(c, list_max(c))] END AS sep, row_number() OVER (PARTITION BY feed ORDER BY delivered, file_name) AS k FROM n),
+hd AS (SELECT * EXCLUDE (line), {_CELLS} AS header FROM (SELECT *, head AS line FROM s)),
+r AS (SELECT feed, k, header, {_CELLS} AS cells FROM b JOIN hd USING (feed, file_name) WHERE line_no <> head_no),
+v AS (SELECT feed, k, unnest(range(1, len(header) + 1)) AS pos, unnest(cells[1:len(header)] || list_transform(range(greatest(0, len(header) - len(cells))), lambda i: NULL::VARCHAR)) AS x FROM r WHERE cells <> header),
+t AS (SELECT feed, k, pos, max(CASE WHEN lower(x) IN ('', 'na') THEN NULL WHEN regexp_full_match(x, '[-+]?[0-9]+') THEN 0 WHEN regexp_full_match(x, '[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?') THEN 1 ELSE 2 END) AS kind FROM v WHERE x IS NOT NULL GROUP BY ALL),
+f AS (SELECT feed, file_name, k, min(pos) AS pos, field FROM (SELECT feed, file_name, k, unnest(range(1, len(header) + 1)) AS pos, unnest(header) AS field FROM hd) GROUP BY ALL),
+g AS (SELECT f.*, t.kind FROM f LEFT JOIN t USING (feed, k, pos)),
+z AS (SELECT feed, k + 1 AS k, field, kind AS was FROM g)
+SELECT feed, file_name, 'appeared' AS change, field FROM g WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM z WHERE z.feed = g.feed AND z.k = g.k AND z.field = g.field)
+UNION ALL SELECT z.feed, hd.file_name, 'vanished', z.field FROM z JOIN hd USING (feed, k) WHERE NOT EXISTS (SELECT 1 FROM g WHERE z.feed = g.feed AND z.k = g.k AND z.field = g.field)
+UNION ALL SELECT feed, file_name, 'recast', field FROM g JOIN z USING (feed, k, field) WHERE kind <> was
+"""
+
+_GENE_KEY = "upper(trim(regexp_replace({0}, '\\s*\\(\\d+\\)\\s*$', '')))"
+_P6_DIRECT = f"""
+WITH p AS (SELECT 'gene' AS space, {_GENE_KEY.format('gene')} AS k, added_on, removed_on FROM genes UNION ALL SELECT 'model', trim(DepMap_ID), added_on, removed_on FROM depmap_model_map),
+r AS (SELECT 'dependency' AS table_name, dep_id AS row_id, 'gene' AS field, 'gene' AS space, {_GENE_KEY.format('gene')} AS k, loaded_at AS t FROM dependency
+UNION ALL SELECT 'design', design_id, 'gene', 'gene', {_GENE_KEY.format('gene')}, loaded_at FROM design UNION ALL SELECT 'design', design_id, 'cell_line', 'model', trim(cell_line), loaded_at FROM design),
+j AS (SELECT table_name, row_id, field, t, count(p.k) AS held, bool_or(p.k IS NOT NULL AND (t IS NULL OR (coalesce(added_on <= t, true) AND coalesce(t < removed_on, true)))) AS valid,
+bool_and(coalesce(t < added_on, false)) AS early FROM r LEFT JOIN p ON r.space = p.space AND r.k = p.k WHERE r.k IS NOT NULL GROUP BY ALL)
+SELECT table_name, row_id, field, strftime(t, '%Y-%m') AS period, CASE WHEN held = 0 THEN 'missing' WHEN early THEN 'late' ELSE 'deleted' END AS reason FROM j WHERE NOT valid
+"""
+
 SQL = {
+    "p4_names": _P4_NAMES,
+    "p6_direct": _P6_DIRECT,
     "p3_found": f"SELECT table_name, row_id, unit FROM ({_UNITS}) WHERE v IS NOT NULL AND unit NOT IN ('absolute', 'unknown')",
     "p3_copies": (
         "SELECT table_name, row_id, unit, floor(c * 1e6 + 0.5) / 1e6 AS copies"
