@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusmill.functions.scalars import log2_to_copies
@@ -29,6 +30,35 @@ def valid_pairs(df: DataFrame) -> DataFrame:
     return df.dropna().where("start1 >= 0 and start2 >= 0 and start1 < end1 and start2 < end2")
 
 
+def of_classes(df: DataFrame, column: str, classes: Sequence[str]) -> DataFrame:
+    """Rows of the classes; ``-like`` is taken off on both sides."""
+    bare = F.replace(F.col(column), F.lit("-like"), F.lit(""))
+    return df.withColumn(column, bare).where(F.col(column).isin(*[c.replace("-like", "") for c in classes]))
+
+
+def violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """One row: the number of rows, and of those that break each rule (a null breaks none)."""
+    return df.agg(F.count("*").alias("n"), *[F.count(F.when(c, 1)).alias(k) for k, c in rules.items()])
+
+
+def require(counts: DataFrame, strict: bool = True) -> dict[str, int]:
+    """Broken rules of ``violations`` with their counts; raises if there are any and ``strict`` holds, else warns."""
+    found = {k: v for k, v in counts.first().asDict().items() if k != "n" and v}
+    if found and strict:
+        raise ValueError(f"rules broken: {found}")
+    if found:
+        warnings.warn(f"rules broken: {found}", stacklevel=2)
+    return found
+
+
+def require_overlap(counts: DataFrame, least: int = 1) -> int:
+    """Common keys of ``overlap_counts``; raises where there are fewer than ``least``."""
+    common = counts.first()["common"] or 0
+    if common < least:
+        raise ValueError(f"{common} common keys, {least} needed")
+    return common
+
+
 def thin(df: DataFrame, keys: Sequence[str], place: str, tolerance: int, bin_size: int = 10_000_000) -> DataFrame:
     """Rows further than ``tolerance`` from the row before; a chain of close rows leaves its first.
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.operators.controls import drawn
+from locusmill.operators.controls import drawn, key_number
 from locusmill.operators.ranges import numbered, summarised
 from locusmill.session import broadcast_if_small, cut
 
@@ -39,11 +39,6 @@ def poisson(draw: Column) -> Column:
     return sum(((draw >= c).cast("int") for c in cutoffs()), F.lit(0))
 
 
-def key_number(c: Column) -> Column:
-    """A number for a text key: the first 28 bits of its md5."""
-    return F.conv(F.substring(F.md5(c.cast("string")), 1, 7), 16, 10).cast("long")
-
-
 def _repeated(df: DataFrame, reps: int, first: int = 1) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(reps))))
 

@@ -7,7 +7,7 @@ is combined on the map side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,10 +154,15 @@ def zscore(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.join(broadcast_if_small(s), list(by)).withColumn(f"{value}_std", F.when(C("__s") > 0, (C(value) - C("__m")) / C("__s")).otherwise(F.lit(0.0))).drop("__m", "__s")
 
 
-def roll(df: DataFrame, by: Sequence[str], order: str, value: str, shift: int) -> DataFrame:
-    """Adds ``rolled``: the value ``shift`` places before in the circle of the group's rows."""
+def roll(df: DataFrame, by: Sequence[str], order: str, value: str, shift: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``rolled``: the value ``shift`` (of the group's size) places before in the circle of the group's rows.
+
+    Groups of one row or without spread are left out.
+    """
     r = cut(numbered(df, by, order, "__i"))
-    r = joined(r, broadcast_if_small(r.groupBy(*by).agg(F.count("*").alias("__n"))), by).withColumn("__from", F.pmod(C("__i") - shift, C("__n")))
+    sizes = r.groupBy(*by).agg(F.count("*").alias("__n"), F.stddev_samp(value).alias("__sd")).where("__n > 1 and __sd >= 1e-9").drop("__sd")
+    r = joined(r, broadcast_if_small(sizes), by)
+    r = r.withColumn("__from", F.pmod(C("__i") - shift(C("__n")) + C("__n"), C("__n")))
     source = r.select(*by, C("__i").alias("__from"), C(value).alias("rolled"))
     return joined(r, source, [*by, "__from"]).drop("__i", "__n", "__from")
 

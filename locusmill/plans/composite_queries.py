@@ -246,6 +246,28 @@ def scoreboard(s, d):
     return out.withColumn("passed", sum((C(k).cast("int") for k in rules), F.lit(0)))
 
 
+_OK = f"{moments_sql('y', XK, name='mk')}, {fit3_sql('y', *XK, name='fk', frm='mk')}, ok AS (SELECT obs.*, coalesce(y - (fk.b2 * neark + fk.b3 * fark), y) AS yk FROM obs JOIN fk USING (gene))"
+_TESTS = {"whole": "true", "held_out": "id % 5 > 0", "cn_neutral": "cn BETWEEN 1.5 AND 2.5"}
+
+
+@query(f"""{K}, {_OK}, te AS ({' UNION ALL '.join(f"SELECT '{k}' AS test, * FROM ok WHERE {v}" for k, v in _TESTS.items())}), {delta_sql('dt', 'yc', 'te', 'test, gene')}, {delta_sql('du', 'yk', 'te', 'test, gene')},
+ma AS (SELECT gene, median(y) AS m FROM ok GROUP BY gene), mb AS (SELECT gene, median(abs(y - m)) + 1e-9 AS mad FROM ok JOIN ma USING (gene) GROUP BY gene),
+jo AS (SELECT test, gene, dt.delta AS t, du.delta AS k FROM dt JOIN du USING (test, gene) UNION ALL SELECT 'scaled', gene, dt.delta / mad, du.delta / mad FROM dt JOIN du USING (test, gene) JOIN mb USING (gene) WHERE test = 'whole')
+SELECT test, count(*) AS genes, {q('median(t)')} AS observed, {q('median(k)')} AS control, {q('median(t)')} > {q('median(k)')} AS passed FROM jo GROUP BY test""")
+def falsification_scoreboard(s, d):
+    """Drop of the correlation against the control arm: on all rows, on held-out rows, on rows of neutral copies, and in units of the gene's deviation."""
+    o = cut(views.controlled(s, d))
+    f = stats.ols(o, ["gene"], "y", list(XK), least=20).select("gene", "coef_neark", "coef_fark")
+    yk = F.coalesce(C("y") - (C("coef_neark") * C("neark") + C("coef_fark") * C("fark")), C("y"))
+    ok = cut(o.join(broadcast_if_small(f), "gene").select("gene", "id", "cn", "y", "yc", yk.alias("yk")))
+    te = ok.withColumn("test", F.explode(F.array(*[F.when(F.expr(v), k) for k, v in _TESTS.items()]))).where("test is not null")
+    t, k = (stats.delta_abs_corr(te, ["test", "gene"], "cn", "y", v).select("test", "gene", C("delta").alias(n)) for v, n in (("yc", "t"), ("yk", "k")))
+    both = cut(t.join(k, ["test", "gene"]))
+    scaled = both.where("test = 'whole'").join(stats.mad(ok, ["gene"], "y"), "gene").select(F.lit("scaled").alias("test"), "gene", (C("t") / C("mad")).alias("t"), (C("k") / C("mad")).alias("k"))
+    x = both.unionByName(scaled).groupBy("test").agg(F.count("*").alias("genes"), q6(F.median("t")).alias("observed"), q6(F.median("k")).alias("control"))
+    return x.withColumn("passed", C("observed") > C("control"))
+
+
 @query(f"{O}, {_DELTA}, m AS (SELECT gene, median(y) AS m FROM obs GROUP BY gene), a AS (SELECT gene, median(abs(y - m)) + 1e-9 AS mad FROM obs JOIN m USING (gene) GROUP BY gene) SELECT gene, {q('delta / mad')} AS scaled FROM dl JOIN a USING (gene)")
 def scaled_drop(s, d):
     m = stats.mad(views.observations(s, d), ["gene"], "y")
@@ -280,18 +302,27 @@ def line_corr_delta(s, d):
     return a.join(b, "line").select("line", q6(F.abs("y") - F.abs("yc")).alias("delta"))
 
 
-@query(f"WITH {views.SEGMENTS_SQL}, f AS (SELECT cell, sum(CASE WHEN abs(cn - 2) > 0.3 THEN e - s ELSE 0 END) / sum(e - s) AS fga, count(*) AS n FROM seg GROUP BY cell) SELECT {q('corr(fga, n)')} AS r, count(*) AS cells FROM f")
+@query(f"WITH {views.SEGMENTS_SQL}, f AS (SELECT cell, sum(CASE WHEN abs(cn - 2) > 0.3 THEN e - s ELSE 0 END) / sum(e - s) AS fga, count(*) AS n FROM seg GROUP BY cell) SELECT CASE WHEN count(fga) >= 10 THEN {q(corr('fga', 'n'))} END AS r, count(*) AS cells FROM f")
 def instability(s, d):
     length = C("e") - C("s")
     f = views.segments(s, d).groupBy("cell").agg(F.try_divide(F.sum(F.when(F.abs(C("cn") - 2) > 0.3, length).otherwise(0)), F.sum(length)).alias("fga"), F.count("*").cast("double").alias("n"))
-    return f.agg(q6(stats.pearson(C("fga"), C("n"))).alias("r"), F.count("*").alias("cells"))
+    return f.agg(F.when(F.count("fga") >= 10, q6(stats.pearson(C("fga"), C("n")))).alias("r"), F.count("*").alias("cells"))
 
 
-@query(f"{D}, g AS (SELECT gene, count(*) AS n, {q('median(y - yc)')} AS drop_, {q('coalesce(median(abs(contrib)) FILTER (abs(contrib) > 0.05), 0)')} AS act, max(abs(pred)) AS top FROM dc GROUP BY gene) SELECT gene, drop_ AS drop, act FROM g WHERE n >= 5 ORDER BY drop_ DESC NULLS LAST, act DESC, gene LIMIT 30")
+@query(f"""{O}, {views.CORR_SQL}, g AS (SELECT gene, count(*) AS n, {q('median(y - yc)')} AS drop_, {q('coalesce(median(abs(contrib)) FILTER (abs(contrib) > 0.05), 0)')} AS act FROM dc GROUP BY gene),
+l AS (SELECT gene, lineage, count(*) AS n, abs({corr('y', 'cn')}) - abs({corr('yc', 'cn')}) AS delta FROM obs GROUP BY gene, lineage), b AS (SELECT gene, count(*) FILTER (n >= 3 AND floor(delta * 1e6 + 0.5) > 0) AS breadth FROM l GROUP BY gene),
+r AS (SELECT gene, drop_ AS drop, act, coalesce(breadth, 0) AS breadth FROM g LEFT JOIN b USING (gene) WHERE n >= 5)
+SELECT *, CASE WHEN drop > 0.1 AND act > 0.05 AND breadth >= 1 THEN 'GREEN' WHEN drop > 0.1 AND act > 0.05 THEN 'AMBER' ELSE 'RED' END AS label FROM r ORDER BY drop DESC NULLS LAST, breadth DESC, act DESC, gene LIMIT 30""")
 def hit_rank(s, d):
+    """The thirty genes with the largest drop, with their active effect, the number of lineages that show it, and a label."""
     g = summarised(views.corrected(s, d), ["gene"], {"m": (C("y") - C("yc"), 0.5), "a": (F.when(F.abs("contrib") > 0.05, F.abs("contrib")), 0.5)}, n=F.count("*"))
-    g = g.select("gene", "n", q6(C("m")).alias("drop"), q6(F.coalesce("a", F.lit(0.0))).alias("act"))
-    return g.where("n >= 5").select("gene", "drop", "act").orderBy(F.desc_nulls_last("drop"), F.desc("act"), "gene").limit(30)
+    g = g.where("n >= 5").select("gene", q6(C("m")).alias("drop"), q6(F.coalesce("a", F.lit(0.0))).alias("act"))
+    l = views.observations(s, d).groupBy("gene", "lineage").agg(F.count("*").alias("n"), (F.abs(stats.pearson(C("y"), C("cn"))) - F.abs(stats.pearson(C("yc"), C("cn")))).alias("delta"))
+    b = l.groupBy("gene").agg(F.count(F.when((C("n") >= 3) & _positive(), 1)).alias("breadth"))
+    x = g.join(b, "gene", "left").withColumn("breadth", F.coalesce("breadth", F.lit(0)))
+    large = F.coalesce((C("drop") > 0.1) & (C("act") > 0.05), F.lit(False))
+    x = x.withColumn("label", F.when(large & (C("breadth") >= 1), "GREEN").when(large, "AMBER").otherwise("RED"))
+    return x.orderBy(F.desc_nulls_last("drop"), F.desc("breadth"), F.desc("act"), "gene").limit(30)
 
 
 @query(f"""{D}, a AS (SELECT gene, {q('median(y)')} AS v FROM dc GROUP BY gene), b AS (SELECT gene, {q('median(dependency)')} AS v FROM dependency GROUP BY gene), p AS (SELECT DISTINCT gene FROM genes WHERE removed_on IS NULL)
@@ -319,10 +350,13 @@ def pilot_contrast(s, d):
     return x.select((q6(C("a")) - q6(C("b"))).alias("contrast"), (C("a") > C("b")).alias("holds"))
 
 
-@query(f"{K}, {_TWO}, u AS (SELECT gene FROM tw WHERE p_true >= 0.05), st AS (SELECT gene FROM tw WHERE p_true <= 0.06) SELECT gene, 'unstable' AS kind FROM u UNION ALL SELECT gene, 'stable' FROM st WHERE gene NOT IN (SELECT gene FROM u)")
+@query(f"""{K}, {_TWO}, n AS (SELECT count(*) FILTER (p_true >= 0.9) AS n FROM tw), u AS (SELECT gene FROM (SELECT gene, p_true, row_number() OVER (ORDER BY p_true DESC, gene) AS i FROM tw), n WHERE CASE WHEN n >= 60 THEN p_true >= 0.9 ELSE i <= 60 END),
+st AS (SELECT gene FROM tw WHERE p_true <= 0.06) SELECT gene, 'unstable' AS kind FROM u UNION ALL SELECT gene, 'stable' FROM st WHERE gene NOT IN (SELECT gene FROM u)""")
 def pilot_select(s, d):
-    p = _prevalences(s, d)
-    u = p.where("p_true >= 0.05").select("gene")
+    """Genes above a prevalence, or the sixty with the highest where fewer are; and those below another that aren't among them."""
+    p = cut(_prevalences(s, d))
+    above = p.where("p_true >= 0.9").select("gene")
+    u = above if above.limit(60).count() >= 60 else p.orderBy(F.desc("p_true"), "gene").limit(60).select("gene")
     st = p.where("p_true <= 0.06").select("gene").join(u, "gene", "left_anti")
     return u.withColumn("kind", F.lit("unstable")).unionByName(st.withColumn("kind", F.lit("stable")))
 
@@ -353,13 +387,40 @@ def prereg_select(s, d):
     return x.join(table(s, d, "genes").where("removed_on is not null"), "gene", "left_anti").select("gene", "c", "e", "p", "q")
 
 
-@query(f"{O}, {_M3}, {_FIT3} SELECT id, {q('b2 * near + b3 * far')} AS contrib, {q('y - (b2 * near + b3 * far)')} AS prox_only FROM obs JOIN f USING (gene)")
+@query(f"{O}, {_M3}, {_FIT3} SELECT id, {q('c')} AS contrib, {q('y - c')} AS prox_only, {q('c - avg(c) OVER (PARTITION BY gene)')} AS centred, {q('y - (c - avg(c) OVER (PARTITION BY gene))')} AS prox_only_centred FROM (SELECT id, gene, y, b2 * near + b3 * far AS c FROM obs JOIN f USING (gene))")
 def prox_contrib(s, d):
     o = cut(views.observations(s, d))
     o = o.join(broadcast_if_small(_fit3(s, d, o).select("gene", "coef_near", "coef_far")), "gene")
-    c = S.contribution([C("coef_near"), C("coef_far")], [C("near"), C("far")])
-    return o.select("id", q6(c).alias("contrib"), q6(C("y") - c).alias("prox_only"))
+    o = o.withColumn("c", S.contribution([C("coef_near"), C("coef_far")], [C("near"), C("far")]))
+    return _contributions(o)
+
+
+def _contributions(o):
+    """Contribution c of each row and the response without it, as they are and centred on the gene's mean."""
+    o = o.join(broadcast_if_small(o.groupBy("gene").agg(F.avg("c").alias("m"))), "gene")
+    return o.select("id", q6(C("c")).alias("contrib"), q6(C("y") - C("c")).alias("prox_only"), q6(C("c") - C("m")).alias("centred"), q6(C("y") - (C("c") - C("m"))).alias("prox_only_centred"))
+
+
+_MP = moments_sql("y", ("cn", "prox"), frm="op", name="mp")
+_BP = "CASE WHEN abs(s_cn_cn * s_prox_prox - s_cn_prox * s_cn_prox) > 1e-9 * abs(s_cn_cn * s_prox_prox) THEN (s_cn_cn * s_y_prox - s_cn_prox * s_y_cn) / (s_cn_cn * s_prox_prox - s_cn_prox * s_cn_prox) END"
+
+
+@query(f"""{O}, op AS (SELECT *, exp(-dist / 100000.0::DOUBLE) AS prox FROM obs), {_MP}, kf AS (SELECT gene, {_BP} AS b FROM mp WHERE n >= 10)
+SELECT id, {q('c')} AS contrib, {q('y - c')} AS prox_only, {q('c - avg(c) OVER (PARTITION BY gene)')} AS centred, {q('y - (c - avg(c) OVER (PARTITION BY gene))')} AS prox_only_centred FROM (SELECT id, gene, y, b * prox AS c FROM op JOIN kf USING (gene))""")
+def prox_contrib_kernel(s, d):
+    """The same by the kernel of the distance."""
+    o = cut(views.observations(s, d).withColumn("prox", S.kernels(C("dist"))["prox_exp_100k"]))
+    f = stats.ols(o, ["gene"], "y", ["cn", "prox"], least=10).select("gene", "coef_prox")
+    return _contributions(o.join(broadcast_if_small(f), "gene").withColumn("c", C("coef_prox") * C("prox")))
+
 
+@query(f"""{O}, on_ AS (SELECT *, CAST(dist <= 100000 AS INT) AS w1, CAST(dist <= 1000000 AS INT) AS w2 FROM obs), {moments_sql('y', ('cn', 'w1', 'w2'), frm='on_', name='mn')}, {fit3_sql('y', 'cn', 'w1', 'w2', frm='mn', name='nf')}
+SELECT id, {q('c')} AS contrib, {q('y - c')} AS prox_only, {q('c - avg(c) OVER (PARTITION BY gene)')} AS centred, {q('y - (c - avg(c) OVER (PARTITION BY gene))')} AS prox_only_centred FROM (SELECT id, gene, y, b2 * w1 + b3 * w2 AS c FROM on_ JOIN nf USING (gene))""")
+def prox_contrib_nested(s, d):
+    """The same by nested windows."""
+    o = cut(views.observations(s, d).withColumns({"w1": (C("dist") <= 100_000).cast("int"), "w2": (C("dist") <= 1_000_000).cast("int")}))
+    f = stats.ols(o, ["gene"], "y", ["cn", "w1", "w2"], least=20).select("gene", "coef_w1", "coef_w2")
+    return _contributions(o.join(broadcast_if_small(f), "gene").withColumn("c", C("coef_w1") * C("w1") + C("coef_w2") * C("w2")))
 
 @query(f"{O}, {_M3}, {_FIT3}, p AS (SELECT id, gene, y, b0 + b1 * cn + b2 * near + b3 * far AS pred FROM obs JOIN f USING (gene)), md AS (SELECT gene, median(pred) AS m FROM p GROUP BY gene) SELECT id, {q('coalesce(y - (pred - m), y)')} AS corrected FROM p JOIN md USING (gene)")
 def correct_full(s, d):

@@ -236,13 +236,14 @@ def validate_genes(s, d):
 @query("""SELECT count(*) AS n, count(*) FILTER (ModelID IS NULL) AS no_sample, count(*) FILTER ("Start" < 0) AS negative, count(*) FILTER ("End" <= "Start") AS empty,
 count(*) FILTER (NOT regexp_matches(Chromosome, '^chr')) AS bare_chrom FROM cnv""")
 def bedpe_violations(s, d):
-    hit = lambda c, n: F.count(F.when(c, 1)).alias(n)
-    return table(s, d, "cnv").agg(F.count("*").alias("n"), hit(C("ModelID").isNull(), "no_sample"), hit(C("Start") < 0, "negative"), hit(C("End") <= C("Start"), "empty"), hit(~C("Chromosome").rlike("^chr"), "bare_chrom"))
+    return clean.violations(table(s, d, "cnv"), {"no_sample": C("ModelID").isNull(), "negative": C("Start") < 0, "empty": C("End") <= C("Start"), "bare_chrom": ~C("Chromosome").rlike("^chr")})
 
 
-@query("SELECT seg_id, Chromosome FROM cnv WHERE Chromosome IN ('chr1', 'chr2', 'chr3')")
+@query(f"WITH {views.SEGMENTS_SQL} SELECT seg_id, CASE WHEN cn < 1.5 THEN 'DEL' ELSE 'DUP' END AS svtype FROM seg WHERE cn < 1.5 OR cn > 2.5")
 def class_filter(s, d):
-    return table(s, d, "cnv").where(C("Chromosome").isin("chr1", "chr2", "chr3")).select("seg_id", "Chromosome")
+    """Breakend pairs of the classes asked for; -like classes are the class itself."""
+    x = views.segments(s, d).select("seg_id", F.when(C("cn") < 1.5, "DEL-like").when(C("cn") > 2.5, "DUP").otherwise("NEUTRAL").alias("svtype"))
+    return clean.of_classes(x, "svtype", ["DEL", "DUP-like"])
 
 
 @query(f"WITH {views.SEGMENTS_SQL}, {views.BREAKS_SQL} SELECT cell, chrom, pos FROM bp")

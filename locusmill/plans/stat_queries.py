@@ -9,10 +9,11 @@ from locusmill.functions import scalars as S
 from locusmill.functions.quant import q6
 from locusmill.functions.quant import q20 as b20
 from locusmill.operators import clean, pvalues, stats
+from locusmill.operators.controls import drawn, key_number
 from locusmill.operators.ranges import cumulated, joined, median, summarised
 from locusmill.session import broadcast_if_small, cut
 from locusmill.plans import views
-from locusmill.plans.registry import q, q20, query
+from locusmill.plans.registry import drawn_sql, q, q20, query
 from locusmill.sources.tables import table
 
 C = F.col
@@ -138,10 +139,12 @@ def zscore(s, d):
     return stats.zscore(views.observations(s, d), ["gene"], "cn").select("id", q6(C("cn_std")).alias("cn_std"))
 
 
-@query("WITH r AS (SELECT design_id, cell_line, bp_dist, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY cell_line) AS n FROM design WHERE cell_line IS NOT NULL WINDOW w AS (PARTITION BY cell_line ORDER BY design_id)) SELECT a.design_id, b.bp_dist AS rolled FROM r a JOIN r b ON a.cell_line = b.cell_line AND b.i = (a.i - 3 + 1000 * a.n) % a.n")
+@query(f"""WITH r AS (SELECT design_id, cell_line, bp_dist, row_number() OVER (PARTITION BY cell_line ORDER BY design_id) - 1 AS i, count(*) OVER (PARTITION BY cell_line) AS n, stddev_samp(bp_dist) OVER (PARTITION BY cell_line) AS sd FROM design WHERE cell_line IS NOT NULL),
+k AS (SELECT *, 1 + {drawn_sql(5, "CAST('0x' || substr(md5(cell_line), 1, 7) AS BIGINT)")} % greatest(1, n - 1) AS shift FROM r WHERE n > 1 AND sd >= 1e-9) SELECT a.design_id, b.bp_dist AS rolled FROM k a JOIN k b ON a.cell_line = b.cell_line AND b.i = (a.i - a.shift + a.n) % a.n""")
 def roll(s, d):
+    """Each cell's distances turned by a drawn number of places; cells with one row or without spread are left out."""
     t = table(s, d, "design").where("cell_line is not null").select("design_id", "cell_line", "bp_dist")
-    return stats.roll(t, ["cell_line"], "design_id", "bp_dist", 3).select("design_id", "rolled")
+    return stats.roll(t, ["cell_line"], "design_id", "bp_dist", lambda n: 1 + F.pmod(drawn(5, key_number(C("cell_line"))), F.greatest(F.lit(1), n - 1))).select("design_id", "rolled")
 
 
 @query(f"{O}, m AS (SELECT gene, median(cn) AS m FROM obs GROUP BY gene) SELECT id, {q('cn - m')} AS centred FROM obs JOIN m USING (gene)")

@@ -1,6 +1,8 @@
 import io
 import tarfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from locusmill.sources import files, sinks
@@ -66,3 +68,20 @@ def test_sinks(spark, tmp_path):
     assert [sinks.cached(spark, str(tmp_path), {"a": 1}, keep).count() for _ in range(2)] == [2, 2] and made == [1]
     assert sinks.audit({"x": df, "y": df.where("k = 'a'")}, "k").where("side = 'all'").collect()[0]["key"] == "a"
     assert sinks.report(df.agg(F.sum("v").alias("total")), "T") == "T\n=\ntotal: 1.5"
+
+
+def test_gates(spark):
+    from locusmill.operators import clean
+
+    df = spark.createDataFrame([("a", 1), (None, -1)], "k string, v int")
+    counts = clean.violations(df, {"no_key": F.col("k").isNull(), "negative": F.col("v") < 0, "large": F.col("v") > 9})
+    with pytest.raises(ValueError, match="no_key"):
+        clean.require(counts)
+    with pytest.warns(UserWarning):
+        assert clean.require(counts, strict=False) == {"no_key": 1, "negative": 1}
+    assert clean.require(clean.violations(df.where("v > 0"), {"negative": F.col("v") < 0})) == {}
+    both = clean.overlap_counts(df.select("k"), df.select("k"), "k", "l", "r")
+    assert clean.require_overlap(both) == 1
+    with pytest.raises(ValueError):
+        clean.require_overlap(both, 2)
+    assert [r["c"] for r in clean.of_classes(spark.createDataFrame([("DEL-like",), ("INV",), (None,)], "c string"), "c", ["DEL"]).collect()] == ["DEL"]
