@@ -76,6 +76,8 @@ def _places(raw: bytes, coding: str, html: bool, start: int) -> np.ndarray:
     data = raw
     if coding == "quoted-printable":
         data, places = _sub(_QP, lambda m: bytes.fromhex(m[1].decode()) if m[1] else b"", data, places)
+        if data != (read := binascii.a2b_qp(raw)):  # broken coding: of such a part only its own place is known
+            data, places = read, np.append(np.full(len(read), start), start + len(raw))
     elif coding == "base64":
         kept = np.flatnonzero(np.isin(np.frombuffer(raw, np.uint8), np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)))
         data = unbase64(raw)
