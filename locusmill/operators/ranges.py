@@ -111,7 +111,7 @@ def summarised(df: DataFrame, by: Sequence[str], quantiles: Mapping[str, tuple[C
         F.first(F.when(C("i") == i, C("q") if isinstance(p, (list, tuple)) else F.get("q", F.lit(0))), ignorenulls=True).alias(n) for i, (n, (_, p)) in enumerate(quantiles.items())
     ])
     base = df.groupBy(*by).agg(*[c.alias(n) for n, c in (aggregates or {"__rows": F.count("*")}).items()])
-    return joined(base, broadcast_if_small(rows), by, "left").select(*by, *aggregates, *names)
+    return joined(base, rows, by, "left").select(*by, *aggregates, *names)
 
 
 def median(df: DataFrame, by: Sequence[str], value: Column | str, name: str = "median") -> DataFrame:

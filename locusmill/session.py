@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 8 << 20  # largest table file size that is broadcast
 BROADCAST_ROWS = 500_000
+_WRITTEN: dict[str, set[str]] = {}  # tables of each application that are still there
 
 
 def get_spark(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -57,6 +58,7 @@ def cut(df: DataFrame, after: DataFrame | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written = path
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(path)
     if after is not None:
         remove(after)
     return out
@@ -65,8 +67,19 @@ def cut(df: DataFrame, after: DataFrame | None = None) -> DataFrame:
 def remove(df: DataFrame) -> None:
     """Deletes the table behind a result of ``cut``; anything else is left alone."""
     if path := df.__dict__.get("written"):
-        files, p = _path(df.sparkSession, path)
-        files.delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, p = _path(spark, path)
+    files.delete(p, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def remove_all(spark: SparkSession) -> None:
+    """Deletes every table that ``cut`` wrote in this application. For callers who have written or shown their results."""
+    for path in list(_WRITTEN.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
 
 
 def small(df: DataFrame, max_rows: int) -> bool:

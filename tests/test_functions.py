@@ -23,7 +23,10 @@ def test_names(spark):
     assert one(spark, S.chrom_scaffold, "chr1_random", "x", "MT", "07", None, "ALT1") == ["", "chrX", "chrM", "chr07", "", ""]
     assert one(spark, S.ccle_name, "ach 000123", "Abc-12 lung.x", " q ") == ["ACH-000123", "ABC_12_LUNG_X", "Q"]
     assert one(spark, S.gene_symbol, "TP53 (7157)", "TP53", "A (x)") == ["TP53", "TP53", "A (x)"]
-    assert one(spark, S.sample_of_path, "a/b/ACH-1.sv.bedpe", "x") == ["ACH-1", "x"]
+    assert one(spark, S.sample_of_path, "a/b/ACH-1.sv.bedpe", "x", "q/ach 000001.v2.bedpe") == ["ACH_1", "X", "ACH-000001"]
+    assert one(spark, S.sample_of_bedpe, "a/b/A549.lung.BEDPE", "ach_000001.bedpe") == ["A549_LUNG", "ACH-000001"]
+    assert one(spark, S.chrom_scaffold, "GL000220", "chrM", "CHR3", " 11 ", "Un_x") == ["chrGL000220", "chrM", "chr3", "chr11", ""]
+    assert one(spark, S.valid_sample, "ach 000123", "ACH-000123", "A549_LUNG", "A549", "a549_lung", "X=Y_Z", None) == [True, True, True, False, False, False, False]
     assert one(spark, lambda c: S.info_value(c, "svclass"), "a=1;svclass=DEL;b=2", "a=1", None) == ["DEL", None, None]
 
 
@@ -53,3 +56,14 @@ def test_log2_conversion_keeps_every_row(spark, data, tmp_path):
         assert abs(got[i]["cn"] / 2 ** (x + 1) - 1) < 1e-6 and got[i]["log2_cn"] == x + 1
     assert got[8]["cn"] == float("inf") and abs(got[8]["log2_cn"] - 3270.8202) < 1e-6
     assert log2_to_cn_all(spark, data).count() == spark.read.parquet(f"{data}/cnv.parquet").count()
+
+
+def test_breakpoints_of_the_field(spark):
+    """Spellings that breakend sheets hold, with what each must become."""
+    good = {
+        "13:33777850-33777850+": ("chr13", 33777849, 33777850, "+"), "1:1000000-1000000-": ("chr1", 999999, 1000000, "-"), "chrX:123456-123456-": ("chrX", 123455, 123456, "-"),
+        "Y:10000000-10000000-": ("chrY", 9999999, 10000000, "-"), "M:1000-1000+": ("chrM", 999, 1000, "+"), "MT:2000-2000-": ("chrMT", 1999, 2000, "-"), "  13:33777850-33777850+  ": ("chr13", 33777849, 33777850, "+"),
+        "x:50000000-50000000+": ("chrX", 49999999, 50000000, "+"), "CHR13:33777850-33777850+": ("chr13", 33777849, 33777850, "+"), "1:1-1+": ("chr1", 0, 1, "+"),
+    }
+    assert [tuple(x) for x in one(spark, S.breakpoint_parts, *good)] == list(good.values())
+    assert one(spark, S.breakpoint_parts, "", "invalid", "13:33777850", "13:33777850-33777850", None) == [None] * 5
