@@ -64,7 +64,11 @@ def edits(a: Column, b: Column) -> Column:
 
 def near_join(tokens: DataFrame, token: str, vocabulary: DataFrame, word: str, min_length: int = 4) -> DataFrame:
     """Pairs of token and word at most one edit apart, with ``edits``. Both inputs hold distinct strings."""
-    left = tokens.select(F.col(token).alias("__t")).where(F.length("__t") >= min_length).withColumn("__d", F.explode(deletions(F.col("__t"))))
+    longest = vocabulary.agg(F.max(F.length(word)).alias("__most"))  # a longer token can't be one edit from a word, so it isn't cut up
+    left = (
+        tokens.select(F.col(token).alias("__t")).where(F.length("__t") >= min_length).join(F.broadcast(longest), F.length("__t") <= F.col("__most") + 1)
+        .select("__t", F.explode(deletions(F.col("__t"))).alias("__d"))
+    )
     right = vocabulary.select(F.col(word).alias("__w")).where(F.length("__w") >= min_length).withColumn("__d", F.explode(deletions(F.col("__w"))))
     return (
         left.join(right, "__d").select("__t", "__w").distinct()
