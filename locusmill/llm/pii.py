@@ -180,22 +180,11 @@ def unpacked(looks: np.ndarray) -> np.ndarray:
     return (looks.astype(np.int64)[:, None] >> (12 * np.arange(LOOKS_EACH))) & (LOOKS - 1)
 
 
-class _Shapes(dict):
-    def __missing__(self, c: int) -> int:
-        x = chr(c)
-        self[c] = ord("9" if x.isdigit() else "A" if x.isupper() else "a" if x.isalpha() else " " if x.isspace() else x)
-        return self[c]
-
-
-_SHAPES = _Shapes()
-
-
-@functools.lru_cache(maxsize=200_000)
 def _shape(x: str) -> str:
-    return _RUNS.sub(r"\1", x.translate(_SHAPES))
+    """Case, size, ends and signs of a span."""
+    return f"{x.islower():d}{x.isupper():d}{x[:1].isupper():d}{x[:1].isdigit():d}{x[-1:].isalnum():d}{len(x).bit_length()} {x.count(' ')} {x.count('.')} {x.count('-')}{chr(10) in x:d}{'@' in x:d}"
 
 
-_RUNS = re.compile(r"(.)\1+")
 _NEXT_WORD = re.compile(r"[\W_]*([^\W_]+)")
 
 
