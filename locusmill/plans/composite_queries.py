@@ -448,7 +448,7 @@ def split_half(s, d):
 
 @query(f"""{K}, {_DELTA}, {_DK}, ac AS (SELECT gene, avg(CAST(near + far > 0 AS INT)) AS act, avg(CAST(neark + fark > 0 AS INT)) AS actk FROM obs GROUP BY gene),
 fl AS (SELECT ascii(gene) % 4 AS chunk, CAST(act >= 0.10 AND {_SIGN} AS INT) AS a, CAST(actk >= 0.10 AND floor(dk * 1e6 + 0.5) > 0 AS INT) AS k FROM dl JOIN dk USING (gene) JOIN ac USING (gene))
-SELECT chunk, count(*) AS genes, {q('avg(a)')} AS directional, {q('avg(k)')} AS control, {q('avg(a - k)')} AS excess FROM fl GROUP BY GROUPING SETS ((chunk), ())""")
+SELECT chunk, count(*) AS genes, {q('avg(a)')} AS directional, {q('avg(k)')} AS control, {q('avg(a - k)')} AS excess FROM fl GROUP BY GROUPING SETS ((chunk), ()) HAVING count(*) > 0""")
 def chunk_union(s, d):
     """Flags of genes made chunk by chunk, gathered, joined to those of the control arm, and their pairwise excess by chunk and in all."""
     o = cut(views.controlled(s, d))

@@ -73,7 +73,7 @@ def _boot_sql(frm: str, values: dict[str, str], stat: str, reps: int = 1000) ->
     if stat == "median":
         per = "br AS (SELECT rep, " + ", ".join(f"median({v}) AS {v}" for v in values) + " FROM (SELECT *, unnest(range(w)) FROM bw) GROUP BY rep)"
     else:
-        per = "br AS (SELECT rep, " + ", ".join(f"sum({v} * w) / sum(w) AS {v}" for v in values) + " FROM bw GROUP BY rep)"
+        per = "br AS (SELECT rep, " + ", ".join(f"CASE WHEN sum(w) > 0 THEN sum({v} * w) / sum(w) END AS {v}" for v in values) + " FROM bw GROUP BY rep)"
     point = ", ".join(f"(SELECT {q(('median' if stat == 'median' else 'avg') + f'({v})')} FROM ({frm})) AS {n}" for v, n in values.items())
     return f"{drawn}, {per} SELECT {point}, " + ", ".join(f"{q(f'quantile_cont({v}, 0.025)')} AS {n}_lo, {q(f'quantile_cont({v}, 0.975)')} AS {n}_hi" for v, n in values.items()) + " FROM br"
 
